@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, language_id, mixing, simhash
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_bpe": bpe.op6_bpe,
     "op9_simhash": simhash.op9_simhash,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE}
