@@ -108,6 +108,13 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with all their columns, one row of each group of equal texts."""
+    numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    kept = exact_groups(numbered, row_col="__row").filter("kept").select(F.col("row_id").alias("__row"))
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id")
 

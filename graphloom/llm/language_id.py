@@ -146,6 +146,14 @@ def held_out(doc_id):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
+def keep_known(docs: DataFrame, *, least: float = 0.1) -> DataFrame:
+    """docs with all their columns, without those that have no letter or whose n-grams hardly any language has (a score
+    below `least`); a null lang becomes the language found."""
+    model = fit(training_rows(docs.filter(~held_out(F.col("doc_id")))))
+    found = languages(docs, model, columns=tuple(docs.columns)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(training_rows(docs.filter(~held_out(F.col("doc_id")))))

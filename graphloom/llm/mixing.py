@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rounds, table, utf8, word_bounds
+from .common import WORD_CLASS, rounds, table, utf8, word_bounds
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -155,5 +156,50 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return Mix(result, taken_pieces)
 
 
+_WORD = re.compile(WORD_CLASS)
+
+
+def taken_texts(text: str, parts: list[tuple[int, int, int]]) -> list[str]:
+    """The text of each turn that takes something: of turn t, the words of the parts (first, last, times) with times > t.
+    A turn that takes all words gives the text unchanged; parts that touch keep the white space between them."""
+    parts, out, spans = sorted(parts), [], None
+    for turn in range(max(p[2] for p in parts)):
+        runs: list[list[int]] = []
+        for first, last, times in parts:
+            if times > turn and runs and runs[-1][1] == first:
+                runs[-1][1] = last
+            elif times > turn:
+                runs.append([first, last])
+        spans = spans or [m.span() for m in _WORD.finditer(text)]
+        if runs == [[0, len(spans)]]:
+            out.append(text)
+        else:
+            out.append(" ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs))
+    return out
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each document and turn that takes words of it, text those words
+    and n_chars its length; documents that the mix takes nothing of have no row."""
+    numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    pieces = mix(numbered, row_col="__row").pieces
+    parts = pieces.groupBy(F.col("row_id").alias("__row")).agg(F.collect_list(F.struct("first", "last", "times")).alias("__parts"))
+    joined = numbered.join(parts, "__row").select(*docs.columns, "__parts")
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [taken_texts(t, [(p["first"], p["last"], p["times"]) for p in ps]) for t, ps in zip(part.column("text").to_pylist(), part.column("__parts").to_pylist(), strict=True)]
+                rows = pa.array(np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
+                columns = [part.column(c).take(rows) for c in names]
+                columns[at] = pa.array([t for ts in texts for t in ts], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in names else out
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).rows.select("doc_id", "size", "source_size", "target", "taken")

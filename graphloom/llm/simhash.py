@@ -193,7 +193,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A-Z are lower-cased; words are runs of other than space and U+0009 to U+000D; a text of fewer than `words` words is one
     shingle, one without words (null, empty) has fingerprint zero and is linked like any other. Null ids are never the
-    smallest unless a component has no other. Repeated rows share all results. An empty table gives an empty result.
+    smallest unless a component has no other. Repeated rows share all results. An empty table gives an empty result. row_id
+    (row_col, or numbers given here) and root (a component's smallest fingerprint) come as well.
     """
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     read = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -202,8 +203,16 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rooted = components(links(each, most=most, pivots=pivots)).withColumnRenamed("node", "print")
     named = each.join(rooted, "print", "left").select("print", "low", F.coalesce("root", "print").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(named.join(lowest, "root").select("print", "component_id"), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "row_id")
+    return rows.join(named.join(lowest, "root").select("print", "root", "component_id"), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "row_id", "root")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with all their columns, one row of each component: the one with the smallest id, null last."""
+    numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = near_groups(numbered, row_col="__row")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first"))
+    return numbered.join(first.select(F.col("first.row_id").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id")
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id", "root")
