@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, simhash
+from . import bpe, exact_dedup, language_id, mixing, quality, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op4_warc": warc.op4_warc,
     "op6_bpe": bpe.op6_bpe,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_quality_rules": quality.ORACLE,
+    "op4_warc": warc.ORACLE,
+}
