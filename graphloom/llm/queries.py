@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, quality, simhash, warc
+from . import bpe, exact_dedup, language_id, mixing, quality, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_warc": warc.op4_warc,
     "op6_bpe": bpe.op6_bpe,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
 }
