@@ -99,7 +99,8 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def rice_encode(values: np.ndarray) -> bytes:
-    """Sorted unsigned integers as Golomb-Rice coded gaps: a header, the unary quotients, then the remainders."""
+    """Sorted unsigned integers as Golomb-Rice coded gaps: a header, the unary quotients, then the remainders by plane: whole
+    low bytes first, then the bits above them."""
     n = len(values)
     if not n:
         return b""
@@ -109,9 +110,12 @@ def rice_encode(values: np.ndarray) -> bytes:
     q = (gaps >> np.uint64(k)).astype(np.int64)
     unary = np.zeros(int(q.sum()) + n, np.uint8)
     unary[np.cumsum(q + 1) - 1] = 1
-    rest = (gaps & np.uint64((1 << k) - 1))[:, None] >> np.arange(k - 1, -1, -1, dtype=np.uint64)[None, :]
-    head = np.array([n, k, len(unary)], "<u8").tobytes()
-    return head + np.packbits(unary).tobytes() + np.packbits((rest & np.uint64(1)).astype(np.uint8)).tobytes()
+    out = [np.array([n, k, len(unary)], "<u8").tobytes(), np.packbits(unary).tobytes()]
+    for j in range(k // 8):
+        out.append((gaps >> np.uint64(8 * j)).astype(np.uint8).tobytes())
+    for j in range(k - k % 8, k):
+        out.append(np.packbits((gaps >> np.uint64(j)).astype(np.uint8) & 1).tobytes())
+    return b"".join(out)
 
 
 def rice_decode(blob: bytes) -> np.ndarray:
@@ -119,11 +123,43 @@ def rice_decode(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
     n, k, bits = (int(x) for x in np.frombuffer(blob, "<u8", 3))
-    cut = 24 + (bits + 7) // 8
-    ones = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, cut - 24, 24), count=bits))
+    at = 24 + (bits + 7) // 8
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, at - 24, 24), count=bits))
     gaps = (np.diff(ones, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
-    if k:
-        rest = np.unpackbits(np.frombuffer(blob, np.uint8, offset=cut), count=n * k).reshape(n, k)
-        for j in range(k):
-            gaps |= rest[:, j].astype(np.uint64) << np.uint64(k - 1 - j)
+    for j in range(k // 8):
+        gaps |= np.frombuffer(blob, np.uint8, n, at).astype(np.uint64) << np.uint64(8 * j)
+        at += n
+    for j in range(k - k % 8, k):
+        plane = np.frombuffer(blob, np.uint8, (n + 7) // 8, at)
+        gaps |= np.unpackbits(plane, count=n).astype(np.uint64) << np.uint64(j)
+        at += len(plane)
     return np.cumsum(gaps, dtype=np.uint64)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base to the 0 up to n, modulo 2**64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64-bit integers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+class Hashes:
+    """64-bit hashes of any ranges of some bytes."""
+
+    def __init__(self, raw: np.ndarray):
+        self.up, self.down = powers(_BASE, len(raw)), powers(_BACK, len(raw))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * self.up[:-1], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))

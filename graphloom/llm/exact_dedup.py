@@ -32,17 +32,27 @@ def _short(digest):
 
 
 def _encode(owners: int, bits: int, chunk_rows: int):
+    def coded(chunk: int, values: np.ndarray) -> pd.DataFrame:
+        prints, counts = np.unique(values >> np.uint64(60 - bits), return_counts=True)
+        owner = (prints * np.uint64(owners)) >> np.uint64(bits)
+        edges = np.flatnonzero(np.diff(owner.astype(np.int64), prepend=-1)).tolist()
+        rows = []
+        for a, b in zip(edges, [*edges[1:], len(owner)], strict=True):
+            rows.append((str(chunk), int(owner[a]), b - a, rice_encode(prints[a:b]), np.packbits(counts[a:b] > 1).tobytes(), prints[a:b].tobytes()))
+        return pd.DataFrame(rows, columns=["chunk", "owner", "n", "coded", "local", "held"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, held = 0, []
         for batch in batches:
             for at in range(0, len(batch), chunk_rows):
                 part = batch.iloc[at : at + chunk_rows]
-                prints, counts = np.unique(part["print"].to_numpy(np.uint64) >> np.uint64(60 - bits), return_counts=True)
-                owner = (prints * np.uint64(owners)) >> np.uint64(bits)
-                rows = []
-                for o in np.unique(owner):
-                    mine = owner == o
-                    rows.append((str(part["row_id"].iat[0]), int(o), int(mine.sum()), rice_encode(prints[mine]), np.packbits(counts[mine] > 1).tobytes(), prints[mine].tobytes()))
-                yield pd.DataFrame(rows, columns=["chunk", "owner", "n", "coded", "local", "held"])
+                if held and sum(map(len, held)) + len(part) > chunk_rows:
+                    yield coded(chunk, np.concatenate(held))
+                    held = []
+                chunk = chunk if held else part["row_id"].iat[0]
+                held.append(part["print"].to_numpy(np.uint64))
+        if held:
+            yield coded(chunk, np.concatenate(held))
 
     return run
 
@@ -64,7 +74,7 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"print": np.frombuffer(held, np.uint64)[marked].astype(np.int64)})
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, chunk_rows: int = 50_000, owner_rows: int = 1_000_000, spare_bits: int = 14) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, chunk_rows: int = 1_000_000, owner_rows: int = 2_000_000, spare_bits: int = 14) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white space (space, U+0009 to U+000D) is deleted; null counts as empty. The row

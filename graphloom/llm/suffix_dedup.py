@@ -25,11 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, rice_decode, rice_encode, rounds, table, utf8
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+from .common import _BASE, _BYTES, Hashes, mixed, new_folder, powers, rice_decode, rice_encode, rounds, table, utf8
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -92,28 +88,6 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-class Hashes:
-    """64-bit hashes of any ranges of some bytes."""
-
-    def __init__(self, raw: np.ndarray):
-        self.up, self.down = _powers(_BASE, len(raw)), _powers(_BACK, len(raw))
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * self.up[:-1], dtype=np.uint64)])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, spread: int) -> dict[str, np.ndarray]:
     """All anchors of some texts: text (its number), pos, lo and hi (byte positions in raw of the anchor and of the first and
     last window start), key (hash of the bytes that its windows have in common at least), full (hash of all their bytes)."""
@@ -127,7 +101,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, spread: int) -> d
     gram = np.zeros(n, np.uint64)
     for i in range(8):
         gram = (gram << np.uint64(8)) | padded[i : i + n]
-    best = (_mixed(gram * _BASE) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    best = (mixed(gram * _BASE) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     step = 1
     while 2 * step <= spread:
         best = np.minimum(best[: n - step], best[step:n]) if len(best) == n else np.minimum(best[:-step], best[step:])
@@ -141,7 +115,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, spread: int) -> d
     lo, pos, text = start[first], pos[first], text[first]
     hi = start[np.append(first[1:], len(start)) - 1]
     hashes = Hashes(raw)
-    full = hashes.of(lo, hi + length) ^ _mixed((pos - lo).astype(np.uint64) + np.uint64(1))
+    full = hashes.of(lo, hi + length) ^ mixed((pos - lo).astype(np.uint64) + np.uint64(1))
     return {"text": text, "pos": pos, "lo": lo, "hi": hi, "key": hashes.of(pos, pos + length - spread + 1), "full": full}
 
 
@@ -176,7 +150,7 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, counts: np.ndarr
         same = (ahead[x] == ahead[y]) & (np.arange(length) < np.minimum(right[x], right[y])[:, None])
         shared[a : a + len(y)] = np.where(same.all(axis=1), length, same.argmin(axis=1))
     lowest = length - right  # the fewest bytes left of the anchor that a window of the context has
-    left = np.cumsum(_BYTES[behind] * _powers(_BASE, spread - 2)[None, :], axis=1, dtype=np.uint64)
+    left = np.cumsum(_BYTES[behind] * powers(_BASE, spread - 2)[None, :], axis=1, dtype=np.uint64)
     marks = [np.full(before[i] - lowest[i] + 1, counts[i] > 1) for i in range(n)]
     for d in range(spread):
         block = np.cumsum(shared < length - d)
@@ -206,7 +180,7 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges (start, end) united where they overlap or touch."""
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -328,7 +302,7 @@ def _cut(length: int):
         texts = chunk.column("text").cast(pa.large_binary()).to_pylist()
         ids, out, kept = chunk.column("row_id").to_pylist(), [], []
         for i, text in zip(ids, texts, strict=True):
-            text, gone = text or b"", merged(spans.get(i, []))
+            text, gone = text or b"", united(spans.get(i, []))
             edges = [0, *[x for s in gone for x in s], len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             out.append([{"start": a, "end": b} for a, b in gone])
