@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, quality, simhash, suffix_dedup, warc
+from . import bpe, exact_dedup, language_id, lm_score, mixing, quality, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op6_bpe": bpe.op6_bpe,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
 }
@@ -19,4 +20,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_quality_rules": quality.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op8_lm_score": lm_score.ORACLE,
 }
