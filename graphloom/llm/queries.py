@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, lm_score, mixing, quality, simhash, suffix_dedup, warc
+from . import bpe, exact_dedup, language_id, license_scan, lm_score, mixing, quality, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_warc": warc.op4_warc,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_bpe": bpe.op6_bpe,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_lm_score": lm_score.op8_lm_score,
