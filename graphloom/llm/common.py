@@ -143,9 +143,14 @@ _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base to the 0 up to n, modulo 2**64."""
-    out = np.full(n + 1, base, np.uint64)
+    out = np.full(min(n, 4095) + 1, base, np.uint64)
     out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out = np.cumprod(out, dtype=np.uint64)
+    if n > 4095:
+        steps = np.full(n // 4096 + 1, pow(int(base), 4096, 1 << 64), np.uint64)
+        steps[0] = 1
+        out = (np.cumprod(steps, dtype=np.uint64)[:, None] * out[None, :]).ravel()[: n + 1]
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -158,8 +163,10 @@ class Hashes:
     """64-bit hashes of any ranges of some bytes."""
 
     def __init__(self, raw: np.ndarray):
-        self.up, self.down = powers(_BASE, len(raw)), powers(_BACK, len(raw))
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * self.up[:-1], dtype=np.uint64)])
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * powers(_BASE, len(raw))[:-1], dtype=np.uint64)])
+        self.low = powers(_BACK, 4095)
+        self.high = powers(np.uint64(pow(int(_BACK), 4096, 1 << 64)), len(raw) // 4096)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
+        down = self.low[start & 4095] * self.high[start >> 12]
+        return mixed((self.total[end] - self.total[start]) * down + (end - start).astype(np.uint64))

@@ -98,22 +98,26 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, spread: int) -> d
     if not windows.sum():
         return {c: np.zeros(0, np.uint64 if c in ("key", "full") else np.int64) for c in names}
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    gram = np.zeros(n, np.uint64)
-    for i in range(8):
-        gram = (gram << np.uint64(8)) | padded[i : i + n]
+    gram = np.ndarray(n, "<u8", padded, strides=(1,))  # the 8 bytes from each position
     best = (mixed(gram * _BASE) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     step = 1
     while 2 * step <= spread:
-        best = np.minimum(best[: n - step], best[step:n]) if len(best) == n else np.minimum(best[:-step], best[step:])
+        best = np.minimum(best[:-step], best[step:])
         step *= 2
     if step < spread:
         best = np.minimum(best[: len(best) - (spread - step)], best[spread - step :])
-    text = np.repeat(np.arange(len(sizes)), windows)
-    start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(offsets[:-1], windows)
-    pos = (best[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.diff(pos, prepend=-1))
-    lo, pos, text = start[first], pos[first], text[first]
-    hi = start[np.append(first[1:], len(start)) - 1]
+    place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    long = np.flatnonzero(windows)
+    begin, stop = offsets[:-1][long], offsets[:-1][long] + windows[long]
+    change = np.zeros(n + 1, bool)
+    change[1 : len(place)] = place[1:] != place[:-1]
+    change[begin] = True
+    lo = np.flatnonzero(change)
+    of = np.searchsorted(begin, lo, "right") - 1
+    inside = (of >= 0) & (lo < stop[of])
+    lo, of = lo[inside], of[inside]
+    text, pos = long[of], place[lo]
+    hi = np.minimum(np.append(lo[1:], n), stop[of]) - 1
     hashes = Hashes(raw)
     full = hashes.of(lo, hi + length) ^ mixed((pos - lo).astype(np.uint64) + np.uint64(1))
     return {"text": text, "pos": pos, "lo": lo, "hi": hi, "key": hashes.of(pos, pos + length - spread + 1), "full": full}
@@ -124,23 +128,19 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, counts: np.ndarr
     for each of its windows: does it occur again? The contexts differ, or differ in `before`."""
     n = len(contexts)
     sizes = np.array([len(c) for c in contexts], np.int64)
-    raw = np.frombuffer(b"".join(contexts), np.uint8)
-    edge = np.cumsum(sizes) - sizes
     right = sizes - before
-    column = np.arange(length)
-    ahead = np.where(column < right[:, None], raw[np.minimum((edge + before)[:, None] + column, len(raw) - 1)], 0).astype(np.uint8)
-    column = np.arange(spread - 1)
-    behind = np.where(column < before[:, None], raw[np.maximum((edge + before)[:, None] - 1 - column, 0)], 0).astype(np.uint8)
+    ahead = np.frombuffer(b"".join(c[k:].ljust(length, b"\0") for c, k in zip(contexts, before.tolist(), strict=True)), np.uint8).reshape(n, length)
+    behind = np.frombuffer(b"".join(c[:k].rjust(spread - 1, b"\0") for c, k in zip(contexts, before.tolist(), strict=True)), np.uint8).reshape(n, spread - 1)[:, ::-1]
 
-    # Symbols: ranks of blocks of bytes (with their lengths, so that an end sorts before any byte), 1 between contexts, 0 at the end.
+    # Symbols: ranks of blocks of bytes (an end sorts before any byte), 1 between contexts, 0 at the end.
     cuts = [0, length - spread + 1]
     while cuts[-1] < length:
-        cuts.append(min(length, cuts[-1] + 25))
+        cuts.append(min(length, cuts[-1] + 75))
     symbols = np.ones((n, len(cuts)), np.int64)
     for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        block = np.concatenate([ahead[:, a:b], np.clip(right - a, 0, b - a).astype(np.uint8)[:, None]], axis=1)
-        width = block.shape[1]
-        symbols[:, j] = np.unique(np.ascontiguousarray(block).view(f"V{width}").ravel(), return_inverse=True)[1] + 2
+        blocks = [c[k + a : k + b] for c, k in zip(contexts, before.tolist(), strict=True)]
+        rank = {x: i for i, x in enumerate(sorted(set(blocks)), 2)}
+        symbols[:, j] = [rank[x] for x in blocks]
     order = np.array(suffix_array([*symbols.ravel().tolist(), 0]), np.int64)
     order = order[(order < n * len(cuts)) & (order % len(cuts) == 0)] // len(cuts)
 
@@ -180,15 +180,12 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges (start, end) united where they overlap or touch."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges on one line, united where they overlap or touch."""
+    by = np.argsort(start, kind="stable")
+    start, far = start[by], np.maximum.accumulate(end[by])
+    first = np.flatnonzero(np.append(True, start[1:] > far[:-1])) if len(start) else np.zeros(0, np.int64)
+    return start[first], far[np.append(first[1:], len(start)) - 1] if len(start) else far
 
 
 def _rows_of(chunk: pa.Table):
@@ -296,22 +293,30 @@ _OUT = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa
 
 def _cut(length: int):
     def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for r, lo, runs in zip(*(found.column(c).to_pylist() for c in ("row_id", "lo", "runs")), strict=True):
-            spans.setdefault(r, []).extend((lo + x["first"], lo + x["last"] + length) for x in runs)
-        texts = chunk.column("text").cast(pa.large_binary()).to_pylist()
-        ids, out, kept = chunk.column("row_id").to_pylist(), [], []
-        for i, text in zip(ids, texts, strict=True):
-            text, gone = text or b"", united(spans.get(i, []))
-            edges = [0, *[x for s in gone for x in s], len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            out.append([{"start": a, "end": b} for a, b in gone])
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), chunk.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(out, _OUT.field("spans").type), pa.array(kept, pa.binary())], schema=_OUT)
+        raw, offsets = utf8(chunk.column("text"))
+        ids, sizes = chunk.column("row_id").to_numpy(), np.diff(offsets)
+        # All texts of the chunk on one line, a byte apart, so that ranges of different texts never touch.
+        line = offsets[:-1] + np.arange(len(sizes))
+        runs = found.column("runs").combine_chunks()
+        many = np.diff(runs.offsets.to_numpy())
+        by = np.argsort(ids)
+        row = by[np.searchsorted(ids[by], found.column("row_id").to_numpy())] if len(found) else np.zeros(0, np.int64)
+        base = np.repeat(line[row] + found.column("lo").to_numpy(), many)
+        start, end = united(base + runs.flatten().field("first").to_numpy(), base + runs.flatten().field("last").to_numpy() + length)
+        of = np.searchsorted(line, start, "right") - 1
+        start, end = start - line[of], end - line[of]
+        edge = np.searchsorted(of, np.arange(len(sizes) + 1))
+        spans = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["start", "end"]))
+        data, kept = raw.tobytes(), []
+        for i, at in enumerate(offsets[:-1].tolist()):
+            cuts = [at, *(at + np.stack([start[edge[i] : edge[i + 1]], end[edge[i] : edge[i + 1]]], axis=1).ravel()).tolist(), int(offsets[i + 1])]
+            kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), chunk.column("doc_id"), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())], schema=_OUT)
 
     return run
 
 
-def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, spread: int = 100, chunk_bytes: int = 16 << 20, owner_rows: int = 1_000_000, part_rows: int = 30_000, hot: int = 5_000) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, spread: int = 150, chunk_bytes: int = 16 << 20, owner_rows: int = 1_000_000, part_rows: int = 30_000, hot: int = 5_000) -> DataFrame:
     """row_id, doc_id, n_bytes, spans and kept of each row of docs: every byte of the UTF-8 text that a string of `length` bytes
     covers which also starts anywhere else, in the same or another text, is cut out. spans: the maximal ranges cut, by byte;
     kept: the other bytes.
@@ -327,7 +332,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
     rows = _dealt_table(spark, read.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int")), chunks)
-    owners = max(8, -(-total // (spread // 2 * owner_rows)))
+    owners = max(8, -(-total // (spread // 2 * owner_rows)))  # there is an anchor in about every spread / 2 bytes
     bits = min(64, max(1, total).bit_length() + 12)
     sent = rows.select("chunk", "row_id", "text").groupBy("chunk").applyInArrow(_sent(owners, bits, length, spread), "chunk int, owner int, n int, coded binary, local binary")
     marks = sent.groupBy("owner").applyInPandas(_answer, "chunk int, owner int, marks binary, n int")
