@@ -1,6 +1,6 @@
 """Language-model scores by stupid backoff, from n-gram counts of the whole corpus.
 
-1. Texts are cut into chunks. A chunk row holds its vocabulary (64-bit word hashes) and its texts as indices into it.
+1. Texts are gathered into chunks. A chunk row holds its texts, compressed.
 2. Each chunk explodes its texts into the hashes of all their n-grams, and sends those it holds, once each, with their
    numbers, sorted and Golomb-Rice coded, to the owner of that part of the hash range: the count tables, by hash.
 3. Owners add up and join each count back to the chunks that have the n-gram.
@@ -9,7 +9,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Hashes, mixed, rice_decode, rice_encode, rounds, table, utf8, word_bounds
 
-_CHUNK = "chunk long, docs binary, known binary, at binary, vocabulary binary, words binary, n long"
+_CHUNK = "chunk long, docs binary, known binary, at binary, text binary, n long"
 
 
 def _chunks(chunk_bytes: int):
@@ -33,17 +32,16 @@ def _chunks(chunk_bytes: int):
             docs = docs.fill_null(0).to_numpy()
             for a, b in rounds(np.diff(offsets), chunk_bytes):
                 part = raw[offsets[a] : offsets[b]]
-                starts, ends, at = word_bounds(part, offsets[a : b + 1] - offsets[a])
-                vocabulary, words = np.unique(Hashes(part).of(starts, ends), return_inverse=True)
-                row = (int(ids[a]), docs[a:b].tobytes(), known[a:b].tobytes(), at.astype(np.int64).tobytes(), vocabulary.tobytes(), words.astype(np.uint32).tobytes(), len(words))
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "docs", "known", "at", "vocabulary", "words", "n"])
+                at = offsets[a : b + 1] - offsets[a]
+                row = (int(ids[a]), docs[a:b].tobytes(), known[a:b].tobytes(), at.tobytes(), pa.compress(part.tobytes(), "zstd", asbytes=True), len(word_bounds(part, at)[0]))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "docs", "known", "at", "text", "n"])
 
     return run
 
 
-def grams(vocabulary: np.ndarray, words: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1 to order: the hashes of the n-grams of that length and the words at which they end."""
-    word = vocabulary[words]
+def grams(word: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 to order: the hashes of the n-grams of that length and the words at which they end. word: hashes
+    of all words; at: the offsets of texts in them."""
     first = np.repeat(at[:-1], np.diff(at))
     out = [(mixed(word), np.arange(len(word)))]
     for k in range(2, order + 1):
@@ -56,29 +54,33 @@ def grams(vocabulary: np.ndarray, words: np.ndarray, at: np.ndarray, order: int)
     return out
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, ...]:
-    kinds = {"docs": np.int64, "known": bool, "at": np.int64, "vocabulary": np.uint64, "words": np.uint32}
-    return tuple(np.frombuffer(row[c], kind) for c, kind in kinds.items())
+def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of a chunk row and the offsets of its texts in them."""
+    offsets = np.frombuffer(row["at"], np.int64)
+    raw = np.frombuffer(pa.decompress(row["text"], int(offsets[-1]), "zstd", asbytes=True), np.uint8)
+    starts, ends, at = word_bounds(raw, offsets)
+    return Hashes(raw).of(starts, ends), at
 
 
 def _small(counts: np.ndarray) -> bytes:
     """Counts in the fewest bytes each that hold them all, compressed."""
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(k).max)
-    return kind[2].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+    return kind[2].encode() + len(counts).to_bytes(4, "little") + pa.compress(counts.astype(kind).tobytes(), "zstd", asbytes=True)
 
 
 def _full(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[:1].decode()}").astype(np.int64)
+    width, n = int(blob[:1]), int.from_bytes(blob[1:5], "little")
+    return np.frombuffer(pa.decompress(blob[5:], width * n, "zstd", asbytes=True), f"<u{width}").astype(np.int64)
 
 
 def _sent(owners: int, bits: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, at, vocabulary, words = _unpack(row)
+                words, at = _words(row)
                 if not len(words):
                     continue
-                found, counts = np.unique(np.concatenate([h for h, _ in grams(vocabulary, words, at, order)]) >> np.uint64(64 - bits), return_counts=True)
+                found, counts = np.unique(np.concatenate([h for h, _ in grams(words, at, order)]) >> np.uint64(64 - bits), return_counts=True)
                 owner = (found >> np.uint64(bits - 32)) * np.uint64(owners) >> np.uint64(32)
                 edges = np.flatnonzero(np.diff(owner.astype(np.int64), prepend=-1)).tolist()
                 out = [(row["chunk"], int(owner[a]), b - a, rice_encode(found[a:b]), _small(counts[a:b])) for a, b in zip(edges, [*edges[1:], len(owner)], strict=True)]
@@ -121,10 +123,11 @@ def _scores(bits: int, order: int, total: int, discount: float, least: int):
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         parts = []
         for row in chunk.to_pylist():
-            docs, known, at, vocabulary, words = _unpack(row)
+            docs, known = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["known"], bool)
+            words, at = _words(row)
             scores = np.zeros(0)
             if len(words):
-                found = grams(vocabulary, words, at, order)
+                found = grams(words, at, order)
                 _, where = np.unique(np.concatenate([h for h, _ in found]) >> np.uint64(64 - bits), return_inverse=True)
                 counts = np.concatenate([_full(x) for x in replies.sort_by("owner").column("counts").to_pylist()])[where]
                 scores = word_scores(found, np.split(counts, np.cumsum([len(h) for h, _ in found])[:-1]), total, discount, least)
@@ -136,7 +139,7 @@ def _scores(bits: int, order: int, total: int, discount: float, least: int):
     return run
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, discount: float = 0.4, least: int = 2, chunk_bytes: int = 8 << 20, owner_rows: int = 2_000_000, spare_bits: int = 28) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, discount: float = 0.4, least: int = 2, chunk_bytes: int = 4 << 20, owner_rows: int = 2_000_000, spare_bits: int = 24) -> DataFrame:
     """doc_id, n_words, log_score of each row of docs: the sum of its words' log stupid-backoff scores.
 
     Counts come from all of docs, the row itself and its copies included; n-grams of two or more words that occur fewer than
@@ -147,7 +150,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = table(read.mapInArrow(_chunks(chunk_bytes), _CHUNK), "op8-chunks")
     total = chunks.agg(F.sum("n").alias("n")).first()["n"] or 0
-    bits = min(64, max(32, (order * total).bit_length() + spare_bits))
+    bits = min(60, max(32, (order * total).bit_length() + spare_bits))
     owners = max(8, -(-order * total // owner_rows))
     sent = chunks.mapInArrow(_sent(owners, bits, order), "chunk long, owner int, n int, coded binary, counts binary")
     replies = sent.groupBy("owner").applyInPandas(_totals, "chunk long, owner int, counts binary")
@@ -163,15 +166,12 @@ def op8_lm_score(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 p AS (SELECT doc_id, unnest(words) AS c, generate_subscripts(words, 1) AS i FROM w),
-q AS (SELECT doc_id, i, c, lag(c, 1) OVER o AS b, lag(c, 2) OVER o AS a FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+q AS (SELECT doc_id, c, lag(c, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM p),
 n AS (SELECT count(*) AS n FROM q),
 u AS (SELECT c AS x, count(*) AS k FROM q GROUP BY ALL),
 v AS (SELECT b AS x, c AS y, count(*) AS k FROM q WHERE b IS NOT NULL GROUP BY ALL),
-t AS (SELECT a AS x, b AS y, c AS z, count(*) AS k FROM q WHERE a IS NOT NULL GROUP BY ALL),
-s AS (SELECT q.doc_id, CASE WHEN t.k >= 2 THEN ln(t.k / h.k) WHEN v.k >= 2 THEN ln(v.k / g.k) + CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END
-             ELSE ln(u.k / n.n) + CASE WHEN b IS NULL THEN 0 WHEN a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS score
-      FROM q CROSS JOIN n JOIN u ON u.x = q.c LEFT JOIN u AS g ON g.x = q.b LEFT JOIN v ON v.x = q.b AND v.y = q.c
-      LEFT JOIN v AS h ON h.x = q.a AND h.y = q.b LEFT JOIN t ON t.x = q.a AND t.y = q.b AND t.z = q.c),
+s AS (SELECT q.doc_id, CASE WHEN v.k >= 2 THEN ln(v.k / g.k) ELSE ln(u.k / n.n) + CASE WHEN b IS NULL THEN 0 ELSE ln(0.4) END END AS score
+      FROM q CROSS JOIN n JOIN u ON u.x = q.c LEFT JOIN u AS g ON g.x = q.b LEFT JOIN v ON v.x = q.b AND v.y = q.c),
 d AS (SELECT doc_id, count(*) AS n_words, sum(score) AS score FROM s GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_score,
        round(exp(-coalesce(score, 0) / greatest(coalesce(n_words, 0), 1)), 3) AS perplexity
