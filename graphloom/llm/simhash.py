@@ -32,9 +32,8 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, words: int = 3, seed: int
     text = raw.tobytes().translate(_LOWER)
     starts, ends, at = word_bounds(raw, offsets)
     n = np.diff(at)
-    # All words joined by one space: the bytes of shingles lie together.
-    joined = text.split()
-    data = b" ".join(joined)
+    # All words joined by one space: the bytes of shingles lie together. Words end where texts end, though no white space does.
+    data = b" ".join([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
     length = ends - starts
     new_end = np.cumsum(length + 1) - 1
     new_start = new_end - length
@@ -46,7 +45,6 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, words: int = 3, seed: int
     out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(shingles)
     if len(some):
-        begin = (np.cumsum(shingles) - shingles)[some]
         step = 1 << 16
         total = np.zeros((len(some), 64), np.int64)
         owner = np.repeat(np.arange(len(some)), shingles[some])
@@ -57,7 +55,6 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, words: int = 3, seed: int
             total[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
         over = (2 * total > shingles[some][:, None]).astype(np.uint8)
         out[some] = np.packbits(over, axis=1).view(">u8").ravel()
-        del begin
     return out
 
 
