@@ -99,6 +99,8 @@ def scan(kinds: np.ndarray, width: int = 512) -> np.ndarray:
 
 def slices(texts: list[str], classes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All texts in UTF-8, the n + 1 byte offsets of all slices, and the number of slices of each text."""
+    if not texts:
+        return b"", np.zeros(1, np.int64), np.zeros(0, np.int64)
     code = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le"), np.uint32)
     stop = np.cumsum([len(t) + 1 for t in texts]) - 1
     kinds = classes[code]
