@@ -11,6 +11,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.functions.lexicon import RELATIONS
 from graphloom.functions.text import strip
@@ -96,7 +97,7 @@ def clean_json(raw: Column) -> Column:
     return F.when(raw.rlike(fence), F.regexp_extract(raw, fence, 1)).when(F.locate("{", raw) > 0, raw.substr(F.locate("{", raw), F.length(raw))).otherwise(raw)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_error(text: pd.Series) -> pd.Series:
     """Why text isn't one JSON object, strictly; null if it is. Built-in parsers accept text after the object and single quotes."""
 
