@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexicon import RISK_DIRECTIONS
@@ -27,7 +27,9 @@ def nodes(edge_table: DataFrame) -> DataFrame:
 
 
 def counts(edge_table: DataFrame) -> DataFrame:
-    return edge_table.agg(F.count("*").alias("edges")).crossJoin(nodes(edge_table).agg(F.count("*").alias("nodes")))  # one row by one row
+    """One row: edges and nodes."""
+    ends = edge_table.select(F.posexplode(F.array("src", "dst")).alias("side", "name"))
+    return ends.agg(F.count_if(F.col("side") == 0).alias("edges"), F.countDistinct("name").alias("nodes"))
 
 
 def risk_evidence(edge_table: DataFrame) -> DataFrame:
@@ -84,8 +86,6 @@ def cascade_paths(edge_table: DataFrame, start: str | DataFrame | None = None, m
 
 def first_paths(paths: DataFrame, limit: int) -> DataFrame:
     """The first `limit` paths of each start by hops, then names; rank counts from 1."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("start").orderBy("hops", "path")
     return paths.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 

@@ -24,8 +24,8 @@ def companies(triples: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
 
 def totals(triples: DataFrame) -> DataFrame:
     """triples, unique triples and companies."""
-    pair = triples.select(F.explode(F.array("head", "tail")).alias("c")).agg(F.countDistinct("c").alias("companies"))
-    return triples.agg(F.count("*").alias("triples"), F.countDistinct("head", "relation", "tail").alias("unique_triples")).crossJoin(pair)  # one row by one row
+    ends = triples.select(F.struct("head", "relation", "tail").alias("triple"), F.posexplode(F.array("head", "tail")).alias("side", "name"))
+    return ends.agg(F.count_if(F.col("side") == 0).alias("triples"), F.countDistinct("triple").alias("unique_triples"), F.countDistinct("name").alias("companies"))
 
 
 def per_file(filings: DataFrame, triples: DataFrame, errors: DataFrame | None = None) -> DataFrame:

@@ -105,9 +105,9 @@ def q_nearest_after(spark, sf_dir):
 @query("SELECT s.s_suppkey, n.n_name AS inside FROM supplier s JOIN nation n ON s.s_suppkey % 250 >= n.n_nationkey * 10 AND s.s_suppkey % 250 < n.n_nationkey * 10 + 10")
 def q_span_contains(spark, sf_dir):
     """Tokens at s_suppkey % 250 in spans of ten positions, one for each nation."""
-    spans = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.collect_list(F.struct(F.col("n_name").alias("text"), (F.col("n_nationkey") * 10).alias("start"), (F.col("n_nationkey") * 10 + 10).alias("end"), F.lit("ORG").alias("label"))).alias("ents"))
-    tokens = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.struct((F.col("s_suppkey") % 250).alias("idx"), F.lit("x").alias("text")).alias("token"))
-    return tokens.join(spans).select("s_suppkey", rules.token_entity(F.col("token"), F.col("ents"), F.lit(None).cast("string")).alias("inside"))  # spans is one row
+    spans = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.collect_list(F.struct(F.col("n_name").alias("text"), (F.col("n_nationkey") * 10).alias("start"), (F.col("n_nationkey") * 10 + 10).alias("end"), F.lit("ORG").alias("label"))).alias("ents"), F.lit(1).alias("one"))
+    tokens = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.struct((F.col("s_suppkey") % 250).alias("idx"), F.lit("x").alias("text")).alias("token"), F.lit(1).alias("one"))
+    return tokens.join(spans, "one").select("s_suppkey", rules.token_entity(F.col("token"), F.col("ents"), F.lit(None).cast("string")).alias("inside"))
 
 
 _TRIGGERS = ", ".join(f"('{w}', '{k}', '{t[0]}', {c})" for t in fixed.TRIGGERS for k, ws, c in (("verb", t[1], t[3]), ("noun", t[2], t[4])) for w in ws)
@@ -126,9 +126,9 @@ def q_trigger_lookup(spark, sf_dir):
 
 @query("SELECT n.n_name, EXISTS (SELECT 1 FROM region r WHERE contains(lower(n.n_name), lower(left(r.r_name, 2))) OR contains(lower(left(r.r_name, 2)), lower(n.n_name))) AS entity FROM nation n")
 def q_entity_fuzzy(spark, sf_dir):
-    ents = spark.read.parquet(f"{sf_dir}/region.parquet").agg(F.collect_list(F.struct(F.substring("r_name", 1, 2).alias("text"))).alias("ents"))
-    names = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return names.join(ents).select("n_name", rules.is_entity(F.col("n_name"), F.col("ents"), F.lit(None).cast("string")).alias("entity"))  # ents is one row
+    ents = spark.read.parquet(f"{sf_dir}/region.parquet").agg(F.collect_list(F.struct(F.substring("r_name", 1, 2).alias("text"))).alias("ents"), F.lit(1).alias("one"))
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("one", F.lit(1))
+    return names.join(ents, "one").select("n_name", rules.is_entity(F.col("n_name"), F.col("ents"), F.lit(None).cast("string")).alias("entity"))
 
 
 @query(f"WITH {with_views('raw')}, r AS (SELECT *, row_number() OVER (PARTITION BY extractor, source_file, head, relation ORDER BY ord) AS k FROM raw) SELECT extractor, ord, head, relation FROM r WHERE k = 1")

@@ -10,18 +10,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """spark.checkpoint.dir, or a temporary folder of this process where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="graphloom-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        found = f"file://{_own[0]}"
     return found.rstrip("/")
 
 
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Has the file system delete an existing folder when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again, so that what follows doesn't make it anew."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
