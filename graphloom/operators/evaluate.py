@@ -58,8 +58,7 @@ def rule_judge(evidence: DataFrame) -> DataFrame:
     def score(missing: Column) -> Column:
         return F.when(F.size(missing) == 0, 2).when(F.size(missing) < F.size(path) - 1, 1).otherwise(0)
 
-    out = evidence.filter(F.size(path) > 1).withColumn("relationships", F.coalesce("relationships", F.filter("relationships", lambda r: F.lit(False))))
-    out = out.withColumn("unsupported_steps", F.transform(F.filter(numbers, lambda i: ~F.coalesce(backed(i), F.lit(False))), name)).withColumn("direction_errors", F.transform(F.filter(numbers, lambda i: ~F.coalesce(carried(i), F.lit(False))), name))
+    out = evidence.filter(F.size(path) > 1).withColumn("unsupported_steps", F.transform(F.filter(numbers, lambda i: ~F.coalesce(backed(i), F.lit(False))), name)).withColumn("direction_errors", F.transform(F.filter(numbers, lambda i: ~F.coalesce(carried(i), F.lit(False))), name))
     simple = F.when(F.size(F.array_distinct(path)) == F.size(path), 2).otherwise(0)
     scores = {"path_continuity": score(F.col("unsupported_steps")), "evidence_coverage": score(F.col("unsupported_steps")), "direction_consistency": score(F.col("direction_errors")), "cascade_relevance": score(F.col("direction_errors")), "path_quality": simple}
     return total(out.withColumns(scores).withColumn("explanation", F.lit("scored by rule")), PATH_ITEMS)

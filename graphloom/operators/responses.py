@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -41,6 +43,26 @@ class ProviderError(RuntimeError):
     """What a provider raises; a message with 429 means: try again later."""
 
 
+class HttpProvider:
+    """Completions from an endpoint that takes chat messages as JSON, at temperature 0 unless told otherwise."""
+
+    def __init__(self, url: str, key: str, model: str, *, system: str | None = SYSTEM_PROMPT, temperature: float = 0.0, max_tokens: int | None = 512, timeout: float = 60.0):
+        if not key:
+            raise ValueError("a key is required")
+        self.url, self.key, self.timeout = url, key, timeout
+        self.fixed = {"model": model, "temperature": temperature} | ({"max_tokens": max_tokens} if max_tokens else {})
+        self.head = [{"role": "system", "content": system}] if system else []
+
+    def __call__(self, prompt: str) -> str:
+        body = json.dumps({**self.fixed, "messages": [*self.head, {"role": "user", "content": prompt}]}).encode()
+        ask = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        try:
+            with urllib.request.urlopen(ask, timeout=self.timeout) as said:
+                return json.load(said)["choices"][0]["message"]["content"] or ""
+        except urllib.error.HTTPError as error:
+            raise ProviderError(f"{error.code} {error.read().decode(errors='replace')[:500]}") from error
+
+
 def prompts(sents: DataFrame) -> DataFrame:
     """sents (with filer) and prompt, prompt_hash."""
     text = F.concat(F.lit("Filing company: "), F.coalesce("filer", F.lit("Unknown Company")), F.lit("\nSentence: "), F.col("sentence"), F.lit("\n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from graphloom.functions.lexicon import FILERS, Lexicon
 from graphloom.operators import annotate, evaluate, graph, layout, merge, questions, reports, responses, rules
 from graphloom.operators.resolve import filer_table, with_filer
 from graphloom.sources import files
+from graphloom.streaming import incremental
 
 
 def extract_by_rules(filings: DataFrame, make: Callable[[], annotate.Annotator] = annotate.PlainAnnotator) -> DataFrame:
@@ -43,6 +45,28 @@ def evaluate_paths(edge_table: DataFrame, paths: DataFrame, max_hops: int = 5, m
     return evaluate.path_rows(evaluate.rule_judge(found.join(paths.select("path").distinct(), "path", "left_semi")))
 
 
+def evaluate_answers(answers: DataFrame, make: Callable[[], responses.CompletionProvider]) -> DataFrame:
+    """Result rows of answered questions (with type), judged by a model from question, context and answer."""
+    text_ = F.concat(F.lit("Question: "), "question", F.lit("\n\nEvidence:\n"), "context", F.lit("\n\nAnswer:\n"), "answer")
+    good = answers.filter("status = 'OK'").withColumn("text", text_)
+    return evaluate.answer_rows(evaluate.model_judge(good, "text", evaluate.ANSWER_ITEMS, ("unsupported_claims", "direction_errors"), make))
+
+
+def extract_new(spark: SparkSession, folder: str, out: str, make_provider=None, cap: int = 100) -> None:
+    """Extracts from the files that came since the last call and replaces only their rows under out; errors are appended. A file
+    without triples is not taken again."""
+
+    def work(read: DataFrame, batch: int) -> None:
+        read = read.persist()
+        files.write_by_file(extract_by_rules(read).drop("ord"), f"{out}/rule_triples")
+        found, errors = extract_by_model(read, make_provider, cap)
+        files.write_by_file(found.drop("ord"), f"{out}/model_triples")
+        files.write_errors(errors, f"{out}/errors")
+        read.unpersist()
+
+    incremental.process_new(spark, folder, f"{out}/checkpoint", work)
+
+
 def run(spark: SparkSession, folder: str, out: str, *, make_provider=None, make_annotator=annotate.PlainAnnotator, cap: int = 100, lexicon: Lexicon | None = None) -> dict[str, DataFrame]:
     """All stages; each result is written under out before the next one reads it."""
     lexicon = lexicon or Lexicon()
@@ -83,9 +107,15 @@ def main() -> None:
     parser.add_argument("--out", required=True)
     parser.add_argument("--max-sentences", type=int, default=100)
     parser.add_argument("--question")
+    parser.add_argument("--skip-model", action="store_true")
+    parser.add_argument("--model-url", help="an endpoint for chat messages; the key comes from MODEL_API_KEY")
+    parser.add_argument("--model", default="")
     args = parser.parse_args()
     spark = SparkSession.builder.getOrCreate()
-    found = run(spark, args.filings, args.out, cap=args.max_sentences)
+    key = os.environ.get("MODEL_API_KEY", "")
+    asked = bool(args.model_url and key) and not args.skip_model
+    make = (lambda: responses.HttpProvider(args.model_url, key, args.model)) if asked else None
+    found = run(spark, args.filings, args.out, make_provider=make, cap=args.max_sentences)
     found["relations"].show(truncate=False)
     found["companies"].show(1000, truncate=False)
     if args.question:

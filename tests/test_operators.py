@@ -284,3 +284,44 @@ def test_writes(spark, tmp_path):
     files.write_errors(bad, str(tmp_path / "e"))
     files.write_errors(bad, str(tmp_path / "e"))
     assert spark.read.json(str(tmp_path / "e")).count() == 2
+
+
+def test_http_provider():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            busy = asked["messages"][-1]["content"] == "busy"
+            self.send_response(429 if busy else 200)
+            self.end_headers()
+            self.wfile.write(b"try again in 0m1s" if busy else json.dumps({"choices": [{"message": {"content": asked["model"]}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    call = responses.HttpProvider(f"http://127.0.0.1:{server.server_port}/", "k", "m")
+    assert call("hi") == "m"
+    waits = []
+    assert responses.with_retries(call, "busy", 2, waits.append)[1].startswith("API error: 429") and waits == [6.0]
+    server.shutdown()
+    with pytest.raises(ValueError):
+        responses.HttpProvider("http://x", "", "m")
+
+
+def test_answers_and_new_files(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "direct", "What does a disruption at C mean?")], "id int, type string, question string")
+    answers = questions.answer_questions(asked, edges(spark))
+    reply = json.dumps({**dict.fromkeys(evaluate.ANSWER_ITEMS, 2), "unsupported_claims": [], "direction_errors": ["a"], "explanation": ""})
+    row = pipeline.evaluate_answers(answers, lambda: lambda prompt: reply).first()
+    assert row["total_score"] == 10 and row["start_company"] == "C" and row["direction_errors"] == "a"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("AMD_2023.txt", "MU_2023.txt"):
+        (folder / name).write_text("In most years Acme Works supplies wafers to Bolt Labs and others. The rest of it is dull and long.", "utf-8")
+        pipeline.extract_new(spark, str(folder), str(tmp_path / "out"), lambda: lambda prompt: "no json")
+    found = spark.read.parquet(str(tmp_path / "out" / "rule_triples"))
+    assert sorted(r["source_file"] for r in found.collect()) == ["AMD_2023.txt", "MU_2023.txt"]
