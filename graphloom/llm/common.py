@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.storage import materialize, shared_dir
+
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -21,31 +20,24 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 ROUND_BYTES = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and lost executors cost no more than a read."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df, name)
+
+
+#: Rows of a few longs each that a join may send to all executors: some tens of MB.
+BROADCAST_ROWS = 1_000_000
 
 
-def row_ids(docs: DataFrame, *columns) -> DataFrame:
-    """The columns with a row_id that tells repeated rows apart. Stable only once it is written."""
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), *columns)
+def sized(keys: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of keys (a few longs a row), written and counted: marked for broadcast if it has at most `most` rows; a larger one is
+    left to a shuffled join."""
+    made = table(keys, name)
+    return F.broadcast(made) if made.count() <= most else made
 
 
 def rounds(lengths: np.ndarray, most: int = ROUND_BYTES) -> Iterator[tuple[int, int]]:

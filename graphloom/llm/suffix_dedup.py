@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.storage import delete_at_exit
+
 from .common import _BASE, _BYTES, Hashes, mixed, new_folder, powers, rice_decode, rice_encode, rounds, table, utf8
 
 
@@ -199,7 +201,9 @@ def _rows_of(chunk: pa.Table):
 def _dealt_table(spark: SparkSession, docs: DataFrame, chunks: int) -> DataFrame:
     """docs in files by chunk, so that later passes over chunks move no text."""
     name = f"chunks_{uuid.uuid4().hex}"
-    docs.repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").option("compression", "zstd").option("path", new_folder(spark, "op7-chunks")).saveAsTable(name)
+    folder = new_folder(spark, "op7-chunks")
+    docs.repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").option("compression", "zstd").option("path", folder).saveAsTable(name)
+    delete_at_exit(spark, folder)
     return spark.table(name)
 
 
