@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,9 +125,29 @@ def slices(texts: list[str], classes: np.ndarray) -> tuple[bytes, np.ndarray, np
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one slice: of all adjacent pairs, the one of lowest rank, the leftmost of equals, is merged until none is
-    left. A heap and linked parts keep long slices at n log n."""
+    left."""
     if piece in ranks:
         return [ranks[piece]]
+    return _merge_short(piece, ranks) if len(piece) <= 64 else _merge_long(piece, ranks)
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """merge() by looking at all pairs each time."""
+    none, get = 1 << 62, ranks.get
+    cuts = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (low := min(pairs)) < none:
+        i = pairs.index(low)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
+        if i:
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """merge() with a heap and linked parts, which keeps long slices at n log n."""
     n = len(piece)
     part = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -156,7 +177,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """Encodes and decodes; remembers the merges of up to `most` slices."""
 
-    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, most: int = 700_000):
         self.ranks, self.classes, self.most = ranks, classes, most
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -181,18 +202,17 @@ class Coder:
         if len(self.ids) > self.most:
             self.clear()
         data, at, count = slices(texts, self.classes)
-        number, edges = self.number, at.tolist()
-        found = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            piece = data[a:b]
-            k = number.get(piece)
-            found.append(self._known(piece) if k is None else k)
+        edges = at.tolist()
+        pieces = [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        found = list(map(self.number.get, pieces))
+        for i in [i for i, k in enumerate(found) if k is None]:
+            k = self.number.get(pieces[i])
+            found[i] = self._known(pieces[i]) if k is None else k
         ends = np.cumsum(count).tolist()
         return [found[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def ids_of(self, numbers: list[int]) -> list[int]:
-        ids = self.ids
-        return [i for k in numbers for i in ids[k]]
+        return list(chain.from_iterable(map(self.ids.__getitem__, numbers)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
