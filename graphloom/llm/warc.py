@@ -18,7 +18,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, table
+from graphloom.sources.storage import delete_at_exit
+
+from .common import new_folder, sized, table
 
 INDEX = "page_id long, row_id long, url string, record_type string, digest string, path string, offset long, length long"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,11 +96,15 @@ def write(pages: DataFrame, folder: str | None = None, *, least: int = 100, file
 
     The payload is html in UTF-8; null is empty. Of records with equal payloads of at least `least` bytes the one with the
     smallest page_id (null last; of repeated ids any one) is a response, the others revisit it; smaller ones are responses.
-    An empty table gives an empty index; columns other than the three are not read.
+    An empty table gives an empty index; columns other than the three are not read. Without a folder the archives go to the
+    shared one and are deleted when the driver's JVM ends.
     """
     spark = pages.sparkSession
-    store, root = fs.FileSystem.from_uri(folder := folder or new_folder(spark, "warc"))
+    own = folder is None
+    store, root = fs.FileSystem.from_uri(folder := new_folder(spark, "warc") if own else folder)
     store.create_dir(root, recursive=True)
+    if own:
+        delete_at_exit(spark, folder)
     html = F.col("html").cast("string")
     data = F.coalesce(html, F.lit("")).cast("binary")
     rows = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(data, 256).alias("digest"), F.octet_length(data).alias("size"))
@@ -106,7 +112,7 @@ def write(pages: DataFrame, folder: str | None = None, *, least: int = 100, file
     least_of = F.min(F.struct(F.col("page_id").isNull(), "page_id", "row_id")).alias("low")
     groups = rows.filter(F.col("size") >= least).groupBy("digest").agg(least_of, F.count("*").alias("n")).filter("n > 1").select("digest", F.col("low.page_id").alias("refers_to"), F.col("low.row_id").alias("refers_row"))
     marked = rows.filter(F.col("size") >= least).select("row_id", "digest").join(groups, "digest").filter("row_id != refers_row").select("row_id", "refers_to", "refers_row")
-    planned = rows.join(marked, "row_id", "left").select("row_id", "page_id", "url", "html", "digest", "refers_to", "refers_row")
+    planned = rows.join(sized(marked, "op4-revisits"), "row_id", "left").select("row_id", "page_id", "url", "html", "digest", "refers_to", "refers_row")
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     return table(planned.mapInPandas(_writer(folder, date, file_bytes), INDEX), "op4-index")
 
