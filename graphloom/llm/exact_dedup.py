@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, rice_decode, rice_encode, table
+from .common import BROADCAST_ROWS, SPACES, rice_decode, rice_encode, sized, table
 
 _SENT = "chunk string, owner int, n int, coded binary, local binary, held binary"
 
@@ -74,7 +74,7 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"print": np.frombuffer(held, np.uint64)[marked].astype(np.int64)})
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, chunk_rows: int = 1_000_000, owner_rows: int = 2_000_000, spare_bits: int = 14) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, chunk_rows: int = 1_000_000, owner_rows: int = 2_000_000, spare_bits: int = 14, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white space (space, U+0009 to U+000D) is deleted; null counts as empty. The row
@@ -83,7 +83,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     unique longs if docs has one; otherwise rows are numbered here. An empty table gives an empty result.
 
     An owner gets about owner_rows fingerprints, so their number grows with the input. Fingerprints are log2(rows) +
-    spare_bits long; a chance collision only makes a suspect, which the comparison of whole texts clears.
+    spare_bits long; a chance collision only makes a suspect, which the comparison of whole texts clears. Up to broadcast_rows
+    suspect fingerprints are sent to all executors, and only suspects' texts are shuffled; more are joined by a shuffle.
     """
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
@@ -96,6 +97,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sent = table(rows.select("row_id", "print").mapInPandas(_encode(owners, bits, chunk_rows), _SENT), "op2-sent")
     marks = sent.select("chunk", "owner", "n", "coded", "local").groupBy("owner").applyInPandas(_answer, "chunk string, owner int, marks binary")
     suspects = sent.select("chunk", "owner", "n", "held").join(marks, ["chunk", "owner"]).select("n", "held", "marks").mapInPandas(_suspects, "print long").distinct()
+    suspects = sized(suspects, "op2-suspects", broadcast_rows)
     again = read.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), normalised(F.col("text")).alias("norm"))
     again = again.withColumn("sha", F.sha2("norm", 256)).withColumn("print", F.shiftright(_short(F.col("sha")), 60 - bits))
     best = F.max(F.struct("chars", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("low")))
@@ -121,8 +123,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with all their columns, one row of each group of equal texts."""
     numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    kept = exact_groups(numbered, row_col="__row").filter("kept").select(F.col("row_id").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    gone = exact_groups(numbered, row_col="__row").filter("not kept").select(F.col("row_id").alias("__row"))
+    return numbered.join(sized(gone, "op2-gone"), "__row", "left_anti").select(*docs.columns)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

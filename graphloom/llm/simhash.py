@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rounds, table, utf8, word_bounds
+from .common import rounds, sized, table, utf8, word_bounds
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCKS = 4
@@ -206,9 +206,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with all their columns, one row of each component: the one with the smallest id, null last."""
     numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = near_groups(numbered, row_col="__row")
+    groups = table(near_groups(numbered, row_col="__row"), "op9-groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first"))
-    return numbered.join(first.select(F.col("first.row_id").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    gone = groups.select(F.col("row_id").alias("__row")).join(first.select(F.col("first.row_id").alias("__row")), "__row", "left_anti")
+    return numbered.join(sized(gone, "op9-gone"), "__row", "left_anti").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
