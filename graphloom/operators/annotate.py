@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.functions.lexicon import TRIGGERS
 from graphloom.functions.schemas import ANNOTATED
@@ -30,6 +31,14 @@ class PlainAnnotator:
     """Needs no model: capitalised runs are organisations, endings give lemmas of trigger words, a trigger verb's neighbours to the
     left and right are its subject and object, and prepositions hang on the trigger before them."""
 
+    @staticmethod
+    def may_matter(sentence: Column) -> Column:
+        """False for sentences in which this annotator finds no trigger: none of the forms that its endings trace back to one."""
+        triggers = _VERBS | _NOUNS
+        forms = triggers | {t.removesuffix(b) + a for t in triggers for a, b in _ENDINGS if t.endswith(b)}
+        # All maximal runs of letters a to z hold at least the words that are a form; a hash set beats an alternation of as many.
+        return F.arrays_overlap(F.split(F.lower(sentence), "[^a-z]+"), F.array(*map(F.lit, sorted(forms))))
+
     def lemma(self, word: str) -> str:
         low = word.lower()
         if low in _VERBS or low in _NOUNS:
@@ -64,7 +73,9 @@ class PlainAnnotator:
 
 def annotate(sents: DataFrame, make: Callable[[], Annotator] = PlainAnnotator) -> DataFrame:
     """sents with tokens and ents. make() runs once in each Python worker's task, so a model is loaded once for all its rows.
-    Filter rows before: nothing is pushed below this."""
+    Filter rows before: nothing is pushed below this. If make has may_matter (a condition on sentences), others are left out."""
+    if hasattr(make, "may_matter"):
+        sents = sents.filter(make.may_matter(F.col("sentence")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = make()

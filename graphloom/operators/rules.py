@@ -127,7 +127,9 @@ def extract(annotated: DataFrame, triggers=TRIGGERS) -> DataFrame:
     subj = F.when(verb, subject(tokens, token, ents, filer)).when(above["pos"].isin("VERB", "AUX"), subject(tokens, above, ents, filer))
     end = token["idx"] + F.length(token["text"])
     obj = F.when(verb, first_of(F.array(object_(tokens, token, ents, filer, F.col("preps")), nearest_after(ents, end)))).otherwise(first_of(F.array(preposition_entity(tokens, token, ents, filer), nearest_after(ents, end, 200))))
-    rows = rows.withColumn("subj", first_of(F.array(subj, nearest_before(ents, token["idx"]), filer))).withColumn("obj", obj)
+    # inline() of one struct: a filter on its columns can't be pushed below it, where it would make them once for each mention.
+    pair = F.struct(first_of(F.array(subj, nearest_before(ents, token["idx"]), filer)).alias("subj"), obj.alias("obj"))
+    rows = rows.select("*", F.inline(F.array(pair)))
     s, o = F.col("subj"), F.col("obj")
     rows = rows.filter(s.isNotNull() & o.isNotNull() & (s != o) & ~F.lower(s).isin(*SKIP_WORDS) & ~F.lower(o).isin(*SKIP_WORDS) & (is_entity(s, ents, filer) | is_entity(o, ents, filer)))
     possessed = (F.coalesce(filer, F.lit("")) != "") & ((F.size(F.filter(_children(tokens, token, False, ("poss", "det")), lambda c: F.lower(c["text"]).isin(*SELF_WORDS))) > 0) | (token["dep"] == "dobj"))

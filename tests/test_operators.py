@@ -238,6 +238,11 @@ def test_plain_annotator(spark):
     sents = spark.createDataFrame([("INTC_2023.txt", 0, "In 2023 Acme Works supplies wafers to Bolt Labs every week")], schemas.SENTENCES)
     found = rules.extract(annotate.annotate(sents).withColumn("filer", F.lit("Intel")))
     assert heads(found) == [("Acme Works", "supplier_of", "Bolt Labs", 0.75)]
+    plain = annotate.PlainAnnotator()
+    said = ["He SUPPLIES it", "they relied on it", "nothing of that", "suppliers'", "re-uses", "unused", "alliances", "competing", ""]
+    made = spark.createDataFrame([("f", i, s) for i, s in enumerate(said)], schemas.SENTENCES)
+    kept = {r["sentence"] for r in made.filter(plain.may_matter(F.col("sentence"))).collect()}
+    assert {s for s in said if any(t["pos"] in ("VERB", "NOUN") for t in plain(s)[0])} <= kept and "nothing of that" not in kept and "unused" not in kept and len(kept) < len(said)
 
 
 def test_files_and_pipeline(spark, tmp_path):
