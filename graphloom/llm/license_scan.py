@@ -41,7 +41,8 @@ def words(text: str) -> list[str]:
 
 
 def increasing(values: list[int]) -> list[int]:
-    """The positions of a longest strictly increasing subsequence."""
+    """The positions of a longest strictly increasing subsequence: of equally long ones the one with the smallest last value, then
+    with the smallest value that can stand before it, and so on."""
     tails: list[int] = []
     at: list[int] = []
     before = [-1] * len(values)
