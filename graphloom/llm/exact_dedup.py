@@ -86,7 +86,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spare_bits long; a chance collision only makes a suspect, which the comparison of whole texts clears. Up to broadcast_rows
     suspect fingerprints are sent to all executors, and only suspects' texts are shuffled; more are joined by a shuffle.
     """
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    read = docs.select(F.col(text_col).cast("string").alias("text"))
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("row_id", "doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
@@ -98,17 +98,17 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     marks = sent.select("chunk", "owner", "n", "coded", "local").groupBy("owner").applyInPandas(_answer, "chunk string, owner int, marks binary")
     suspects = sent.select("chunk", "owner", "n", "held").join(marks, ["chunk", "owner"]).select("n", "held", "marks").mapInPandas(_suspects, "print long").distinct()
     suspects = sized(suspects, "op2-suspects", broadcast_rows)
-    again = read.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), normalised(F.col("text")).alias("norm"))
-    again = again.withColumn("sha", F.sha2("norm", 256)).withColumn("print", F.shiftright(_short(F.col("sha")), 60 - bits))
-    best = F.max(F.struct("chars", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("low")))
-    same = again.join(suspects, "print", "left_semi").groupBy("sha", "norm").agg(F.count("*").alias("group_size"), best.alias("best"))
-    classes = same.filter("group_size > 1").select("sha", "group_size", "best.chars", F.bitwise_not("best.low").alias("keep_id"))
-    one = F.first("group_size").alias("group_size"), F.first("keep_id").alias("keep_id"), F.first("chars").alias("most")
-    clash = F.when(F.count("*") > 1, F.raise_error(F.lit("different texts share a SHA-256"))).cast("int").alias("clash")
-    classes = table(classes.groupBy("sha").agg(*one, clash), "op2-classes")
-    # Of rows with the kept id and length, the first stays: ids can repeat.
-    stay = rows.join(classes, "sha").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("most"))).groupBy("sha").agg(F.min("row_id").alias("stay"))
-    out = rows.select("row_id", "doc_id", "sha").join(classes.join(stay, "sha").select("sha", "group_size", "keep_id", "stay"), "sha", "left")
+    short = F.shiftright(_short(F.col("sha")), 60 - bits)
+    again = read.select(normalised(F.col("text")).alias("norm")).withColumn("sha", F.sha2("norm", 256)).withColumn("print", short)
+    same = again.join(suspects, "print", "left_semi").groupBy("sha", "norm").agg(F.count("*").alias("n"))
+    # A group by SHA-256 is one by bytes if all its texts are the same; anything else ends the run.
+    kinds = same.groupBy("sha").agg(F.count("*").alias("kinds"))
+    best = F.max(F.struct("chars", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("low"), F.bitwise_not("row_id").alias("row"))).alias("best")
+    groups = rows.withColumn("print", short).join(suspects, "print", "left_semi").groupBy("sha").agg(F.count("*").alias("group_size"), best).filter("group_size > 1")
+    checked = F.when(F.col("kinds") > 1, F.raise_error(F.lit("different texts share a SHA-256"))).otherwise(F.col("group_size"))
+    classes = groups.join(kinds, "sha").select("sha", checked.cast("long").alias("group_size"), F.bitwise_not("best.low").alias("keep_id"), F.bitwise_not("best.row").alias("stay"))
+    # Nothing after this join needs the rows of a text together, so a text that very many rows share is split over tasks.
+    out = rows.select("row_id", "doc_id", "sha").join(table(classes, "op2-classes"), "sha", "left")
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
