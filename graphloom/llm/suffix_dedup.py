@@ -320,7 +320,7 @@ def _cut(length: int):
     return run
 
 
-def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, spread: int = 150, chunk_bytes: int = 16 << 20, owner_rows: int = 1_000_000, part_rows: int = 30_000, hot: int = 5_000) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, spread: int = 150, chunk_bytes: int = 16 << 20, owner_rows: int = 1_000_000, part_rows: int = 8_000, hot: int = 20_000) -> DataFrame:
     """row_id, doc_id, n_bytes, spans and kept of each row of docs: every byte of the UTF-8 text that a string of `length` bytes
     covers which also starts anywhere else, in the same or another text, is cut out. spans: the maximal ranges cut, by byte;
     kept: the other bytes.
