@@ -1,6 +1,7 @@
 """Language-model scores by stupid backoff, from n-gram counts of the whole corpus.
 
-1. Texts are gathered into chunks. A chunk row holds its texts, compressed.
+1. Texts are gathered into chunks. A chunk row holds its texts, compressed; the table of chunks is bucketed by chunk, so that
+   only counts travel to texts, never texts to counts.
 2. Each chunk explodes its texts into the hashes of all their n-grams, and sends those it holds, once each, with their
    numbers, sorted and Golomb-Rice coded, to the owner of that part of the hash range: the count tables, by hash.
 3. Owners add up and join each count back to the chunks that have the n-gram.
@@ -17,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, mixed, rice_decode, rice_encode, rounds, table, utf8, word_bounds
+from graphloom.sources.storage import delete_at_exit
+
+from .common import Hashes, mixed, new_folder, rice_decode, rice_encode, rounds, utf8, word_bounds
 
 _CHUNK = "chunk long, docs binary, known binary, at binary, text binary, n long"
 
@@ -116,6 +119,20 @@ def word_scores(found: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndar
     return out
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """df as a table in the shared folder in as many buckets of a column as shuffles have partitions: grouping by that column
+    then moves none of its rows. The catalog holds the table only until it is read."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    at = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(at, format="parquet")
+    delete_at_exit(spark, path)
+    made = spark.table(at)
+    made.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {at}")  # external: the files stay
+    return made
+
+
 _OUT = "doc_id long, n_words long, log_score double"
 
 
@@ -139,7 +156,7 @@ def _scores(bits: int, order: int, total: int, discount: float, least: int):
     return run
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, discount: float = 0.4, least: int = 2, chunk_bytes: int = 4 << 20, owner_rows: int = 2_000_000, spare_bits: int = 24) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, discount: float = 0.4, least: int = 2, chunk_bytes: int = 4 << 20, owner_rows: int = 2_000_000, spare_bits: int = 28) -> DataFrame:
     """doc_id, n_words, log_score of each row of docs: the sum of its words' log stupid-backoff scores.
 
     Counts come from all of docs, the row itself and its copies included; n-grams of two or more words that occur fewer than
@@ -148,9 +165,9 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     result. An n-gram's hash has log2(n-grams) + spare_bits bits: one in 2**spare_bits may share a count with another.
     """
     read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = table(read.mapInArrow(_chunks(chunk_bytes), _CHUNK), "op8-chunks")
+    chunks = bucketed(read.mapInArrow(_chunks(chunk_bytes), _CHUNK), "op8_chunks", "chunk")
     total = chunks.agg(F.sum("n").alias("n")).first()["n"] or 0
-    bits = min(60, max(32, (order * total).bit_length() + spare_bits))
+    bits = min(64, max(32, (order * total).bit_length() + spare_bits))
     owners = max(8, -(-order * total // owner_rows))
     sent = chunks.mapInArrow(_sent(owners, bits, order), "chunk long, owner int, n int, coded binary, counts binary")
     replies = sent.groupBy("owner").applyInPandas(_totals, "chunk long, owner int, counts binary")
@@ -166,12 +183,15 @@ def op8_lm_score(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 p AS (SELECT doc_id, unnest(words) AS c, generate_subscripts(words, 1) AS i FROM w),
-q AS (SELECT doc_id, c, lag(c, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM p),
+q AS (SELECT doc_id, i, c, lag(c, 1) OVER o AS b, lag(c, 2) OVER o AS a FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT count(*) AS n FROM q),
 u AS (SELECT c AS x, count(*) AS k FROM q GROUP BY ALL),
 v AS (SELECT b AS x, c AS y, count(*) AS k FROM q WHERE b IS NOT NULL GROUP BY ALL),
-s AS (SELECT q.doc_id, CASE WHEN v.k >= 2 THEN ln(v.k / g.k) ELSE ln(u.k / n.n) + CASE WHEN b IS NULL THEN 0 ELSE ln(0.4) END END AS score
-      FROM q CROSS JOIN n JOIN u ON u.x = q.c LEFT JOIN u AS g ON g.x = q.b LEFT JOIN v ON v.x = q.b AND v.y = q.c),
+t AS (SELECT a AS x, b AS y, c AS z, count(*) AS k FROM q WHERE a IS NOT NULL GROUP BY ALL),
+s AS (SELECT q.doc_id, CASE WHEN t.k >= 2 THEN ln(t.k / h.k) WHEN v.k >= 2 THEN ln(v.k / g.k) + CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END
+             ELSE ln(u.k / n.n) + CASE WHEN b IS NULL THEN 0 WHEN a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS score
+      FROM q CROSS JOIN n JOIN u ON u.x = q.c LEFT JOIN u AS g ON g.x = q.b LEFT JOIN v ON v.x = q.b AND v.y = q.c
+      LEFT JOIN v AS h ON h.x = q.a AND h.y = q.b LEFT JOIN t ON t.x = q.a AND t.y = q.b AND t.z = q.c),
 d AS (SELECT doc_id, count(*) AS n_words, sum(score) AS score FROM s GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_score,
        round(exp(-coalesce(score, 0) / greatest(coalesce(n_words, 0), 1)), 3) AS perplexity

@@ -329,6 +329,21 @@ def test_lm(docs, none, order):
     assert got == want and lm_score.lm_scores(none, order=order).count() == 0
 
 
+def test_lm_query_takes_trigrams(spark, tmp_path):
+    rows = [(1, "a b c"), (2, "a b c"), (3, "a b d"), (4, "x b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_score"] for r in lm_score.op8_lm_score(spark, str(tmp_path)).collect()}
+    assert got[1] == round(np.log(3 / 12) + np.log(3 / 3) + np.log(2 / 3), 4)
+
+
+def test_lm_moves_no_texts(spark, docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(lm_score, "bucketed", lambda *a, f=lm_score.bucketed: made.append(f(*a)) or made[-1])
+    lm_score.lm_scores(docs).count()
+    plan = made[0].groupBy("chunk").agg(F.first("text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 # 9 SimHash
 
 
