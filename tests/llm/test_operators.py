@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, common, exact_dedup, language_id, license_scan, lm_score, mixing, quality, simhash, suffix_dedup, warc
+from graphloom.llm import bpe, common, exact_dedup, language_id, license_scan, lm_score, mixing, near_copies, quality, simhash, suffix_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -421,6 +421,59 @@ def test_long_chain(spark):
     assert set(got.values()) == {0, 500} and len(got) == 203
 
 
+# Near copies by Jaccard similarity (the pipeline's stage)
+
+
+def plain_shingles(t):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_kept(rows, least=0.8):
+    sets = [plain_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        key = (d is None, d or 0)
+        low[find(i)] = min(key, low.get(find(i), key))
+    return Counter(None if none else d for none, d in low.values())
+
+
+def test_near_copies(spark, docs, none):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(30, 400)))]
+        for _ in range(30 if base == 0 else 4):  # one list longer than those whose pairs are all taken
+            copy = list(words)
+            for i in rng.integers(0, len(copy), int(rng.integers(0, 1 + len(copy) // 40))):
+                copy[i] = f"e{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(copy)))
+    plain = plain_kept(rows)
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert Counter(r["doc_id"] for r in got.collect()) == plain and 40 <= sum(plain.values()) < len(rows) - 60
+    assert Counter(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == plain_kept(pairs(docs))
+    assert near_copies.keep_one(docs).columns == docs.columns and near_copies.keep_one(none).count() == 0
+
+
+def test_near_copies_of_given_texts(spark):
+    full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert Counter(r["doc_id"] for r in near_copies.keep_one(full).collect()) == plain_kept(pairs(full))
+
+
 # 10 language ID
 
 
