@@ -88,8 +88,8 @@ def aligned(template: list[str], text: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Finds templates in texts. A template is looked for around each place where its word that is rarest in the text stands,
-    in as many words to each side as the template has."""
+    """Finds templates in texts. A template is looked for around each place of those of its words that are rarest in the text, as
+    many of them as a match must hold one of, in as many words to each side as the template has."""
 
     def __init__(self, templates: dict[str, str], least: float):
         self.templates = {name: words(t) for name, t in sorted(templates.items())}
@@ -97,24 +97,36 @@ class Scanner:
             raise ValueError("a template has no word")
         self.least = least
         self.sets = {name: Counter(t) for name, t in self.templates.items()}
+        self.need = {name: next((m for m in range(len(t) + 1) if m / len(t) >= least), len(t) + 1) for name, t in self.templates.items()}
         self.all = frozenset(w for t in self.templates.values() for w in t)
 
     def best(self, name: str, text: list[str], places: dict[str, list[int]]) -> tuple[float, int, int] | None:
         """The template's best coverage of at least `least`, and the first and last word it covers there; the first of equals."""
         template = self.templates[name]
         n = len(template)
-        present = [w for w in self.sets[name] if w in places]
+        ours, need = self.sets[name], self.need[name]
         # No alignment can match more words than the text has, so this bound loses nothing.
-        if sum(min(self.sets[name][w], len(places[w])) for w in present) < self.least * n:
+        if sum(min(c, len(places.get(w, ()))) for w, c in ours.items()) < need:
             return None
-        rare = min(present, key=lambda w: (len(places[w]), w))
+        # A match lacks at most n - need of the template's words, so it holds one of any n - need + 1 of them: the rarest.
+        left, around = n - need + 1, []
+        for w in sorted(ours, key=lambda w: (len(places.get(w, ())), w)):
+            if left <= 0:
+                break
+            left -= ours[w]
+            around += places.get(w, ())
         out = None
-        for p in places[rare]:
+        for p in sorted(around):
             start = max(0, p - n)
+            # The same bound within the window.
+            if sum(min(c, bisect_left(places.get(w, ()), p + n + 1) - bisect_left(places.get(w, ()), start)) for w, c in ours.items()) < need:
+                continue
             pairs = aligned(template, text[start : p + n + 1])
             share = len(pairs) / n
             if share >= self.least and (out is None or share > out[0]):
                 out = share, start + pairs[0][1], start + pairs[-1][1]
+                if share == 1:
+                    break
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:

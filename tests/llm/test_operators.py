@@ -203,6 +203,24 @@ def test_alignment(template, text):
     assert got == plain_aligned(template, text)
 
 
+def test_altered_licenses_with_stray_words():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    noise = " ".join(["lorem ipsum dolor"] * 20)
+    bsd = license_scan.TEMPLATES["BSD"].replace("Redistribution", "Redistributions").replace("binary", "object")
+    one, two = bsd.replace("source", "origin"), bsd.replace("following", "next")
+    for text in (f"{bsd} {noise} these binary files", f"these binary files {noise} {bsd}", f"{one} {noise} {two} {noise} binary redistribution"):
+        assert [m[0] for m in scanner.scan(text)] == ["BSD"]
+    name, share, first, last = scanner.scan(f"{bsd} {noise} these binary files")[0]
+    assert (name, share, first, last) == ("BSD", 19 / 21, 1, 20)
+    rng = np.random.default_rng(6)
+    for name, template in scanner.templates.items():  # any words that a match may lack, each of them elsewhere
+        for _ in range(20):
+            gone = set(rng.choice(len(template), len(template) - scanner.need[name], replace=False).tolist())
+            text = ["q" if i in gone else w for i, w in enumerate(template)]
+            stray = [template[i] for i in gone]
+            assert name in [m[0] for m in scanner.scan(" ".join([*stray, noise, noise, noise, *text, noise, noise, noise, *stray]))]
+
+
 def test_licenses(spark, docs, none):
     noise = "lorem ipsum dolor " * 300
     rows = [(1, noise + "Released under the MIT License. " + noise), (2, noise), (3, "released  UNDER\nthe mit license! " * 3), (4, None), (5, ""), (6, license_scan.TEMPLATES["Apache-2.0 header"].replace("law", "LAW!")), (7, "license the under released mit")]
