@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rounds, utf8
@@ -107,16 +107,23 @@ def predict(model: LanguageFilter, texts: list[str | None]) -> tuple[list[str],
 
 
 def training_rows(docs: DataFrame, *, most: int = 4000, most_chars: int = 4000) -> list[tuple[str, str]]:
-    """A sample of at most `most` labelled rows for fit(), the same at every run: those that a hash of id and text puts first.
+    """A sample of at most `most` labelled rows for fit(), the same at every run: of each language an equal part of `most`, those
+    rows that a hash of id and text puts first.
 
-    The driver gets no more than most * most_chars characters; only this sample is cut, no text that is predicted.
+    The driver gets a count for each language and no more than most * most_chars characters; only this sample is cut, no text
+    that is predicted.
     """
     order = F.xxhash64("doc_id", "text")
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # A hash below this bound leaves about twice as many rows as are wanted: so few reach the driver from all partitions together.
-    bound = min((1 << 63) - 1, (2 * most << 64) // max(1, labelled.count()) - (1 << 63))
-    rows = labelled.select("lang", F.substring("text", 1, most_chars).alias("text"), order.alias("at")).filter(F.col("at") <= F.lit(bound))
-    return [(r["lang"], r["text"]) for r in rows.orderBy("at", "lang", "text").limit(most).collect()]
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    each = max(1, most // len(counts))
+    # A hash below its language's bound leaves about twice as many rows as are wanted: so few are ranked.
+    bounds = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min((1 << 63) - 1, (2 * each << 64) // n - (1 << 63)))])
+    rows = labelled.select("lang", F.substring("text", 1, most_chars).alias("text"), order.alias("at")).filter(F.col("at") <= bounds[F.col("lang")])
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).filter(F.col("rank") <= each)
+    return [(r["lang"], r["text"]) for r in ranked.orderBy("at", "lang", "text").limit(most).collect()]
 
 
 def languages(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -147,10 +154,12 @@ def held_out(doc_id):
 
 
 def keep_known(docs: DataFrame, *, least: float = 0.1) -> DataFrame:
-    """docs with all their columns, without those that have no letter or whose n-grams hardly any language has (a score
-    below `least`); a null lang becomes the language found."""
+    """docs with all their columns, without those that have no letter and those without a lang whose n-grams hardly any language
+    has (a score below `least`); a null lang becomes the language found. If nothing could be learned, only the former go."""
     model = fit(training_rows(docs.filter(~held_out(F.col("doc_id")))))
-    found = languages(docs, model, columns=tuple(docs.columns)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = languages(docs, model, columns=tuple(docs.columns)).filter((F.col("lang_pred") != "und") & (F.col("lang").isNotNull() | (F.col("score") >= least)))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

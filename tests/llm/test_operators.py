@@ -520,3 +520,15 @@ def test_filter_corrects_for_false_positives():
 def test_sample_is_bounded(docs):
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     assert len(language_id.training_rows(docs, most=5)) <= 5 and len(language_id.training_rows(docs)) == labelled.count()
+
+
+def test_rare_languages_are_learned_and_kept(spark):
+    rows = [(i, f"the word {i} and that of it", "en") for i in range(3000)] + [(5000 + i, "ένα κείμενο στα ελληνικά", "el") for i in range(6)]
+    rows += [(6000, "слово само", "ru"), (6001, "12 !?", "ru"), (6002, None, "ru"), (6003, "ქართული ენა", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = Counter(lang for lang, _ in language_id.training_rows(table, most=300))
+    assert sample["el"] == 6 and sum(sample.values()) <= 300 and sample["en"] == 100
+    kept = {r["doc_id"] for r in language_id.keep_known(table).collect()}
+    assert kept >= set(range(3000)) | set(range(5000, 5006)) | {6000} and not kept & {6001, 6002, 6003}
+    plain = table.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language_id.keep_known(plain).collect()} == {d for d, _, _ in rows} - {6001, 6002}
