@@ -2,7 +2,7 @@
 
 1. Each source's documents, in a pseudorandom order, are one stream of words, packed into blocks of fixed length.
 2. The mix is a row of slots in shards. Each shard draws how many slots each source gets: the whole part of its expected
-   count, and a multinomial draw for what is left over.
+   count, and a multinomial draw for what is left over. Sources near the most that they can give have their slots exactly.
 3. A source's k-th slot in the whole mix takes the block at position k, round after round, of a pseudorandom permutation of
    the source's block indices, another one in each round; slots and blocks are joined by that index.
 """
@@ -85,6 +85,25 @@ def draws(shard: int, slots: int, share: np.ndarray, seed: int) -> np.ndarray:
     return counts
 
 
+def fixed(expected: np.ndarray, blocks: list[int], most: int, shards: int) -> np.ndarray:
+    """The slots of each source whose draws could go beyond `most` turns of its blocks and would be cut; 0 for all others. They
+    are given exactly, as a cut is never made good."""
+    cap = most * np.array(blocks, np.int64)
+    near = (expected > 0.5) & (expected + 4 * np.sqrt(np.minimum(expected, shards)) > cap)
+    return np.where(near, np.minimum(np.rint(expected).astype(np.int64), cap), 0)
+
+
+def shard_draws(shard: int, shard_slots: int, slots: int, share: np.ndarray, exact: np.ndarray, seed: int) -> np.ndarray:
+    """Slots of one shard for each source: sources with an exact number have it spread evenly over the shards, the others draw
+    what is left."""
+    start, end = shard * shard_slots, min(slots, (shard + 1) * shard_slots)
+    part = lambda n: end * n // slots - start * n // slots
+    counts = np.array([part(n) for n in exact.tolist()], np.int64)
+    rest = np.where(exact > 0, 0, share)
+    left = part(max(0, slots - int(exact.sum())))
+    return counts + draws(shard, left, rest / rest.sum(), seed) if left and rest.sum() > 0 else counts
+
+
 @dataclass
 class Mix:
     """rows: row_id, doc_id, source, size, source_size, target, taken. pieces: row_id, first and last word of a document's
@@ -114,6 +133,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     expected = np.array([g / (n / b) if n else 0.0 for g, n, b in zip(goal, sizes, blocks, strict=True)])
     slots = int(round(expected.sum()))
     share = expected / expected.sum() if slots else expected
+    exact = fixed(expected, blocks, most, -(-slots // shard_slots))
     sources = spark.createDataFrame(
         [(i, s, n, float(g), int(b), max(1, -(-r // bucket_rows))) for i, ((s, n, r), g, b) in enumerate(zip(found, goal, blocks, strict=True))],
         "s int, source string, source_size long, target double, blocks long, buckets long",
@@ -135,7 +155,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     def shard_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in batch["id"].tolist():
-                counts = draws(k, min(shard_slots, slots - k * shard_slots), share, seed)
+                counts = shard_draws(k, shard_slots, slots, share, exact, seed)
                 yield pd.DataFrame({"shard": k, "s": np.arange(len(counts), dtype=np.int32), "n": counts})
 
     def slot_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -90,6 +90,17 @@ def test_permutation(n, seed):
     assert sorted(mixing.permuted(np.arange(n), n, seed).tolist()) == list(range(n))
 
 
+def test_small_capped_sources_reach_their_targets(spark):
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(i, text(128), f"a{i}") for i in range(6)] + [(100 + i, text(640), "z") for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_slots=4).rows.collect()
+    assert all(r["target"] == 384 and r["taken"] == 384 for r in got if r["source"] != "z")
+    assert sum(r["taken"] for r in got) == 128 * 6 + 640 * 60
+    share, exact = np.array([6, 6, 588]) / 600, np.array([6, 6, 0])
+    total = sum(mixing.shard_draws(k, 7, 600, share, exact, 11) for k in range(86))
+    assert total.tolist() == [6, 6, 588]
+
+
 def test_taken_texts():
     assert mixing.taken_texts("a  b\tc d", [(0, 2, 2), (2, 4, 1)]) == ["a  b\tc d", "a  b"]
     assert mixing.taken_texts("a b c d", [(0, 1, 1), (3, 4, 1)]) == ["a d"]
