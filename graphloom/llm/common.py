@@ -1,16 +1,16 @@
-"""What the training-data operators share: shared storage, word rules, byte views of Arrow text, Rice coding."""
+"""What the training-data operators share: shared storage, chunks of texts, word rules, byte views of Arrow text, Rice coding."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.storage import materialize, shared_dir
+from graphloom.sources.storage import delete_at_exit, materialize, shared_dir
 
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -65,6 +65,56 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """df as a table in the shared folder in as many buckets of a column as shuffles have partitions, whatever the input's size:
+    grouping by that column then moves none of its rows. The catalog holds the table only until it is read."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    at = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).saveAsTable(at, format="parquet")
+    delete_at_exit(spark, path)
+    made = spark.table(at)
+    made.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {at}")  # external: the files stay
+    return made
+
+
+#: A row for each chunk: the ids of its rows, their documents' ids (and which are known), the offsets of their texts, the texts
+#: themselves, compressed, and a measure of them.
+CHUNK = "chunk long, ids binary, docs binary, known binary, at binary, text binary, n long"
+
+
+def chunked(docs: DataFrame, name: str, *, id_col: str, text_col: str, row_col: str | None, chunk_bytes: int, measure: Callable[[np.ndarray, np.ndarray], int] = lambda raw, at: len(raw)) -> DataFrame:
+    """docs as chunks (CHUNK) of about chunk_bytes or of one text, bucketed by chunk: no text is shuffled, now or later."""
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    read = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column("text"))
+            ids, doc = batch.column("row_id").to_numpy(), batch.column("doc_id")
+            known, doc = np.array(doc.is_valid()), doc.fill_null(0).to_numpy()
+            for a, b in rounds(np.diff(offsets), chunk_bytes):
+                part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                row = (int(ids[a]), ids[a:b].tobytes(), doc[a:b].tobytes(), known[a:b].tobytes(), at.tobytes(), pa.compress(part.tobytes(), "zstd", asbytes=True), measure(part, at))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[c.split()[0] for c in CHUNK.split(", ")])
+
+    return bucketed(read.mapInArrow(run, CHUNK), name, "chunk")
+
+
+def chunk_texts(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a chunk's texts and the offsets between them."""
+    offsets = np.frombuffer(row["at"], np.int64)
+    return np.frombuffer(pa.decompress(row["text"], int(offsets[-1]), "zstd", asbytes=True), np.uint8), offsets
+
+
+def grown(size: int, total: int, beyond: int = 1 << 40) -> int:
+    """size, times the square root of what total is of `beyond` bytes: if chunks and owners both grow so, the messages between them
+    grow in proportion to the input and not with its square."""
+    return int(size * max(1.0, total / beyond) ** 0.5)
+
+
 def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The sum of values[start:end] for each range; empty ranges give 0."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

@@ -18,29 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources.storage import delete_at_exit
-
-from .common import Hashes, mixed, new_folder, rice_decode, rice_encode, rounds, utf8, word_bounds
-
-_CHUNK = "chunk long, docs binary, known binary, at binary, text binary, n long"
-
-
-def _chunks(chunk_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
-            ids = batch.column("row_id").to_numpy()
-            docs = batch.column("doc_id")
-            known = np.array(docs.is_valid())
-            docs = docs.fill_null(0).to_numpy()
-            for a, b in rounds(np.diff(offsets), chunk_bytes):
-                part = raw[offsets[a] : offsets[b]]
-                at = offsets[a : b + 1] - offsets[a]
-                row = (int(ids[a]), docs[a:b].tobytes(), known[a:b].tobytes(), at.tobytes(), pa.compress(part.tobytes(), "zstd", asbytes=True), len(word_bounds(part, at)[0]))
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "docs", "known", "at", "text", "n"])
-
-    return run
-
+from .common import Hashes, chunk_texts, chunked, grown, mixed, rice_decode, rice_encode, word_bounds
 
 def grams(word: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length from 1 to order: the hashes of the n-grams of that length and the words at which they end. word: hashes
@@ -59,8 +37,7 @@ def grams(word: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray
 
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of a chunk row and the offsets of its texts in them."""
-    offsets = np.frombuffer(row["at"], np.int64)
-    raw = np.frombuffer(pa.decompress(row["text"], int(offsets[-1]), "zstd", asbytes=True), np.uint8)
+    raw, offsets = chunk_texts(row)
     starts, ends, at = word_bounds(raw, offsets)
     return Hashes(raw).of(starts, ends), at
 
@@ -119,20 +96,6 @@ def word_scores(found: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndar
     return out
 
 
-def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
-    """df as a table in the shared folder in as many buckets of a column as shuffles have partitions: grouping by that column
-    then moves none of its rows. The catalog holds the table only until it is read."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    at = path.rsplit("/", 1)[1].replace("-", "_")
-    df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(at, format="parquet")
-    delete_at_exit(spark, path)
-    made = spark.table(at)
-    made.schema  # resolved before the name goes
-    spark.sql(f"DROP TABLE {at}")  # external: the files stay
-    return made
-
-
 _OUT = "doc_id long, n_words long, log_score double"
 
 
@@ -156,19 +119,19 @@ def _scores(bits: int, order: int, total: int, discount: float, least: int):
     return run
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, discount: float = 0.4, least: int = 2, chunk_bytes: int = 4 << 20, owner_rows: int = 2_000_000, spare_bits: int = 28) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, discount: float = 0.4, least: int = 1, chunk_bytes: int = 4 << 20, owner_rows: int = 2_000_000, spare_bits: int = 28) -> DataFrame:
     """doc_id, n_words, log_score of each row of docs: the sum of its words' log stupid-backoff scores.
 
-    Counts come from all of docs, the row itself and its copies included; n-grams of two or more words that occur fewer than
-    `least` times are left out and back off. Words are runs of other than space and U+0009 to U+000D; n-grams don't cross
+    Counts come from all of docs, the row itself and its copies included, and all n-grams count; with a higher `least`, those of
+    two or more words that occur fewer than `least` times back off. Words are runs of other than space and U+0009 to U+000D; n-grams don't cross
     texts. Null and empty texts have no words and a score of 0; repeated rows count each; an empty table gives an empty
     result. An n-gram's hash has log2(n-grams) + spare_bits bits: one in 2**spare_bits may share a count with another.
     """
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = bucketed(read.mapInArrow(_chunks(chunk_bytes), _CHUNK), "op8_chunks", "chunk")
+    size = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
+    chunks = chunked(docs, "op8-chunks", id_col=id_col, text_col=text_col, row_col=None, chunk_bytes=grown(chunk_bytes, size), measure=lambda raw, at: len(word_bounds(raw, at)[0]))
     total = chunks.agg(F.sum("n").alias("n")).first()["n"] or 0
     bits = min(64, max(32, (order * total).bit_length() + spare_bits))
-    owners = max(8, -(-order * total // owner_rows))
+    owners = max(8, -(-order * total // grown(owner_rows, size)))
     sent = chunks.mapInArrow(_sent(owners, bits, order), "chunk long, owner int, n int, coded binary, counts binary")
     replies = sent.groupBy("owner").applyInPandas(_totals, "chunk long, owner int, counts binary")
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scores(bits, order, total, discount, least), _OUT)
@@ -188,7 +151,7 @@ n AS (SELECT count(*) AS n FROM q),
 u AS (SELECT c AS x, count(*) AS k FROM q GROUP BY ALL),
 v AS (SELECT b AS x, c AS y, count(*) AS k FROM q WHERE b IS NOT NULL GROUP BY ALL),
 t AS (SELECT a AS x, b AS y, c AS z, count(*) AS k FROM q WHERE a IS NOT NULL GROUP BY ALL),
-s AS (SELECT q.doc_id, CASE WHEN t.k >= 2 THEN ln(t.k / h.k) WHEN v.k >= 2 THEN ln(v.k / g.k) + CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END
+s AS (SELECT q.doc_id, CASE WHEN t.k >= 1 THEN ln(t.k / h.k) WHEN v.k >= 1 THEN ln(v.k / g.k) + CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END
              ELSE ln(u.k / n.n) + CASE WHEN b IS NULL THEN 0 WHEN a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS score
       FROM q CROSS JOIN n JOIN u ON u.x = q.c LEFT JOIN u AS g ON g.x = q.b LEFT JOIN v ON v.x = q.b AND v.y = q.c
       LEFT JOIN v AS h ON h.x = q.a AND h.y = q.b LEFT JOIN t ON t.x = q.a AND t.y = q.b AND t.z = q.c),

@@ -322,7 +322,7 @@ def plain_cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 0}, {"length": 40, "spread": 20, "part_rows": 5}, {"length": 30, "spread": 8, "hot": 2, "owner_rows": 10, "chunk_bytes": 500}])
+@pytest.mark.parametrize("options", [{}, {"hot": 0}, {"length": 40, "spread": 20, "part_rows": 5, "hot": 1}, {"length": 30, "spread": 8, "hot": 2, "owner_rows": 10, "chunk_bytes": 500}, {"chunk_bytes": 1}])
 def test_cut_repeats(docs, options):
     texts = [(t or "").encode() for _, t in pairs(docs)]
     want = Counter((b, *x) for b, x in zip(texts, plain_cut(texts, options.get("length", 200)), strict=True))
@@ -332,6 +332,26 @@ def test_cut_repeats(docs, options):
     assert got == Counter((len(b), s, k) for (b, s, k), n in want.items() for _ in range(n))
 
 
+def test_cut_one_passage_in_many_contexts(spark, monkeypatch):
+    """A passage that 300 texts share, each with other text around it, so that keys have up to 300 contexts: split twice."""
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 30, n))
+    passage, edge = text(60), text(3)
+    rows = [(i, f"{text(30)} {edge if i % 3 else ''} {passage}{'x' * (i % 5)}{text(30)}") for i in range(300)]
+    rows += [(900, "q" * 700), (901, " " * 450), (902, "漢" * 200 + "z" + "漢" * 150)]
+    made = []
+    monkeypatch.setattr(suffix_dedup, "_split", lambda length, width, f=suffix_dedup._split: made.append(width) or f(length, width))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (tuple((s["start"], s["end"]) for s in r["spans"]), bytes(r["kept"])) for r in suffix_dedup.cut_repeats(table, hot=50).collect()}
+    assert made == [16, 1] and got == {d: x for (d, _), x in zip(rows, plain_cut([t.encode() for _, t in rows], 200), strict=True)}
+
+
+def test_cut_given_texts(spark):
+    rows = pairs(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    want = {d: (len(b), sum(y - x for x, y in s), len(s), hashlib.sha256(k).hexdigest()) for (d, _), b, (s, k) in zip(rows, [(t or "").encode() for _, t in rows], plain_cut([(t or "").encode() for _, t in rows], 200), strict=True)}
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.op7_suffix_dedup(spark, "/root/testdata/sf0.001").collect()} == want
+
+
 def test_cut_nothing(none, spark):
     assert suffix_dedup.cut_repeats(none).count() == 0
     with pytest.raises(ValueError):
@@ -341,8 +361,8 @@ def test_cut_nothing(none, spark):
 # 8 language-model scoring
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm(docs, none, order):
+@pytest.mark.parametrize(("order", "least"), [(1, 1), (2, 2), (3, 1), (3, 2)])
+def test_lm(docs, none, order, least):
     texts = [(d, WORD.findall(t or "")) for d, t in pairs(docs)]
     counts = [Counter(tuple(w[i : i + k]) for _, w in texts for i in range(len(w) - k + 1)) for k in range(order + 1)]
     total = sum(len(w) for _, w in texts)
@@ -351,10 +371,10 @@ def test_lm(docs, none, order):
         gram = tuple(words[i - k + 1 : i + 1])
         if k == 1:
             return np.log(counts[1][gram] / total)
-        return np.log(counts[k][gram] / counts[k - 1][gram[:-1]]) if counts[k][gram] >= 2 else np.log(0.4) + score(words, i, k - 1)
+        return np.log(counts[k][gram] / counts[k - 1][gram[:-1]]) if counts[k][gram] >= least else np.log(0.4) + score(words, i, k - 1)
 
     want = Counter((d, len(w), round(sum(score(w, i, min(order, i + 1)) for i in range(len(w))), 5)) for d, w in texts)
-    got = Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5) + 0.0) for r in lm_score.lm_scores(docs, order=order, chunk_bytes=3000, owner_rows=100).collect())
+    got = Counter((r["doc_id"], r["n_words"], round(r["log_score"], 5) + 0.0) for r in lm_score.lm_scores(docs, order=order, least=least, chunk_bytes=3000, owner_rows=100).collect())
     assert got == want and lm_score.lm_scores(none, order=order).count() == 0
 
 
@@ -367,7 +387,7 @@ def test_lm_query_takes_trigrams(spark, tmp_path):
 
 def test_lm_moves_no_texts(spark, docs, monkeypatch):
     made = []
-    monkeypatch.setattr(lm_score, "bucketed", lambda *a, f=lm_score.bucketed: made.append(f(*a)) or made[-1])
+    monkeypatch.setattr(lm_score, "chunked", lambda *a, f=lm_score.chunked, **k: made.append(f(*a, **k)) or made[-1])
     lm_score.lm_scores(docs).count()
     plan = made[0].groupBy("chunk").agg(F.first("text"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
