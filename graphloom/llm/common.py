@@ -24,6 +24,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df hasn't."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and lost executors cost no more than a read."""
     return materialize(df, name)
@@ -81,11 +90,11 @@ def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
 
 
 #: A row for each chunk: the ids of its rows, their documents' ids (and which are known), the offsets of their texts, the texts
-#: themselves, compressed, and a measure of them.
-CHUNK = "chunk long, ids binary, docs binary, known binary, at binary, text binary, n long"
+#: themselves, compressed, a measure of them, and what else is kept of them.
+CHUNK = "chunk long, ids binary, docs binary, known binary, at binary, text binary, n long, more binary"
 
 
-def chunked(docs: DataFrame, name: str, *, id_col: str, text_col: str, row_col: str | None, chunk_bytes: int, measure: Callable[[np.ndarray, np.ndarray], int] = lambda raw, at: len(raw)) -> DataFrame:
+def chunked(docs: DataFrame, name: str, *, id_col: str, text_col: str, row_col: str | None, chunk_bytes: int, measure: Callable[[np.ndarray, np.ndarray], int] = lambda raw, at: len(raw), more: Callable[[np.ndarray, np.ndarray], bytes] = lambda raw, at: b"") -> DataFrame:
     """docs as chunks (CHUNK) of about chunk_bytes or of one text, bucketed by chunk: no text is shuffled, now or later."""
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     read = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -97,7 +106,7 @@ def chunked(docs: DataFrame, name: str, *, id_col: str, text_col: str, row_col:
             known, doc = np.array(doc.is_valid()), doc.fill_null(0).to_numpy()
             for a, b in rounds(np.diff(offsets), chunk_bytes):
                 part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                row = (int(ids[a]), ids[a:b].tobytes(), doc[a:b].tobytes(), known[a:b].tobytes(), at.tobytes(), pa.compress(part.tobytes(), "zstd", asbytes=True), measure(part, at))
+                row = (int(ids[a]), ids[a:b].tobytes(), doc[a:b].tobytes(), known[a:b].tobytes(), at.tobytes(), pa.compress(part.tobytes(), "zstd", asbytes=True), measure(part, at), more(part, at))
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[c.split()[0] for c in CHUNK.split(", ")])
 
     return bucketed(read.mapInArrow(run, CHUNK), name, "chunk")

@@ -1,8 +1,10 @@
 """Mixing sources to target weights.
 
-1. Each source's documents, in a pseudorandom order, are one stream of words, packed into blocks of fixed length.
-2. The mix is a row of slots in shards. Each shard draws how many slots each source gets: the whole part of its expected
-   count, and a multinomial draw for what is left over. Sources near the most that they can give have their slots exactly.
+1. Each source's documents, in a pseudorandom order, are one stream of words, packed into blocks of a length that is fixed for
+   the source: shorter ones where a target is so small that whole blocks would miss it.
+2. The mix is a row of slots in shards. How many slots of a shard each source gets is a multinomial draw, given that all shards
+   together have each source's slots: drawn by halves, down from the whole row of shards to the single shard, so that a shard
+   needs no other shard's draw and knows how many slots of a source lie before it.
 3. A source's k-th slot in the whole mix takes the block at position k, round after round, of a pseudorandom permutation of
    the source's block indices, another one in each round; slots and blocks are joined by that index.
 """
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, rounds, table, utf8, word_bounds
+from .common import WORD_CLASS, rounds, table, unused, utf8, word_bounds
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -31,7 +33,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.zeros(0, np.int64)]
         for a, b in rounds(np.diff(offsets)):
             parts.append(np.diff(word_bounds(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2]))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row_id", "doc_id", "source")] + [pa.array(np.concatenate(parts), pa.int64())], names=["row_id", "doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row_id", "doc_id", "source", "at", "part")] + [pa.array(np.concatenate(parts), pa.int64())], names=["row_id", "doc_id", "source", "at", "part", "size"])
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS) -> list[float]:
@@ -74,34 +76,40 @@ def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draws(shard: int, slots: int, share: np.ndarray, seed: int) -> np.ndarray:
-    """Slots of one shard for each source."""
-    expected = slots * share
-    counts = np.floor(expected).astype(np.int64)
-    left = slots - int(counts.sum())
-    if left > 0:
-        rest = np.maximum(expected - counts, 0)
-        counts += np.random.default_rng([seed, shard]).multinomial(left, rest / rest.sum())
-    return counts
+def block_length(target: float, most: int) -> int:
+    """Words in a source's blocks: `most`, or so few that its target is made up of 32 blocks or more."""
+    return max(1, min(most, int(target / 32)))
 
 
-def fixed(expected: np.ndarray, blocks: list[int], most: int, shards: int) -> np.ndarray:
-    """The slots of each source whose draws could go beyond `most` turns of its blocks and would be cut; 0 for all others. They
-    are given exactly, as a cut is never made good."""
-    cap = most * np.array(blocks, np.int64)
-    near = (expected > 0.5) & (expected + 4 * np.sqrt(np.minimum(expected, shards)) > cap)
-    return np.where(near, np.minimum(np.rint(expected).astype(np.int64), cap), 0)
+#: Draws without replacement from more than this are beyond numpy's sampler.
+_LARGE = 500_000_000
 
 
-def shard_draws(shard: int, shard_slots: int, slots: int, share: np.ndarray, exact: np.ndarray, seed: int) -> np.ndarray:
-    """Slots of one shard for each source: sources with an exact number have it spread evenly over the shards, the others draw
-    what is left."""
-    start, end = shard * shard_slots, min(slots, (shard + 1) * shard_slots)
-    part = lambda n: end * n // slots - start * n // slots
-    counts = np.array([part(n) for n in exact.tolist()], np.int64)
-    rest = np.where(exact > 0, 0, share)
-    left = part(max(0, slots - int(exact.sum())))
-    return counts + draws(shard, left, rest / rest.sum(), seed) if left and rest.sum() > 0 else counts
+def drawn(slots: np.ndarray, left: int, seed: list[int]) -> np.ndarray:
+    """How many of each source's slots are among `left` that are drawn from all of them, none twice: multinomial counts, given
+    each source's total. Where there are too many to draw from, whole shares are taken and only the rest is drawn."""
+    rng, total, out = np.random.default_rng(seed), int(slots.sum()), np.zeros(len(slots), np.int64)
+    if total >= _LARGE:
+        out = np.array([n * left // total for n in slots.tolist()], np.int64)
+        spare = slots - out
+        top = np.argsort(-spare, kind="stable")[: max(1, 2 * (left - int(out.sum())))]
+        pick = np.zeros(len(slots), np.int64)
+        pick[top] = np.minimum(spare[top], _LARGE // (2 * len(top)))
+        return out + rng.multivariate_hypergeometric(pick, left - int(out.sum()), method="marginals")
+    return rng.multivariate_hypergeometric(slots, left, method="marginals")
+
+
+def shard_draw(shard: int, shards: int, shard_slots: int, slots: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source before the shard, and in it. All shards but the last have shard_slots."""
+    first, last, before, here = 0, shards, np.zeros(len(slots), np.int64), slots
+    while last - first > 1:
+        half = (first + last) // 2
+        lower = drawn(here, (half - first) * shard_slots, [seed, first, last])
+        if shard < half:
+            last, here = half, lower
+        else:
+            first, before, here = half, before + lower, here - lower
+    return before, here
 
 
 @dataclass
@@ -118,58 +126,55 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     Sources by code point, null last, have the weights in turn. No block, and so no document, is taken more than `most`
     times. Null and empty texts have size 0 and nothing is taken of them; repeated rows are documents of their own; an empty
-    table gives an empty mix. The result depends on the rows alone, not on how they are partitioned. The driver holds one
-    row for each source; all else stays distributed.
+    table gives an empty mix. The result depends on ids and texts alone, not on how rows are partitioned: only rows that agree
+    in both are told apart by their numbers. The driver and each task hold one row for each source; all else is distributed.
     """
     spark = docs.sparkSession
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    read = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    rows = table(read.mapInArrow(_word_counts, "row_id long, doc_id long, source string, size long"), "op1-sizes")
+    text = F.col(text_col).cast("string")
+    read = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text.alias("text"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text).alias("at"), F.spark_partition_id().alias("part"))
+    rows = table(read.mapInArrow(_word_counts, "row_id long, doc_id long, source string, at long, part int, size long"), "op1-sizes")
     found = [(r["source"], r["size"], r["rows"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()]
     found.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     sizes = [r[1] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
-    blocks = [-(-n // block_words) for n in sizes]
-    expected = np.array([g / (n / b) if n else 0.0 for g, n, b in zip(goal, sizes, blocks, strict=True)])
-    slots = int(round(expected.sum()))
-    share = expected / expected.sum() if slots else expected
-    exact = fixed(expected, blocks, most, -(-slots // shard_slots))
+    lengths = [block_length(g, block_words) for g in goal]
+    blocks = [-(-n // k) for n, k in zip(sizes, lengths, strict=True)]
+    slots = np.array([min(most * b, round(g * b / n)) if n else 0 for g, n, b in zip(goal, sizes, blocks, strict=True)], np.int64)
+    shards = max(1, -(-int(slots.sum()) // shard_slots))
     sources = spark.createDataFrame(
-        [(i, s, n, float(g), int(b), max(1, -(-r // bucket_rows))) for i, ((s, n, r), g, b) in enumerate(zip(found, goal, blocks, strict=True))],
-        "s int, source string, source_size long, target double, blocks long, buckets long",
+        [(i, s, n, float(g), int(k), int(b), max(1, -(-r // bucket_rows))) for i, ((s, n, r), g, k, b) in enumerate(zip(found, goal, lengths, blocks, strict=True))],
+        "s int, source string, source_size long, target double, length long, blocks long, buckets long",
     )  # a row for each source
-    order = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = rows.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source"))).drop("own").withColumn("at", order).withColumn("bucket", F.pmod("at", "buckets"))
+    placed = rows.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source"))).drop("own").withColumn("bucket", F.pmod("at", "buckets"))
 
-    # Where each document starts in its source's stream: sums within buckets of bounded size, then over the buckets.
-    within = Window.partitionBy("s", "bucket").orderBy("at", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    # Where each document starts in its source's stream: sums over rows with the same hash in one input partition, which are
+    # few even where very many rows are equal, then over those groups within buckets, then over buckets.
+    group = ["s", "bucket", "at", "part"]
+    within = Window.partitionBy(*group).orderBy("size", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "bucket").orderBy("at", "part").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = placed.filter("size > 0")
-    bases = filled.groupBy("s", "bucket").agg(F.sum("size").alias("n")).select("s", "bucket", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
-    starts = filled.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["s", "bucket"]).select("row_id", "s", "size", (F.col("base") + F.col("before")).alias("start"))
-    first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
-    pieces = starts.select("row_id", "s", "size", "start", F.explode(F.sequence(first, last)).alias("block"))
-    low, high = F.col("block") * block_words - F.col("start"), (F.col("block") + 1) * block_words - F.col("start")
+    groups = filled.groupBy(*group).agg(F.sum("size").alias("n"))
+    bases = groups.groupBy("s", "bucket").agg(F.sum("n").alias("n")).select("s", "bucket", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    firsts = groups.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(bases, ["s", "bucket"]).select(*group, (F.col("base") + F.col("before")).alias("base"))
+    starts = filled.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(firsts, group).select("row_id", "s", "size", "length", (F.col("base") + F.col("before")).alias("start"))
+    pieces = starts.select("row_id", "s", "size", "length", "start", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
+    low, high = F.col("block") * F.col("length") - F.col("start"), (F.col("block") + 1) * F.col("length") - F.col("start")
     pieces = pieces.select("row_id", "s", "block", F.greatest(low, F.lit(0)).alias("first"), F.least(high, "size").alias("last"))
 
-    def shard_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in batch["id"].tolist():
-                counts = shard_draws(k, shard_slots, slots, share, exact, seed)
-                yield pd.DataFrame({"shard": k, "s": np.arange(len(counts), dtype=np.int32), "n": counts})
-
     def slot_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s, n, at, size in zip(batch["s"].tolist(), batch["n"].tolist(), batch["at"].tolist(), batch["blocks"].tolist(), strict=True):
-                slot = np.arange(at, min(at + n, most * size))
-                for turn in range(int(slot[0]) // size, int(slot[-1]) // size + 1) if len(slot) else ():
-                    k = slot[slot // size == turn] % size
-                    yield pd.DataFrame({"s": np.int32(s), "block": permuted(k, size, seed * 1_000_003 + s * 101 + turn)})
-
-    counts = spark.range(-(-slots // shard_slots)).mapInPandas(shard_counts, "shard long, s int, n long").filter("n > 0")
-    running = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = counts.withColumn("at", F.coalesce(F.sum("n").over(running), F.lit(0))).join(sources.select("s", "blocks"), "s")
-    times = drawn.select("s", "n", "at", "blocks").mapInPandas(slot_blocks, "s int, block long").groupBy("s", "block").agg(F.count("*").alias("times"))
+            for k in batch["id"].tolist() if slots.sum() else ():
+                before, here = shard_draw(k, shards, shard_slots, slots, seed)
+                for s in np.flatnonzero(here).tolist():
+                    slot, size = np.arange(before[s], before[s] + here[s]), blocks[s]
+                    for turn in range(int(slot[0]) // size, int(slot[-1]) // size + 1):
+                        at = slot[slot // size == turn] % size
+                        yield pd.DataFrame({"s": np.int32(s), "block": permuted(at, size, seed * 1_000_003 + s * 101 + turn)})
+
+    tasks = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    times = spark.range(0, shards, 1, tasks).mapInPandas(slot_blocks, "s int, block long").groupBy("s", "block").agg(F.count("*").alias("times"))
     taken_pieces = pieces.join(times, ["s", "block"]).select("row_id", "first", "last", "times")
     taken = taken_pieces.groupBy("row_id").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
     result = placed.join(taken, "row_id", "left").select("row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -201,17 +206,18 @@ def taken_texts(text: str, parts: list[tuple[int, int, int]]) -> list[str]:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each document and turn that takes words of it, text those words
     and n_chars its length; documents that the mix takes nothing of have no row."""
-    numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    pieces = mix(numbered, row_col="__row").pieces
-    parts = pieces.groupBy(F.col("row_id").alias("__row")).agg(F.collect_list(F.struct("first", "last", "times")).alias("__parts"))
-    joined = numbered.join(parts, "__row").select(*docs.columns, "__parts")
+    row, held = unused("row", docs), unused("parts", docs)
+    numbered = table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    pieces = mix(numbered, row_col=row).pieces
+    parts = pieces.groupBy(F.col("row_id").alias(row)).agg(F.collect_list(F.struct("first", "last", "times")).alias(held))
+    joined = numbered.join(parts, row).select(*docs.columns, held)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [taken_texts(t, [(p["first"], p["last"], p["times"]) for p in ps]) for t, ps in zip(part.column("text").to_pylist(), part.column("__parts").to_pylist(), strict=True)]
+                texts = [taken_texts(t, [(p["first"], p["last"], p["times"]) for p in ps]) for t, ps in zip(part.column("text").to_pylist(), part.column(held).to_pylist(), strict=True)]
                 rows = pa.array(np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
                 columns = [part.column(c).take(rows) for c in names]
                 columns[at] = pa.array([t for ts in texts for t in ts], pa.string())
