@@ -1,8 +1,8 @@
 """Language identification with n-gram filters whose cells hold a bitmask of languages.
 
-One Bloom filter serves all languages: cell i holds, bit-sliced, the languages that have an n-gram hashed to i. The AND of
-an n-gram's cells is the set of all languages that contain it. A text's n-grams give a count for each language; the count
-that false positives alone would give is taken out, and the largest share decides.
+One Bloom filter serves all languages: cell i holds, bit-sliced over as many words as the languages need, those that have an
+n-gram hashed to i. The AND of an n-gram's cells is the set of all languages that contain it. A text's n-grams give a count
+for each language; the count that false positives alone would give is taken out, and the largest share decides.
 """
 
 from __future__ import annotations
@@ -17,15 +17,18 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rounds, utf8
+from .common import rounds, unused, utf8
 
 _LETTER = regex.compile(r"\p{L}")
+#: n-grams that are a smaller share of a language's own are left out: that bounds a filter by 1 / LEAST_SHARE n-grams a language.
+LEAST_SHARE = 2e-5
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 @dataclass
 class LanguageFilter:
-    """langs[j] is bit j of a cell; rates[j] is the share of n-grams not in langs[j] that the filter takes for its own."""
+    """langs[j] is bit j % 64 of the cells' word j // 64; rates[j] is the share of n-grams not in langs[j] that the filter takes
+    for its own. cells: a row of cells for each word."""
 
     langs: list[str]
     cells: np.ndarray
@@ -34,12 +37,13 @@ class LanguageFilter:
 
     @property
     def shift(self) -> np.uint64:
-        return np.uint64(64 - (len(self.cells) - 1).bit_length())
+        return np.uint64(64 - (self.cells.shape[1] - 1).bit_length())
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        found = self.cells[(grams * np.uint64(_MIX[0])) >> self.shift]
+    def masks(self, grams: np.ndarray, word: int) -> np.ndarray:
+        """The languages of one word of the cells that contain each n-gram."""
+        found = self.cells[word, (grams * np.uint64(_MIX[0])) >> self.shift]
         for c in _MIX[1:]:
-            found = found & self.cells[(grams * np.uint64(c)) >> self.shift]
+            found = found & self.cells[word, (grams * np.uint64(c)) >> self.shift]
         return found
 
 
@@ -58,38 +62,66 @@ def prepared(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
 
 
-def fit(rows: list[tuple[str, str]], *, n: int = 4, top: int = 20_000, log2_cells: int = 20) -> LanguageFilter:
-    """The filter of (lang, text) rows: of each language its `top` most frequent n-grams, ties by n-gram."""
-    counts: dict[str, Counter] = {}
-    for lang, text in rows:
-        raw, _ = prepared([text])
-        if len(raw) >= n:
-            found, times = np.unique(grams_of(raw, n)[: len(raw) - n + 1], return_counts=True)
-            counts.setdefault(lang, Counter()).update(dict(zip(found.tolist(), times.tolist(), strict=True)))
-    langs = sorted(counts)
-    kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
-    if len(langs) > 64:
-        raise ValueError("more than 64 languages")
-    made = LanguageFilter(langs, np.zeros(1 << log2_cells, kind), np.zeros(len(langs)), n)
+def gram_counts(lang: str | None, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text and how often each occurs."""
+    raw, _ = prepared([text])
+    return np.unique(grams_of(raw, n)[: max(0, len(raw) - n + 1)], return_counts=True)
+
+
+def filter_of(grams: dict[str, np.ndarray], n: int, log2_cells: int) -> LanguageFilter:
+    """The filter of each language's n-grams."""
+    langs = sorted(grams)
+    width = min(64, max(1, len(langs)))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= width)
+    made = LanguageFilter(langs, np.zeros((max(1, -(-len(langs) // 64)), 1 << log2_cells), kind), np.zeros(len(langs)), n)
     for j, lang in enumerate(langs):
-        grams = np.array([g for g, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:top]], np.uint64)
+        row, bit = made.cells[j // 64], kind(1 << j % 64)
         for c in _MIX:
-            cells = (grams * np.uint64(c)) >> made.shift
-            np.bitwise_or.at(made.cells, cells, kind(1 << j))
-    for j in range(len(langs)):
-        made.rates[j] = ((made.cells >> kind(j)) & kind(1)).mean() ** len(_MIX)
+            at = np.unique((grams[lang].astype(np.uint64) * np.uint64(c)) >> made.shift)
+            row[at] |= bit
+        made.rates[j] = ((row & bit) != 0).mean() ** len(_MIX)
     return made
 
 
+def fit(rows: list[tuple[str, str]], *, n: int = 4, least_share: float = LEAST_SHARE, log2_cells: int = 20) -> LanguageFilter:
+    """The filter of (lang, text) rows, in memory: of each language the n-grams that are at least `least_share` of all of its own."""
+    counts: dict[str, Counter] = {}
+    for lang, text in rows:
+        found, times = gram_counts(lang, text, n)
+        if len(found):
+            counts.setdefault(lang, Counter()).update(dict(zip(found.tolist(), times.tolist(), strict=True)))
+    return filter_of({lang: np.array([g for g, k in c.items() if k >= least_share * c.total()], np.uint64) for lang, c in counts.items()}, n, log2_cells)
+
+
+def learned(docs: DataFrame, *, most: int = 4000, n: int = 4, least_share: float = LEAST_SHARE, log2_cells: int = 20) -> LanguageFilter:
+    """The filter of training_rows(docs), as of fit(); the whole texts of the sample are counted on the executors. The driver
+    gets at most 1 / least_share n-grams of each language, however long the texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found, times = gram_counts(lang, text, n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "gram", "k"])
+
+    sample = training_rows(docs, most=most)
+    counts = sample.mapInArrow(run, "lang string, gram long, k long").groupBy("lang", "gram").agg(F.sum("k").alias("k"))
+    share = F.col("k") >= least_share * F.sum("k").over(Window.partitionBy("lang"))
+    often = counts.withColumn("often", share).filter("often").groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+    grams = {r["lang"]: r["grams"] for r in often.collect()}
+    return filter_of({lang: np.array(g, np.int64).view(np.uint64) for lang, g in grams.items()}, n, log2_cells)
+
+
 def shares(model: LanguageFilter, texts: list[str | None]) -> np.ndarray:
     """For each text and language, the share of n-grams that the language contains, corrected for false positives."""
     raw, offsets = prepared(texts)
     ends = np.maximum(offsets[1:] - model.n + 1, offsets[:-1])
     total = np.maximum(ends - offsets[:-1], 1)
-    masks = model.masks(grams_of(raw, model.n))
+    grams = grams_of(raw, model.n)
     out = np.zeros((len(texts), len(model.langs)))
     for j in range(len(model.langs)):
-        hit = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(j)) & masks.dtype.type(1), dtype=np.int64)])
+        if j % 64 == 0:
+            masks = model.masks(grams, j // 64)
+        hit = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(j % 64)) & masks.dtype.type(1), dtype=np.int64)])
         share = (hit[ends] - hit[offsets[:-1]]) / total
         out[:, j] = np.clip((share - model.rates[j]) / (1 - model.rates[j]), 0, 1)
     return out
@@ -106,47 +138,45 @@ def predict(model: LanguageFilter, texts: list[str | None]) -> tuple[list[str],
     return [model.langs[b] if k else "und" for b, k in zip(best.tolist(), known, strict=True)], [float(share[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best.tolist(), known, strict=True))]
 
 
-def training_rows(docs: DataFrame, *, most: int = 4000, most_chars: int = 4000) -> list[tuple[str, str]]:
-    """A sample of at most `most` labelled rows for fit(), the same at every run: of each language an equal part of `most`, those
-    rows that a hash of id and text puts first.
-
-    The driver gets a count for each language and no more than most * most_chars characters; only this sample is cut, no text
-    that is predicted.
-    """
+def training_rows(docs: DataFrame, *, most: int = 4000) -> DataFrame:
+    """lang and text of a sample of at most `most` labelled rows (or of one for each language, if there are more), the same at
+    every run: of each language an equal part of `most`, those rows that a hash of id and text puts first. Texts are whole. The
+    driver gets a count for each language."""
     order = F.xxhash64("doc_id", "text")
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
-        return []
+        return labelled.select("lang", "text").limit(0)
     each = max(1, most // len(counts))
     # A hash below its language's bound leaves about twice as many rows as are wanted: so few are ranked.
-    bounds = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min((1 << 63) - 1, (2 * each << 64) // n - (1 << 63)))])
-    rows = labelled.select("lang", F.substring("text", 1, most_chars).alias("text"), order.alias("at")).filter(F.col("at") <= bounds[F.col("lang")])
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).filter(F.col("rank") <= each)
-    return [(r["lang"], r["text"]) for r in ranked.orderBy("at", "lang", "text").limit(most).collect()]
+    spark = docs.sparkSession
+    bounds = spark.createDataFrame([(lang, min((1 << 63) - 1, (2 * each << 64) // n - (1 << 63))) for lang, n in sorted(counts.items())], "lang string, bound long")
+    rows = labelled.select("lang", "text", order.alias("at")).join(F.broadcast(bounds), "lang").filter(F.col("at") <= F.col("bound"))
+    first = Window.partitionBy("lang").orderBy("at", F.sha2("text", 256))
+    return rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("lang", "text")
 
 
-def languages(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named, then lang_pred and score, of each row of docs, from its whole text alone.
+def languages(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",), made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named, then language and score (named by `made`), of each row of docs, from its whole text alone.
 
     Null and letterless texts give `und` and score 0; repeated rows stay; an empty table gives an empty result.
     """
-    names = list(columns)
-    read = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # at most 2**log2_cells cells, whatever the input
+    names, whole = list(columns), unused("text", docs)
+    read = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias(whole))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # 2**log2_cells cells for each 64 languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = utf8(batch.column("__text"))
-            text, lang, score = batch.column("__text"), [], []
+            _, offsets = utf8(batch.column(whole))
+            text, lang, score = batch.column(whole), [], []
             for a, b in rounds(np.diff(offsets)):
                 found = predict(LanguageFilter(**shared.value), text.slice(a, b - a).to_pylist())
                 lang += found[0]
                 score += found[1]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, *made])
 
     fields = [f"`{c}` {read.schema[c].dataType.simpleString()}" for c in names]
-    return read.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return read.mapInArrow(run, ", ".join([*fields, f"`{made[0]}` string", f"`{made[1]}` double"]))
 
 
 def held_out(doc_id):
@@ -156,14 +186,15 @@ def held_out(doc_id):
 def keep_known(docs: DataFrame, *, least: float = 0.1) -> DataFrame:
     """docs with all their columns, without those that have no letter and those without a lang whose n-grams hardly any language
     has (a score below `least`); a null lang becomes the language found. If nothing could be learned, only the former go."""
-    model = fit(training_rows(docs.filter(~held_out(F.col("doc_id")))))
+    model = learned(docs.filter(~held_out(F.col("doc_id"))))
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = languages(docs, model, columns=tuple(docs.columns)).filter((F.col("lang_pred") != "und") & (F.col("lang").isNotNull() | (F.col("score") >= least)))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang, score = unused("lang", docs), unused("score", docs)
+    found = languages(docs, model, columns=tuple(docs.columns), made=(lang, score)).filter((F.col(lang) != "und") & (F.col("lang").isNotNull() | (F.col(score) >= least)))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(training_rows(docs.filter(~held_out(F.col("doc_id")))))
+    model = learned(docs.filter(~held_out(F.col("doc_id"))))
     return languages(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
