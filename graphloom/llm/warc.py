@@ -137,10 +137,13 @@ def _reader(gap: int):
     return run
 
 
-def read(index: DataFrame, *, range_bytes: int = 8 << 20, gap: int = 1 << 16) -> DataFrame:
+def read(index: DataFrame, *, range_bytes: int = 1 << 20, gap: int = 1 << 16) -> DataFrame:
     """The records that the index rows name: page_id, row_id, url, record_type, refers_to, payload_bytes, payload_digest and
-    payload (null for revisits). A task reads ranges of about range_bytes; records up to `gap` bytes apart share a read."""
+    payload (null for revisits). A task reads about range_bytes of the records named; records up to `gap` bytes apart share a read."""
     ranges = index.groupBy("path", F.expr(f"offset div {range_bytes}").alias("range")).agg(F.collect_list(F.struct("offset", "length")).alias("records"))
+    # As many tasks as there is to read: by the rows of the index alone, which are short, Spark would plan too few.
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    ranges = ranges.repartition(max(1, -(-total // range_bytes)), "path", "range")
     return ranges.select("path", "records").mapInPandas(_reader(gap), "page_id long, row_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
