@@ -3,6 +3,10 @@
 Words that occur once in a stretch of text and once in a template are anchors; the longest run of anchors in the same order
 in both (a longest increasing subsequence) is kept; the gaps between them are aligned the same way, where more words are
 unique. The share of a template's words that are aligned is its coverage.
+
+A notice stands in one place: in a whole book the words of any short notice can be found in order, pages apart. So the text is
+taken in stretches of three times the template's words, one from each multiple of its words; a run of up to twice the
+template's words lies wholly in one of them. Stretches in which no alignment can reach the bound are not aligned.
 """
 
 from __future__ import annotations
@@ -88,8 +92,7 @@ def aligned(template: list[str], text: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Finds templates in texts. A template is looked for around each place of those of its words that are rarest in the text, as
-    many of them as a match must hold one of, in as many words to each side as the template has."""
+    """Finds templates in texts, by their best stretch."""
 
     def __init__(self, templates: dict[str, str], least: float):
         self.templates = {name: words(t) for name, t in sorted(templates.items())}
@@ -101,7 +104,8 @@ class Scanner:
         self.all = frozenset(w for t in self.templates.values() for w in t)
 
     def best(self, name: str, text: list[str], places: dict[str, list[int]]) -> tuple[float, int, int] | None:
-        """The template's best coverage of at least `least`, and the first and last word it covers there; the first of equals."""
+        """The template's best coverage of at least `least` in a stretch, and the first and last word it covers there; the first
+        of equals."""
         template = self.templates[name]
         n = len(template)
         ours, need = self.sets[name], self.need[name]
@@ -109,19 +113,19 @@ class Scanner:
         if sum(min(c, len(places.get(w, ()))) for w, c in ours.items()) < need:
             return None
         # A match lacks at most n - need of the template's words, so it holds one of any n - need + 1 of them: the rarest.
-        left, around = n - need + 1, []
+        left, stretches = n - need + 1, set()
         for w in sorted(ours, key=lambda w: (len(places.get(w, ())), w)):
             if left <= 0:
                 break
             left -= ours[w]
-            around += places.get(w, ())
+            stretches.update(k for p in places.get(w, ()) for k in range(max(0, p // n - 2), p // n + 1))
         out = None
-        for p in sorted(around):
-            start = max(0, p - n)
-            # The same bound within the window.
-            if sum(min(c, bisect_left(places.get(w, ()), p + n + 1) - bisect_left(places.get(w, ()), start)) for w, c in ours.items()) < need:
+        for k in sorted(stretches):
+            start, end = k * n, (k + 3) * n
+            # The same bound within the stretch.
+            if sum(min(c, bisect_left(places.get(w, ()), end) - bisect_left(places.get(w, ()), start)) for w, c in ours.items()) < need:
                 continue
-            pairs = aligned(template, text[start : p + n + 1])
+            pairs = aligned(template, text[start:end])
             share = len(pairs) / n
             if share >= self.least and (out is None or share > out[0]):
                 out = share, start + pairs[0][1], start + pairs[-1][1]
