@@ -1,10 +1,11 @@
 """Near-duplicates by SimHash, searched with tables of distances to reference fingerprints (pivots).
 
-1. Each text gives a 64-bit fingerprint; equal fingerprints become one.
+1. Each text gives a 64-bit fingerprint; equal fingerprints become one, with a row of Hamming distances to the pivots. This
+   table of distances is written once.
 2. Two fingerprints that differ in at most r of 64 bits agree wholly in b - r of b blocks. Each fingerprint is listed once
-   under every choice of b - r blocks, so every pair to be found meets in a list.
-3. Each fingerprint has a row of Hamming distances to the pivots. By the triangle inequality a pair within r bits has no two
-   coordinates further apart than r: other pairs are discarded without being compared; survivors are verified.
+   under every choice of b - r blocks, so every pair to be found meets in a list; rows of distances go along.
+3. By the triangle inequality a pair within r bits has no two coordinates further apart than r: in each list, other pairs are
+   discarded without being compared; survivors are verified.
 4. A list yields a spanning forest of its links, never all of its pairs; components are joined by label propagation with
    pointer jumping over tables in the shared folder.
 """
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rounds, sized, table, utf8, word_bounds
+from .common import rounds, sized, table, unused, utf8, word_bounds
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCKS = 4
@@ -82,6 +83,20 @@ def distances(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int16)
 
 
+def _distance_rows(pivots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = distances(batch.column("print").to_numpy().view(np.uint64), pivots).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array([x.tobytes() for x in near], pa.binary())], names=["print", "near"])
+
+    return run
+
+
+def pivot_table(prints: DataFrame, pivots: int = 32) -> DataFrame:
+    """print and near of distinct fingerprints (column print, long): its distances to the pivots, a byte each; written."""
+    return table(prints.select("print").mapInArrow(_distance_rows(pivot_prints(pivots)), "print long, near binary"), "op9-distances")
+
+
 def links_of(prints: np.ndarray, near: np.ndarray, most: int, block: int = 512) -> list[tuple[int, int]]:
     """A spanning forest of the links among some fingerprints, as pairs of positions (child, root). near: distances().
 
@@ -117,10 +132,11 @@ def links_of(prints: np.ndarray, near: np.ndarray, most: int, block: int = 512)
     return [(i, find(i)) for i in range(n) if root[i] != i]
 
 
-def _list_links(most: int, pivots: np.ndarray):
+def _list_links(most: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        prints = np.unique(group["print"].to_numpy(np.int64)).view(np.uint64)
-        found = links_of(prints, distances(prints, pivots), most)
+        prints = group["print"].to_numpy(np.int64).view(np.uint64)
+        near = np.frombuffer(b"".join(group["near"]), np.uint8).reshape(len(prints), -1).astype(np.int16)
+        found = links_of(prints, near, most)
         a, b = (np.array([p[i] for p in found], np.int64) for i in (0, 1))
         return pd.DataFrame({"a": prints[a].view(np.int64), "b": prints[b].view(np.int64)})
 
@@ -137,8 +153,8 @@ def _keys(prints, blocks: int, width: int, choose: int, base: int = 0):
     return F.array(*out)
 
 
-def links(prints: DataFrame, *, most: int = 2, pivots: int = 32, hot: int = 4096) -> DataFrame:
-    """Links (a, b) of distinct fingerprints (column print, long) that differ in at most `most` bits (up to 2): not all of
+def links(prints: DataFrame, *, most: int = 2, hot: int = 1024) -> DataFrame:
+    """Links (a, b) of the distinct fingerprints of a pivot_table() that differ in at most `most` bits (up to 2): not all of
     them, but enough to connect all that are connected.
 
     A list of more than `hot` fingerprints is listed anew under 28 longer keys of 56 bits, so that no list then has more
@@ -146,11 +162,10 @@ def links(prints: DataFrame, *, most: int = 2, pivots: int = 32, hot: int = 4096
     """
     if not 0 <= most <= 2:
         raise ValueError("most must be 0, 1 or 2")
-    table_of = pivot_prints(pivots)
-    listed = prints.select("print", F.inline(_keys(F.col("print"), _BLOCKS, 16, _BLOCKS - 2)))
+    listed = prints.select("print", "near", F.inline(_keys(F.col("print"), _BLOCKS, 16, _BLOCKS - 2)))
     counts = listed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = listed.join(counts, ["choice", "key"])
-    small = shared.filter(F.col("n") <= hot).select(F.concat_ws(":", "choice", "key").alias("list"), "print")
+    small = shared.filter(F.col("n") <= hot).select(F.concat_ws(":", "choice", "key").alias("list"), "print", "near")
     # In a large list two of the four 16-bit blocks agree; of the 16 half-bytes at least 14 agree, so some 6 of the other 8 do.
     large = shared.filter(F.col("n") > hot)
     again = []
@@ -161,9 +176,11 @@ def links(prints: DataFrame, *, most: int = 2, pivots: int = 32, hot: int = 4096
             mask -= (mask >> 63) << 64
             again.append((i, j, mask))
     by_choice = F.create_map(*[x for i in range(6) for x in (F.lit(i), F.array(*[F.lit(m) for c, _, m in again if c == i]))])
-    finer = large.select("choice", "print", F.posexplode(by_choice[F.col("choice")]).alias("j", "mask"))
-    finer = finer.select(F.concat_ws(":", F.lit("x"), "choice", "j", F.col("print").bitwiseAND(F.col("mask"))).alias("list"), "print")
-    return small.unionByName(finer).groupBy("list").applyInPandas(_list_links(most, table_of), "a long, b long").distinct()
+    finer = large.select("choice", "print", "near", F.posexplode(by_choice[F.col("choice")]).alias("j", "mask"))
+    finer = finer.select(F.concat_ws(":", F.lit("x"), "choice", "j", F.col("print").bitwiseAND(F.col("mask"))).alias("list"), "print", "near")
+    # Comparing takes longer than a list's few bytes tell, so the number of tasks is stated.
+    tasks = 4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.unionByName(finer).repartition(tasks, "list").groupBy("list").applyInPandas(_list_links(most), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -197,7 +214,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     read = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = table(read.mapInArrow(_fingerprint_batches(words), "row_id long, doc_id long, print long"), "op9-rows")
     each = table(rows.groupBy("print").agg(F.min("doc_id").alias("low")), "op9-prints")
-    rooted = components(links(each, most=most, pivots=pivots)).withColumnRenamed("node", "print")
+    rooted = components(links(pivot_table(each, pivots), most=most)).withColumnRenamed("node", "print")
     named = each.join(rooted, "print", "left").select("print", "low", F.coalesce("root", "print").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.join(named.join(lowest, "root").select("print", "root", "component_id"), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "row_id", "root")
@@ -205,11 +222,12 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with all their columns, one row of each component: the one with the smallest id, null last."""
-    numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = table(near_groups(numbered, row_col="__row"), "op9-groups")
+    row = unused("row", docs)
+    numbered = table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = table(near_groups(numbered, row_col=row), "op9-groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first"))
-    gone = groups.select(F.col("row_id").alias("__row")).join(first.select(F.col("first.row_id").alias("__row")), "__row", "left_anti")
-    return numbered.join(sized(gone, "op9-gone"), "__row", "left_anti").select(*docs.columns)
+    gone = groups.select(F.col("row_id").alias(row)).join(first.select(F.col("first.row_id").alias(row)), row, "left_anti")
+    return numbered.join(sized(gone, "op9-gone"), row, "left_anti").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
