@@ -175,7 +175,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     tasks = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     times = spark.range(0, shards, 1, tasks).mapInPandas(slot_blocks, "s int, block long").groupBy("s", "block").agg(F.count("*").alias("times"))
-    taken_pieces = pieces.join(times, ["s", "block"]).select("row_id", "first", "last", "times")
+    # The rows made of a shard aren't known to Spark, which takes so many for few: no side of this join is to be broadcast.
+    taken_pieces = pieces.join(times.hint("merge"), ["s", "block"]).select("row_id", "first", "last", "times")
     taken = taken_pieces.groupBy("row_id").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
     result = placed.join(taken, "row_id", "left").select("row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return Mix(result, taken_pieces)
