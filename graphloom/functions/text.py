@@ -57,3 +57,14 @@ def first_sentences(sents: DataFrame, cap: int = 80) -> DataFrame:
 def ticker(source_file: Column) -> Column:
     """The upper-cased part of the file's stem before the first underscore."""
     return F.upper(F.split(F.regexp_replace(source_file, r"\.[^.]*$", ""), "_")[0])
+
+
+def _quoted(c: Column) -> Column:
+    """Text in quotes as it reads in code: single ones, unless only single ones are in it."""
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def display(head: Column, relation: Column, tail: Column, confidence: Column, source_file: Column) -> Column:
+    """A triple on one line, its confidence to two places."""
+    return F.format_string("(%s, %s, %s) conf=%.2f src=%s", _quoted(head), relation, _quoted(tail), confidence, source_file)

@@ -64,6 +64,26 @@ def rule_judge(evidence: DataFrame) -> DataFrame:
     return total(out.withColumns(scores).withColumn("explanation", F.lit("scored by rule")), PATH_ITEMS)
 
 
+def rule_judge_answers(answers: DataFrame) -> DataFrame:
+    """answers of answer_questions() scored without a model: does the evidence name the start, and the target if there is one; are
+    the hop counts that the answer gives within the evidence's; does the answer name start and target; is it of 1 to 250 words."""
+    named = lambda text, name: F.coalesce(name.isNull() | F.contains(F.lower(text), F.lower(name)), F.lit(True))
+    answer, context, start, target = F.coalesce("answer", F.lit("")), F.coalesce("context", F.lit("")), F.col("start"), F.col("target")
+    hops = F.transform(F.regexp_extract_all(answer, F.lit(r"(\d+) ?-?hop"), 1), lambda h: h.cast("int"))
+    far = F.filter(hops, lambda h: h > F.coalesce("max_depth", F.lit(0)))
+    words = F.size(F.filter(F.split(answer, r"\s+"), lambda w: w != ""))
+    scores = {
+        "context_relevance": F.when(named(context, start), 1).otherwise(0) + F.when(named(context, target), 1).otherwise(0),
+        "faithfulness": F.when(F.size(far) == 0, 2).otherwise(0),
+        "relationship_direction": F.when(F.contains(context, F.lit("--")), 2).otherwise(0),
+        "completeness": F.when(named(answer, start), 1).otherwise(0) + F.when(named(answer, target), 1).otherwise(0),
+        "answer_relevance": F.when(words.between(1, 250), 2).otherwise(0),
+    }
+    claims = F.transform(far, lambda h: F.format_string("%d hops", h))
+    out = answers.withColumns(scores).withColumns({"unsupported_claims": claims, "direction_errors": F.array().cast("array<string>"), "explanation": F.lit("scored by rule")})
+    return total(out, ANSWER_ITEMS)
+
+
 def model_judge(cases: DataFrame, text: str, items: tuple[str, ...], lists: tuple[str, str], make: Callable[[], CompletionProvider]) -> DataFrame:
     """cases with the judgement of a model on column `text`: the items, two lists and an explanation, from strict JSON; a row whose
     answer is no JSON keeps its error and null scores."""

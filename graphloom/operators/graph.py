@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexicon import RISK_DIRECTIONS
+from graphloom.sources.storage import materialize
 
 _FORWARD = [r for r, d in RISK_DIRECTIONS.items() if d == "forward"]
 _REVERSE = [r for r, d in RISK_DIRECTIONS.items() if d == "reverse"]
@@ -48,40 +49,41 @@ def neighbors(edge_table: DataFrame, company: str) -> DataFrame:
     return risk_adjacency(edge_table).filter(F.col("disrupted") == company).select("impacted").orderBy("impacted")
 
 
-def cascade_paths(edge_table: DataFrame, start: str | DataFrame | None = None, max_hops: int = 5, max_rows: int | None = None) -> DataFrame:
+def cascade_paths(edge_table: DataFrame, start: str | DataFrame | None = None, max_hops: int = 5, limit: int | None = None) -> DataFrame:
     """start, path and hops of all simple paths of 1 to max_hops hops along risk, from one start (which must be a node), from
-    those in a table's column start, or from all nodes.
+    those in a table's column start, or from all nodes. With a limit, of each start the first `limit` by hops, then names.
 
-    One recursive query. max_rows raises the recursion's row limit for one call; without it, it fails loudly beyond Spark's.
+    Each hop is a join of the paths so far with the adjacency, written to the shared folder. Paths are ordered by hops first, so a
+    start that has its limit goes no further: with a limit, what one hop starts from never exceeds `limit` paths of a start.
     """
     if max_hops < 0:
         raise ValueError("max_hops is negative")
     spark = edge_table.sparkSession
-    name = uuid.uuid4().hex
-    risk_adjacency(edge_table).createOrReplaceTempView(f"risk_{name}")
     if isinstance(start, str):
         if nodes(edge_table).filter(F.col("name") == start).isEmpty():
             raise ValueError(f"{start!r} is not in the graph")
-        first = edge_table.sparkSession.range(1).select(F.lit(start).alias("start"))
+        first = spark.range(1).select(F.lit(start).alias("start"))
     else:
         first = start.select("start").distinct() if start is not None else nodes(edge_table).select(F.col("name").alias("start"))
-    first.createOrReplaceTempView(f"first_{name}")
-    limit = "spark.sql.cteRecursionRowLimit"
-    was = spark.conf.get(limit)
-    if max_rows is not None:
-        spark.conf.set(limit, str(max_rows))
-    try:
-        return spark.sql(f"""
-            WITH RECURSIVE walk(start, node, path, hops) AS (
-              SELECT start, start, array(start), 0 FROM first_{name}
-              UNION ALL
-              SELECT w.start, r.impacted, concat(w.path, array(r.impacted)), w.hops + 1
-              FROM walk w JOIN risk_{name} r ON r.disrupted = w.node
-              WHERE w.hops < {int(max_hops)} AND NOT array_contains(w.path, r.impacted))
-            SELECT start, path, hops FROM walk WHERE hops > 0""")
-    finally:
-        if max_rows is not None:
-            spark.conf.set(limit, was)
+    risk = materialize(risk_adjacency(edge_table), "risk")
+    at = first.filter(F.col("start").isNotNull()).select("start", F.array("start").alias("path"), F.lit(0).cast("long").alias("had"))
+    levels = []
+    for hop in range(1, max_hops + 1):
+        step = at.join(risk, F.element_at("path", -1) == F.col("disrupted")).filter(~F.array_contains("path", F.col("impacted")))
+        step = step.select("start", F.concat("path", F.array("impacted")).alias("path"), "had")
+        if limit is not None:
+            place = F.row_number().over(Window.partitionBy("start").orderBy("path"))
+            step = step.withColumn("place", place).filter(F.col("place") <= limit).filter(F.col("had") + F.col("place") <= limit)
+        made = materialize(step, "cascade")
+        levels.append(made.select("start", "path", F.lit(hop).alias("hops")))
+        if limit is None:
+            at = made.select("start", "path", "had")
+        else:
+            full = made.groupBy("start").agg((F.max("had") + F.max("place")).alias("now")).filter(F.col("now") < limit)
+            at = made.join(full, "start").select("start", "path", F.col("now").cast("long").alias("had"))
+    if not levels:
+        return spark.createDataFrame([], "start string, path array<string>, hops int")
+    return reduce(DataFrame.unionAll, levels)
 
 
 def first_paths(paths: DataFrame, limit: int) -> DataFrame:
@@ -103,7 +105,7 @@ def path_evidence(paths: DataFrame, edge_table: DataFrame) -> DataFrame:
 
 def retrieve_evidence(edge_table: DataFrame, start: str | DataFrame, max_hops: int = 2, max_paths: int = 10) -> DataFrame:
     """Evidence of the first max_paths paths from each start. Filters on the target come after this limit."""
-    return path_evidence(first_paths(cascade_paths(edge_table, start, max_hops), max_paths), edge_table)
+    return path_evidence(first_paths(cascade_paths(edge_table, start, max_hops, max_paths), max_paths), edge_table)
 
 
 def to_target(evidence: DataFrame, target) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexicon import Lexicon
+from graphloom.sources.storage import materialize
 
 from .resolve import canon_table, filer_table, is_anchor, looks_like_company, resolve, with_filer
 
@@ -71,8 +72,30 @@ def reject_counts(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("reason").isNotNull()).groupBy("extractor", "reason").agg(F.count("*").alias("n"))
 
 
+def _order() -> list:
+    return [F.col("confidence").desc(), F.col("head"), F.col("relation"), F.col("first_ord")]
+
+
 def sorted_triples(merged: DataFrame) -> DataFrame:
-    return merged.orderBy(F.col("confidence").desc(), "head", "relation", "first_ord")
+    return merged.orderBy(*_order())
+
+
+def placed(merged: DataFrame, name: str = "place", order: list | None = None) -> DataFrame:
+    """merged with its place in order, from 1: ranges of the order are written, numbered each by itself and then one after another,
+    so that no task sees more than a range. Rows must differ in the order's columns."""
+    order = order or _order()
+    spark = merged.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merged = materialize(merged, "unplaced")  # ranges are found by a sample of it first
+    parts = materialize(merged.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = {r["__range"]: r["count"] for r in parts.groupBy("__range").count().collect()}  # a row for each range
+    before, total = [], 0
+    for k in sorted(sizes):
+        before.append((k, total))
+        total += sizes[k]
+    starts = spark.createDataFrame(before, "__range int, __before long")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return parts.withColumn("__rank", rank).join(F.broadcast(starts), "__range").withColumn(name, (F.col("__before") + F.col("__rank")).cast("int")).drop("__range", "__rank", "__before")
 
 
 def merge(parts: list[tuple[str, DataFrame]], lexicon: Lexicon | None = None) -> DataFrame:

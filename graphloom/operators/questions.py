@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.sources.storage import materialize
 
 from .graph import cascade_paths, first_paths, nodes, path_evidence, path_text
+from .responses import CompletionProvider, complete
 
 # Phrases that name what is disrupted, in order; the sizes of a retrieval.
 PHRASES = ("disruption in ", "disruption at ", "disruption of ", "disruption to ")
@@ -27,16 +30,15 @@ nothing, and stay under 250 words of plain language."""
 def mentions(questions: DataFrame, node_table: DataFrame) -> DataFrame:
     """(id, name, node_ord, pos) of each node whose name a question holds, as a plain part of its text.
 
-    Both sides are cut into lower-cased words' first three characters, and only pairs that share one at the name's start
-    are compared, so questions and nodes meet by an equi-join.
+    Names are looked up by their first characters, as many as the shortest name has but at most eight, at every place of a
+    question, so questions and nodes meet by an equi-join; the rest is compared.
     """
+    shortest = node_table.filter(F.length("name") > 0).agg(F.min(F.length("name")).alias("k")).first()["k"] or 1
+    head = min(8, shortest)
     q = questions.select("id", F.lower("question").alias("q"))
-    keyed = q.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))))).select("id", "q", "at", F.substring("q", F.col("at"), F.lit(2)).alias("key"))
-    n = node_table.filter(F.length("name") > 0).select("name", "node_ord", F.lower("name").alias("low"))
-    two = n.withColumn("key", F.substring("low", 1, 2))
-    longer = keyed.join(two.filter(F.length("low") >= 2), "key")
-    single = q.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))))).withColumn("key", F.substring("q", F.col("at"), F.lit(1))).join(two.filter(F.length("low") == 1), "key")
-    found = longer.unionByName(single.select(longer.columns)).filter(F.substring("q", F.col("at"), F.length("low")) == F.col("low"))
+    keyed = q.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))))).select("id", "q", "at", F.substring("q", F.col("at"), F.lit(head)).alias("key"))
+    n = node_table.filter(F.length("name") > 0).select("name", "node_ord", F.lower("name").alias("low")).withColumn("key", F.substring("low", 1, head))
+    found = keyed.join(n, "key").filter(F.substring("q", F.col("at"), F.length("low")) == F.col("low"))
     return found.groupBy("id", "name", "node_ord").agg(F.min("at").alias("pos"))
 
 
@@ -49,7 +51,8 @@ def _after_phrases(questions: DataFrame) -> DataFrame:
 def starts(questions: DataFrame, node_table: DataFrame) -> DataFrame:
     """(id, start): the longest node named right after the first phrase that has one; else the first mention; null if none."""
     n = node_table.select("name", "node_ord", F.lower("name").alias("low"))
-    sizes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda k: F.substring(F.col("rest"), F.lit(1), k)))
+    longest = n.agg(F.max(F.length("low")).alias("k")).first()["k"] or 1  # no name is a longer prefix
+    sizes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.length("rest"), F.lit(longest))), lambda k: F.substring(F.col("rest"), F.lit(1), k)))
     after = _after_phrases(questions).filter(F.length("rest") > 0).select("id", "phrase", F.explode(sizes).alias("low")).join(n, "low")
     w = Window.partitionBy("id")
     named = after.withColumn("r", F.row_number().over(w.orderBy("phrase", F.length("name").desc(), "node_ord"))).filter("r = 1").select("id", F.col("name").alias("named"))
@@ -113,7 +116,7 @@ def answer_questions(questions: DataFrame, edge_table: DataFrame, *, max_hops: i
     """
     linked = materialize(link(questions, nodes(edge_table)), "linked")
     known = linked.filter(F.col("start").isNotNull()).select("id", "start", "target")
-    paths = cascade_paths(edge_table, known.select("start"), max_hops)
+    paths = cascade_paths(edge_table, known.select("start"), max_hops, None if target_first else max_paths)
     hits = F.col("target").isNull() | (F.element_at("path", -1) == F.col("target"))
     if target_first:
         w = Window.partitionBy("id").orderBy("hops", "path")
@@ -131,3 +134,15 @@ def answer_questions(questions: DataFrame, edge_table: DataFrame, *, max_hops: i
     out = out.withColumn("status", status).withColumn("context", F.coalesce("context", F.lit(NO_EVIDENCE)))
     out = out.withColumn("prompt", F.when(status == "OK", prompt(F.col("question"), F.col("context"))))
     return out.withColumn("answer", F.when(status == "OK", plain_answer(F.col("start"), F.col("target"), F.col("max_depth"), F.col("paths")))).drop("paths")
+
+
+def answer_by_model(answers: DataFrame, make: Callable[[], CompletionProvider] | None, callers: int = 1) -> DataFrame:
+    """answers of answer_questions() with a model's answer to each prompt; the plain answer stays where there is no prompt, where
+    the model fails (its error is then in answer_error), or without a provider."""
+    if make is None:
+        return answers.withColumn("answer_error", F.lit(None).cast("string"))
+    asked = materialize(answers, "asked")
+    said = complete(asked.filter(F.col("prompt").isNotNull()).select("id", "prompt"), make, callers=callers).select("id", "response", F.col("error").alias("answer_error"))
+    both = asked.join(materialize(said, "said"), "id", "left")
+    good = F.col("answer_error").isNull() & (F.trim("response") != "")
+    return both.withColumn("answer", F.when(good, F.trim("response")).otherwise(F.col("answer"))).drop("response")

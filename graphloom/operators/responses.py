@@ -87,10 +87,11 @@ def with_retries(call: CompletionProvider, prompt: str, tries: int = 5, sleep: C
     return "", "API error: no try was made"
 
 
-def complete(asked: DataFrame, make: Callable[[], CompletionProvider] | None, pause: float = 0.3, tries: int = 5) -> DataFrame:
+def complete(asked: DataFrame, make: Callable[[], CompletionProvider] | None, pause: float = 0.3, tries: int = 5, callers: int | None = None) -> DataFrame:
     """asked (prompt) with response and error. make() gives a provider for a task; None (no key) answers nothing.
 
-    The number of partitions bounds how many calls run at once.
+    callers: how many tasks call at once, each with a pause after a call, so at most callers / pause calls are made in a second;
+    without it, each partition is a caller.
     """
     if make is None:
         return asked.limit(0).withColumn("response", F.lit("")).withColumn("error", F.lit(None).cast("string"))
@@ -105,6 +106,7 @@ def complete(asked: DataFrame, make: Callable[[], CompletionProvider] | None, pa
             yield batch.assign(response=[r for r, _ in rows], error=[e for _, e in rows])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+    asked = asked.repartition(callers) if callers else asked
     return asked.mapInPandas(run, f"{fields}, response string, error string")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import lexicon as fixed
@@ -14,6 +14,7 @@ from graphloom.operators.resolve import canon_table, filer_table
 from graphloom.sources.storage import materialize
 from graphloom.streaming import incremental
 
+from . import drivers
 from .views import LEXICON, tables, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,10 +132,78 @@ def q_entity_fuzzy(spark, sf_dir):
     return names.join(ents, "one").select("n_name", rules.is_entity(F.col("n_name"), F.col("ents"), F.lit(None).cast("string")).alias("entity"))
 
 
-@query(f"WITH {with_views('raw')}, r AS (SELECT *, row_number() OVER (PARTITION BY extractor, source_file, head, relation ORDER BY ord) AS k FROM raw) SELECT extractor, ord, head, relation FROM r WHERE k = 1")
-def q_sentence_dedupe(spark, sf_dir):
-    w = Window.partitionBy("extractor", "source_file", "head", "relation").orderBy("ord")
-    return view(spark, sf_dir, "raw").withColumn("k", F.row_number().over(w)).filter("k = 1").select("extractor", "ord", "head", "relation")
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+_SELF, _SKIP = _listed(fixed.SELF_WORDS), _listed(fixed.SKIP_WORDS)
+_ORDERS = ", ".join(f"('{t[0]}', '{p}', {k}, {str(t[5]).lower()})" for t in fixed.TRIGGERS for k, p in enumerate([*t[6], *[q for q in fixed.PREPOSITIONS if q not in t[6]]]))
+
+
+def _near(before: bool, at: str, window: int) -> str:
+    """The text of the nearest entity of x's sentence."""
+    gap = f"{at} - e.e" if before else f"e.s - ({at})"
+    return f"(SELECT e.text FROM ent e WHERE e.sent = x.sent AND {gap} BETWEEN 0 AND {window} ORDER BY e.label IN ('ORG', 'PRODUCT') DESC, e.k {'DESC' if before else ''} LIMIT 1)"
+
+
+def _is_entity(name: str, filer: str) -> str:
+    return f"coalesce({name} <> '' AND lower({name}) NOT IN ({_SKIP}) AND (coalesce({filer} <> '' AND lower({name}) = lower({filer}), false) OR EXISTS (SELECT 1 FROM ent e WHERE e.sent = x.sent AND (contains(lower(e.text), lower({name})) OR contains(lower({name}), lower(e.text))))), false)"
+
+
+#: Rules over rows of tokens and entities, by joins; the library works on arrays.
+_TOKENS = rf"""WITH {with_views('rule_tokens', 'rule_ents', 'rule_filers')}, ent AS (SELECT sent, k, trim(text) AS text, s, e, label FROM rule_ents WHERE label IN ('ORG', 'GPE', 'PRODUCT') AND length(trim(text)) <= 80 AND NOT regexp_matches(trim(text), '{fixed.JUNK_SPAN}')),
+x AS (SELECT t.*, filer, source_file FROM rule_tokens t JOIN rule_filers USING (sent)),
+tok AS (SELECT x.*, coalesce((SELECT e.text FROM ent e WHERE e.sent = x.sent AND e.s <= x.idx AND x.idx < e.e ORDER BY e.k LIMIT 1), CASE WHEN lower(x.text) IN ({_SELF}) THEN filer END) AS name,
+  {_near(True, 'x.idx', 300)} AS before, {_near(False, 'x.idx + length(x.text)', 300)} AS after_verb, {_near(False, 'x.idx + length(x.text)', 200)} AS after_noun, {_near(False, 'x.idx', 250)} AS near_object, {_near(False, 'x.idx', 200)} AS near_of FROM x)"""
+_EXTRACT = rf"""{_TOKENS}, trig(trigger, kind, relation, confidence) AS (VALUES {_TRIGGERS}), orders_of(relation, prep, place, subj_is_head) AS (VALUES {_ORDERS}),
+hit AS (SELECT t.*, relation, confidence FROM (SELECT *, CASE WHEN pos IN ('VERB', 'AUX', 'NOUN') AND lower(lemma) IN (SELECT trigger FROM trig WHERE kind = 'verb') THEN 'verb'
+  WHEN pos IN ('NOUN', 'PROPN') AND lower(lemma) IN (SELECT trigger FROM trig WHERE kind = 'noun') THEN 'noun' END AS kind FROM tok) t JOIN trig ON trig.trigger = lower(t.lemma) AND trig.kind = t.kind),
+doer AS (SELECT h.*, CASE WHEN kind = 'verb' THEN h.i ELSE (SELECT a.i FROM tok a WHERE a.sent = h.sent AND a.i = h.head AND a.pos IN ('VERB', 'AUX')) END AS at FROM hit h),
+own AS (SELECT d.sent, d.i, c.name, row_number() OVER (PARTITION BY d.sent, d.i ORDER BY c.i) AS n FROM doer d JOIN tok c ON c.sent = d.sent AND c.head = d.at AND c.i < d.at AND c.dep IN ('nsubj', 'nsubjpass', 'csubj')),
+theirs AS (SELECT d.sent, d.i, c.name, row_number() OVER (PARTITION BY d.sent, d.i ORDER BY c.i) AS n FROM doer d JOIN tok g ON g.sent = d.sent AND g.i = d.at JOIN tok c ON c.sent = d.sent AND g.head <> g.i AND c.head = g.head AND c.i < g.head AND c.dep IN ('nsubj', 'nsubjpass')),
+under AS (SELECT h.sent, h.i, h.kind, o.place, p.i AS p, g.i AS g, g.name, g.near_object, g.near_of FROM hit h JOIN tok p ON p.sent = h.sent AND p.head = h.i AND p.i > h.i AND p.dep = 'prep'
+  JOIN orders_of o ON o.relation = h.relation AND o.prep = lower(p.lemma) AND (h.kind = 'verb' OR o.prep = 'of') JOIN tok g ON g.sent = h.sent AND g.head = p.i AND g.i > p.i AND g.dep IN ('pobj', 'nmod')),
+candidate AS (SELECT h.sent, h.i, -1 AS place, c.i AS p, 0 AS g, 0 AS part, 0 AS q, c.name FROM hit h JOIN tok c ON c.sent = h.sent AND c.head = h.i AND c.i > h.i AND c.dep IN ('dobj', 'attr') WHERE h.kind = 'verb'
+  UNION ALL SELECT sent, i, place, p, g, 0, 0, name FROM under
+  UNION ALL SELECT u.sent, u.i, place, p, g, 1, c.i, c.name FROM under u JOIN tok c ON c.sent = u.sent AND c.head = u.g AND c.i > u.g AND c.dep IN ('appos', 'conj')
+  UNION ALL SELECT sent, i, place, p, g, 2, 0, CASE WHEN kind = 'verb' THEN near_object ELSE near_of END FROM under),
+object AS (SELECT sent, i, name, row_number() OVER (PARTITION BY sent, i ORDER BY place, p, g, part, q) AS n FROM candidate WHERE name <> ''),
+pair AS (SELECT d.*, (SELECT any_value(subj_is_head) FROM orders_of r WHERE r.relation = d.relation) AS forward,
+  coalesce(nullif(CASE WHEN w.n IS NOT NULL THEN w.name ELSE t.name END, ''), nullif(before, ''), nullif(filer, '')) AS subj, coalesce(o.name, nullif(CASE WHEN kind = 'verb' THEN after_verb ELSE after_noun END, '')) AS obj,
+  filer <> '' AND (d.dep = 'dobj' OR EXISTS (SELECT 1 FROM tok c WHERE c.sent = d.sent AND c.head = d.i AND c.i < d.i AND c.dep IN ('poss', 'det') AND lower(c.text) IN ({_SELF}))) AS possessed
+  FROM doer d LEFT JOIN own w ON w.sent = d.sent AND w.i = d.i AND w.n = 1 LEFT JOIN theirs t ON t.sent = d.sent AND t.i = d.i AND t.n = 1 LEFT JOIN object o ON o.sent = d.sent AND o.i = d.i AND o.n = 1),
+turned AS (SELECT x.*, kind = 'noun' AND coalesce(possessed, false) AND relation IN ('supplier_of', 'customer_of') AND {_is_entity('obj', 'NULL')} AS swap, kind = 'verb' AND NOT forward AS turn FROM pair x
+  WHERE subj <> obj AND lower(subj) NOT IN ({_SKIP}) AND lower(obj) NOT IN ({_SKIP}) AND ({_is_entity('subj', 'filer')} OR {_is_entity('obj', 'filer')})),
+found AS (SELECT *, CASE WHEN swap OR turn THEN obj ELSE subj END AS h, CASE WHEN swap THEN filer WHEN turn THEN subj ELSE obj END AS t FROM turned),
+once AS (SELECT *, row_number() OVER (PARTITION BY source_file, sent, h, relation, t ORDER BY i) AS n FROM found)
+SELECT CASE WHEN relation = 'customer_of' THEN t ELSE h END AS head, CASE WHEN relation = 'customer_of' THEN 'supplier_of' ELSE relation END AS relation, CASE WHEN relation = 'customer_of' THEN h ELSE t END AS tail,
+  CAST(confidence AS DOUBLE) AS confidence, source_file, sent AS sent_pos, i AS pos FROM once WHERE n = 1"""
+
+
+def _parsed_sentences(spark, sf_dir):
+    """The rows of the views rule_tokens and rule_ents as annotated sentences."""
+    tokens, ents = view(spark, sf_dir, "rule_tokens"), view(spark, sf_dir, "rule_ents")
+    of_tokens = tokens.groupBy("sent").agg(F.sort_array(F.collect_list(F.struct("i", "idx", "text", "lemma", "pos", "dep", "head"))).alias("tokens"))
+    listed = ents.groupBy("sent").agg(F.sort_array(F.collect_list(F.struct("k", "text", "s", "e", "label"))).alias("listed"))
+    of_ents = listed.select("sent", F.transform("listed", lambda e: F.struct(e["text"].alias("text"), e["s"].alias("start"), e["e"].alias("end"), e["label"].alias("label"))).alias("ents"))
+    both = view(spark, sf_dir, "rule_filers").join(of_tokens, "sent").join(of_ents, "sent")
+    return both.select("source_file", F.col("sent").alias("sent_pos"), F.lit("").alias("sentence"), "tokens", "ents", "filer")
+
+
+@query(_EXTRACT)
+def q_rule_extract(spark, sf_dir):
+    """All rules on a parsed sentence for each customer, in all shapes: what annotations give, without an annotator."""
+    found = rules.extract(_parsed_sentences(spark, sf_dir))
+    return found.select("head", "relation", "tail", "confidence", "source_file", F.col("ord.sent_pos").alias("sent_pos"), F.col("ord.pos").alias("pos"))
+
+
+@query(rf"{_TOKENS} SELECT sent AS sent_pos, i AS pos, name, before, after_noun, near_object, {_is_entity('x.text', 'x.filer')} AS entity FROM tok x")
+def q_span_nearest(spark, sf_dir):
+    """For each token: the entity it stands in, the nearest ones before and after it, and whether its text is one itself."""
+    rows = _parsed_sentences(spark, sf_dir).withColumn("ents", rules.entity_filter(F.col("ents"))).select("*", F.explode("tokens").alias("token"))
+    token, ents, filer = F.col("token"), F.col("ents"), F.col("filer")
+    near = {"before": rules.nearest_before(ents, token["idx"]), "after_noun": rules.nearest_after(ents, token["idx"] + F.length(token["text"]), 200), "near_object": rules.nearest_after(ents, token["idx"], 250)}
+    return rows.select("sent_pos", token["i"].alias("pos"), rules.token_entity(token, ents, filer).alias("name"), *[c.alias(k) for k, c in near.items()], rules.is_entity(token["text"], ents, filer).alias("entity"))
 
 
 @query(f"WITH {with_views('raw')} SELECT extractor, ord, CASE WHEN relation = 'customer_of' THEN tail ELSE head END AS head, CASE WHEN relation = 'customer_of' THEN 'supplier_of' ELSE relation END AS relation, CASE WHEN relation = 'customer_of' THEN head ELSE tail END AS tail FROM raw")
@@ -142,6 +211,22 @@ def q_normalize_relation(spark, sf_dir):
     return merge.normalize_relation(view(spark, sf_dir, "raw")).select("extractor", "ord", "head", "relation", "tail")
 
 
+_QUOTED = "CASE WHEN contains({0}, chr(39)) THEN '\"' || {0} || '\"' ELSE chr(39) || {0} || chr(39) END"
+
+
+@query(f"WITH {with_views('raw')} SELECT extractor, ord, '(' || {_QUOTED.format('head')} || ', ' || relation || ', ' || {_QUOTED.format('tail')} || ') conf=' || printf('%.2f', coalesce(confidence, 0.5)) || ' src=' || source_file AS line FROM raw")
+def q_triple_display(spark, sf_dir):
+    c = F.col
+    return view(spark, sf_dir, "raw").select("extractor", "ord", text.display(c("head"), c("relation"), c("tail"), F.coalesce("confidence", F.lit(0.5)), c("source_file")).alias("line"))
+
+
+@query(f"WITH {with_views('raw')} SELECT CASE extractor WHEN 'rules' THEN 0 ELSE 1 END AS extractor_ord, extractor, ord, head, relation, tail FROM raw")
+def q_union_extractors(spark, sf_dir):
+    raw = view(spark, sf_dir, "raw")
+    parts = [(name, raw.filter(F.col("extractor") == name).drop("extractor", "extractor_ord")) for name in ("rules", "model")]
+    return merge.union_extractors(parts).select("extractor_ord", "extractor", "ord", "head", "relation", "tail")
+
+
 # Model responses.
 
 _JSON = r"""cleaned AS (SELECT *, CASE WHEN regexp_matches(trim(response), '(?s)```(?:json)?\s*.*?\s*```') THEN regexp_extract(trim(response), '(?s)```(?:json)?\s*(.*?)\s*```', 1)
@@ -229,10 +314,17 @@ def q_canonicalize(spark, sf_dir):
     return resolve.canonicalize(names, "name", canon_table(spark, LEXICON), "canonical")
 
 
-@query(rf"WITH {with_views('raw')}, n AS (SELECT DISTINCT head AS name FROM raw UNION SELECT tail FROM raw) SELECT name, regexp_matches(name, '^{fixed.PRONOUN}$', 'i') AS pronoun, lower(name) IN ({_NOISE}) AS noise, regexp_matches(name, '^{LEXICON.junk}', 'i') AS junk, {_VALID.format('name')} AS valid FROM n")
+_GATE = rf"""(length(name) >= 3 AND NOT (regexp_matches(name, '^{fixed.SHORT_CAPITALS}$') AND name NOT IN ({_listed(fixed.KNOWN_CAPITALS)})) AND regexp_matches(name, '[A-Za-z]') AND NOT (starts_with(lower(name), 'the ') AND name NOT IN ({_listed(LEXICON.anchors)}))
+AND left(name, 1) NOT IN ('•', '–', '—', '-', '/') AND NOT regexp_matches(name, '^{LEXICON.generic}', 'i') AND NOT (regexp_matches(name, '^{LEXICON.product}', 'i') AND name NOT IN ({_listed(fixed.NO_PRODUCTS)}))
+AND NOT ({' OR '.join(f"ends_with(name, '{c}')" for c in fixed.CATEGORIES)}) AND name NOT IN ({_listed(LEXICON.not_companies)}) AND len(regexp_split_to_array(trim(name), '\s+')) <= 6)"""
+_MORE = ", ".join(f"({_listed([w])})" for w in (*fixed.NO_PRODUCTS, *fixed.KNOWN_CAPITALS, *LEXICON.not_companies, *fixed.CATEGORIES))
+
+
+@query(rf"WITH {with_views('raw', 'names')}, n AS (SELECT DISTINCT head AS name FROM raw UNION SELECT tail FROM raw UNION SELECT name FROM names UNION SELECT * FROM (VALUES {_MORE}) v(name)) SELECT name, regexp_matches(name, '^{fixed.PRONOUN}$', 'i') AS pronoun, lower(name) IN ({_NOISE}) AS noise, regexp_matches(name, '^{LEXICON.junk}', 'i') AS junk, {_GATE} AS valid FROM n")
 def q_name_filters(spark, sf_dir):
     raw = view(spark, sf_dir, "raw")
-    names = raw.select(F.col("head").alias("name")).union(raw.select("tail")).distinct()
+    more = spark.sql(f"SELECT name FROM (VALUES {_MORE}) v(name)")
+    names = raw.select(F.col("head").alias("name")).union(raw.select("tail")).union(view(spark, sf_dir, "names")).union(more).distinct()
     c = F.col("name")
     return names.select("name", resolve.is_pronoun(c).alias("pronoun"), resolve.is_noise(c, LEXICON).alias("noise"), resolve.is_junk(c, LEXICON).alias("junk"), resolve.looks_like_company(c, LEXICON).alias("valid"))
 
@@ -265,8 +357,7 @@ def q_merge_kept_running(spark, sf_dir):
 
 @query(f"{_JUDGED} SELECT row_number() OVER (ORDER BY confidence DESC, head, relation, first_ord)::INT AS place, head, relation, tail FROM merged WHERE k = 1")
 def q_merge_sorted(spark, sf_dir):
-    w = Window.orderBy(F.col("confidence").desc(), "head", "relation", "first_ord")  # over merged triples, which are few
-    return merge.keep_best(judged(spark, sf_dir)).select(F.row_number().over(w).alias("place"), "head", "relation", "tail")
+    return merge.placed(merge.keep_best(judged(spark, sf_dir))).select("place", "head", "relation", "tail")
 
 
 @query(f"{_JUDGED} SELECT relation, count(*) AS n, repeat('█', count(*)) AS bar FROM merged WHERE k = 1 GROUP BY relation")
@@ -310,7 +401,7 @@ def _edges(spark, sf_dir):
 
 
 def _top(edge_table: DataFrame) -> DataFrame:
-    return materialize(graph.first_paths(graph.cascade_paths(edge_table), 25), "top")
+    return materialize(graph.first_paths(graph.cascade_paths(edge_table, limit=25), 25), "top")
 
 
 @query(f"{_EDGES} SELECT src, dst, relation, confidence, source_file, source_sentence, edge_ord FROM edges WHERE src <> dst")
@@ -365,6 +456,15 @@ def q_exact_path(spark, sf_dir):
     return graph.find_path(top, names).select("start", graph.path_text(F.col("path")).alias("path"), "hops")
 
 
+@query(f"""{_PATHS}, two AS (SELECT start, path, hops, row_number() OVER (PARTITION BY start ORDER BY hops, path) AS rank FROM paths WHERE hops <= 2), best AS (SELECT * FROM two WHERE rank <= 10), {_HOPS.replace('FROM top', 'FROM best')},
+t AS (SELECT start, path, string_agg(head || ' --' || relation || '--> ' || tail || chr(10) || 'Traversal: ' || direction || chr(10) || 'Source: ' || source_file || chr(10) || 'Evidence: ' || source_sentence, chr(10) ORDER BY h, direction, edge_ord) AS rels FROM steps GROUP BY start, path)
+SELECT b.start, rank::INT AS rank, md5('Cascade path:' || chr(10) || array_to_string(b.path, ' -> ') || chr(10) || rels) AS digest FROM best b JOIN t ON t.start = b.start AND t.path = b.path""")
+def q_demonstration(spark, sf_dir):
+    edge_table = _edges(spark, sf_dir)
+    starts = graph.nodes(edge_table).select(F.col("name").alias("start"))
+    return drivers.demonstration(edge_table, starts).select("start", "rank", F.md5("text").alias("digest"))
+
+
 # Questions.
 
 _Q = f"""WITH RECURSIVE {with_views('edges', 'questions')}, {_RISK},
@@ -450,17 +550,34 @@ def q_layout_positions(spark, sf_dir):
     return placed.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 
-@query(f"{_PATHS} SELECT start, array_to_string(path, ' -> ') AS path, hops AS hop_count, 2 AS path_continuity, 2 AS evidence_coverage, 2 AS direction_consistency, 2 AS cascade_relevance, 2 AS path_quality, 10 AS total_score, '' AS unsupported_steps FROM top")
-def q_eval_scores(spark, sf_dir):
+_GAPS = f"""{_PATHS}, hops AS (SELECT start, path, unnest(range(1, len(path))) AS h FROM top), kept AS (SELECT * FROM edges WHERE edge_ord % 4 <> 1),
+step AS (SELECT start, path, h, path[h] || ' -> ' || path[h + 1] AS name, EXISTS (SELECT 1 FROM kept WHERE (src = path[h] AND dst = path[h + 1]) OR (src = path[h + 1] AND dst = path[h])) AS backed,
+  EXISTS (SELECT 1 FROM kept WHERE (relation = 'supplier_of' AND src = path[h] AND dst = path[h + 1]) OR (relation IN ('depends_on', 'customer_of') AND src = path[h + 1] AND dst = path[h])) AS carried FROM hops),
+score AS (SELECT start, path, count(*) AS hop_count, CASE count(*) FILTER (WHERE NOT backed) WHEN 0 THEN 2 WHEN count(*) THEN 0 ELSE 1 END AS b, CASE count(*) FILTER (WHERE NOT carried) WHEN 0 THEN 2 WHEN count(*) THEN 0 ELSE 1 END AS c,
+  coalesce(string_agg(name, '; ' ORDER BY h) FILTER (WHERE NOT backed), '') AS unsupported_steps, coalesce(string_agg(name, '; ' ORDER BY h) FILTER (WHERE NOT carried), '') AS direction_errors FROM step GROUP BY start, path)"""
+
+
+def _gaps(spark, sf_dir):
+    """Paths with all relations between their steps' companies that a part of the edges has: some steps lack any, some the direction."""
     edge_table = _edges(spark, sf_dir)
-    rows = evaluate.path_rows(evaluate.rule_judge(graph.path_evidence(_top(edge_table), edge_table)))
-    return rows.select(F.split("path", " -> ")[0].alias("start"), *rows.columns[: rows.columns.index("unsupported_steps") + 1])
+    kept = edge_table.filter(F.col("edge_ord") % 4 != 1).select(F.col("src").alias("head"), "relation", F.col("dst").alias("tail"))
+    top = _top(edge_table).select("start", "path")
+    pairs = top.select("start", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.array(F.get("path", k - 1), F.get("path", k)))).alias("pair"))
+    both = F.array_sort(F.array("head", "tail"))
+    found = pairs.withColumn("pair", F.array_sort("pair")).join(kept.withColumn("pair", both), "pair").groupBy("start", "path").agg(F.collect_list(F.struct("head", "relation", "tail")).alias("relationships"))
+    empty = F.array().cast("array<struct<head:string,relation:string,tail:string>>")
+    return evaluate.rule_judge(top.join(found, ["start", "path"], "left").withColumn("relationships", F.coalesce("relationships", empty)))
+
 
+@query(f"{_GAPS} SELECT start, array_to_string(path, ' -> ') AS path, hop_count::INT AS hop_count, b AS path_continuity, b AS evidence_coverage, c AS direction_consistency, c AS cascade_relevance, 2 AS path_quality, 2 * b + 2 * c + 2 AS total_score, unsupported_steps, direction_errors FROM score")
+def q_eval_scores(spark, sf_dir):
+    rows = evaluate.path_rows(_gaps(spark, sf_dir))
+    return rows.select(F.split("path", " -> ")[0].alias("start"), *rows.columns[: rows.columns.index("direction_errors") + 1])
 
-@query(f"{_PATHS} SELECT printf('%.1f', avg(10.0)) AS average FROM top")
+
+@query(f"{_GAPS} SELECT printf('%.1f', avg(2 * b + 2 * c + 2)) AS average FROM score")
 def q_eval_mean(spark, sf_dir):
-    edge_table = _edges(spark, sf_dir)
-    return evaluate.mean_score(evaluate.rule_judge(graph.path_evidence(_top(edge_table), edge_table)))
+    return evaluate.mean_score(_gaps(spark, sf_dir))
 
 
 @query(f"""{_PATHS}, {_HOPS}, r AS (SELECT start, path, h, string_agg(head || ' --' || relation || '--> ' || tail || chr(10) || 'Source: ' || source_file || chr(10) || 'Evidence: ' || source_sentence, chr(10) ORDER BY direction, edge_ord) AS rels
@@ -477,10 +594,12 @@ def q_eval_step_format(spark, sf_dir):
 
 # Incremental work, and what has no SQL.
 
-@query(f"WITH {_FILINGS}, done AS (SELECT source_file FROM filings WHERE starts_with(source_file, 'SRC1')) SELECT source_file FROM filings WHERE source_file NOT IN (SELECT source_file FROM done)")
+@query(f"WITH {_FILINGS} SELECT source_file FROM filings WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE ends_with(source_file, '_' || l.doc_id || '.txt'))")
 def q_resume_antijoin(spark, sf_dir):
+    """Filings that are not done; those whose documents have a label are."""
     read = filings(spark, sf_dir)
-    return incremental.pending(read, read.filter(F.col("source_file").startswith("SRC1"))).select("source_file")
+    done = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").select(F.concat(F.upper("source"), F.lit("_"), "doc_id", F.lit(".txt")).alias("source_file"))
+    return incremental.pending(read, done).select("source_file")
 
 
 @query()

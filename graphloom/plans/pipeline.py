@@ -6,7 +6,7 @@ import argparse
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
@@ -34,9 +34,8 @@ def extract_by_model(filings: DataFrame, make: Callable[[], responses.Completion
 
 
 def edges_of(merged: DataFrame) -> DataFrame:
-    """The graph of merged triples. Edges are numbered in the triples' order; they are as few as the distinct triples."""
-    w = Window.orderBy(F.col("confidence").desc(), "head", "relation", "tail")
-    return graph.edges(merged.withColumn("edge_ord", F.row_number().over(w)))
+    """The graph of merged triples. Edges are numbered in the triples' order."""
+    return graph.edges(merge.placed(merged, "edge_ord", [F.col("confidence").desc(), F.col("head"), F.col("relation"), F.col("tail")]))
 
 
 def evaluate_paths(edge_table: DataFrame, paths: DataFrame, max_hops: int = 5, max_paths: int = 25) -> DataFrame:
@@ -76,25 +75,32 @@ def run(spark: SparkSession, folder: str, out: str, *, make_provider=None, make_
     asked, errors = extract_by_model(read, make_provider, cap)
     asked.write.mode("overwrite").parquet(f"{out}/model_triples")
     files.write_errors(errors, f"{out}/errors")
-    parts = [("rule_based", spark.read.parquet(f"{out}/rule_triples")), ("model", spark.read.parquet(f"{out}/model_triples"))]
+    return merged_results(spark, folder, out, lexicon)
+
+
+def merged_results(spark: SparkSession, folder: str, out: str, lexicon: Lexicon | None = None) -> dict[str, DataFrame]:
+    """What follows extraction, from the triples under out; an extractor that wrote none counts as empty. The JSON document is an
+    export: all triples meet in one row of it."""
+    lexicon = lexicon or Lexicon()
+    parts = [(name, files.stored_triples(spark, f"{out}/{at}")) for name, at in (("rule_based", "rule_triples"), ("model", "model_triples"))]
     merged = merge.merge(parts, lexicon)
     merged.write.mode("overwrite").parquet(f"{out}/merged")
     merged = spark.read.parquet(f"{out}/merged")
     files.write_envelope(merged, f"{out}/merged_json", [(-F.col("confidence")).alias("c"), "head", "relation", "tail"])
     edge_table = edges_of(merged)
-    return {"merged": merged, "edges": edge_table, "relations": reports.relation_counts(merged), "companies": reports.companies(merged, lexicon), "per_file": reports.per_file(read, ruled)}
+    return {"merged": merged, "edges": edge_table, "relations": reports.relation_counts(merged), "companies": reports.companies(merged, lexicon), "per_file": reports.per_file(files.filings(spark, folder), parts[0][1])}
 
 
-def ask(spark: SparkSession, edge_table: DataFrame, question: str) -> tuple[DataFrame, str]:
-    """The answer row to one question and a picture of its paths."""
+def ask(spark: SparkSession, edge_table: DataFrame, question: str, make_provider=None) -> tuple[DataFrame, str]:
+    """The answer row to one question, by a model if there is one, and a picture of its paths."""
     if not question.strip():
         raise ValueError("A question is required")
     asked = spark.createDataFrame([(1, question.strip())], "id int, question string")
-    answer = questions.answer_questions(asked, edge_table)
+    answer = questions.answer_by_model(questions.answer_questions(asked, edge_table), make_provider)
     row = answer.first()
     if row["status"] != "OK":
         return answer, ""
-    paths = graph.first_paths(graph.cascade_paths(edge_table, row["start"]), questions.MAX_PATHS)
+    paths = graph.first_paths(graph.cascade_paths(edge_table, row["start"], limit=questions.MAX_PATHS), questions.MAX_PATHS)
     if row["target"]:
         paths = graph.to_target(paths, row["target"])
     chosen = questions.deepest(paths, by="start")
@@ -107,6 +113,8 @@ def main() -> None:
     parser.add_argument("--out", required=True)
     parser.add_argument("--max-sentences", type=int, default=100)
     parser.add_argument("--question")
+    parser.add_argument("--picture", help="a file for an SVG picture of the paths that answer the question")
+    parser.add_argument("--new-only", action="store_true", help="extract only from filings that came since the last run; a crash loses no file that was done")
     parser.add_argument("--skip-model", action="store_true")
     parser.add_argument("--model-url", help="an endpoint for chat messages; the key comes from MODEL_API_KEY")
     parser.add_argument("--model", default="")
@@ -115,11 +123,18 @@ def main() -> None:
     key = os.environ.get("MODEL_API_KEY", "")
     asked = bool(args.model_url and key) and not args.skip_model
     make = (lambda: responses.HttpProvider(args.model_url, key, args.model)) if asked else None
-    found = run(spark, args.filings, args.out, make_provider=make, cap=args.max_sentences)
+    if args.new_only:
+        extract_new(spark, args.filings, args.out, make, args.max_sentences)
+        found = merged_results(spark, args.filings, args.out)
+    else:
+        found = run(spark, args.filings, args.out, make_provider=make, cap=args.max_sentences)
     found["relations"].show(truncate=False)
     found["companies"].show(1000, truncate=False)
     if args.question:
-        answer, _ = ask(spark, found["edges"], args.question)
+        answer, picture = ask(spark, found["edges"], args.question, make)
+        if args.picture and picture:
+            with open(args.picture, "w", encoding="utf-8") as file:
+                file.write(picture)
         answer.select("status", "start", "target", "max_depth", "answer").show(truncate=False)
 
 

@@ -67,8 +67,49 @@ SELECT CAST(event_id AS INT) AS sent_pos, concat('f', CAST(user_id AS VARCHAR(20
 FROM (SELECT *, concat('{"triples":[{"head":" A', CAST(user_id AS VARCHAR(20)), '","relation":"', CASE WHEN user_id % 4 = 0 THEN 'friend_of' WHEN user_id % 4 = 1 THEN 'customer_of' ELSE 'supplier_of' END,
   '","tail":"', CASE WHEN user_id % 10 = 0 THEN ' ' ELSE event_type END, '"', CASE WHEN user_id % 3 = 0 THEN '' ELSE concat(',"confidence":', CAST(user_id % 5 AS VARCHAR(20)), '.5') END, '}]}') AS body FROM events) t
 """
-VIEWS = {"flow": FLOW, "trade": TRADE, "need": NEED, "edges": EDGES, "raw": RAW, "questions": QUESTIONS, "responses": RESPONSES}
-_NEEDS = {"flow": (), "trade": ("flow",), "need": ("flow",), "edges": ("flow", "trade", "need"), "raw": ("flow", "trade"), "questions": (), "responses": ()}
+
+
+def _r(c: int, m: int) -> str:
+    """A pseudorandom number below m for each (sent, i), alike in both engines."""
+    return f"((((sent * 31 + i * 17 + {c} * 101) % 10007) * ((sent * 7 + i * 3 + {c} * 977) % 9973)) % 7919 % {m})"
+
+
+def _pick(c: int, *values: str) -> str:
+    return f"CASE {_r(c, len(values))} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+def _names(*values: str) -> list[str]:
+    return [f"'{v}'" for v in values]
+
+
+#: A parsed sentence for each customer, of twelve tokens with every kind of trigger, part of speech and dependency. A gap in
+#: some puts entities within some windows and beyond others.
+RULE_TOKENS = f"""
+SELECT sent, CAST(i AS INT) AS i, CAST(i * 12 + CASE WHEN sent % 5 = 0 AND i >= 6 THEN 130 + sent % 200 ELSE 0 END AS INT) AS idx,
+  {_pick(1, *_names('we', 'Our', 'it', 'w1', 'w2', 'w3', 'the company', 'w4', 'w5', 'w6'))} AS text,
+  CASE WHEN dep = 'prep' THEN {_pick(2, *_names('with', 'to', 'From', 'of', 'on', 'for', 'against', 'such', 'by'))}
+    ELSE {_pick(3, *_names('supply', 'Purchase', 'acquire', 'rival', 'partner', 'customer', 'supplier', 'subsidiary', 'depend', 'reliance', 'x', 'y', 'vendor', 'z'))} END AS lemma,
+  {_pick(4, *_names('VERB', 'AUX', 'NOUN', 'PROPN', 'ADJ', 'NOUN'))} AS pos, dep, CAST(greatest(0, least(11, i + {_r(5, 7)} - 3)) AS INT) AS head
+FROM (SELECT sent, i, {_pick(6, *_names('nsubj', 'nsubjpass', 'csubj', 'dobj', 'attr', 'prep', 'prep', 'pobj', 'nmod', 'appos', 'conj', 'poss', 'det', 'pobj', 'prep'))} AS dep
+  FROM (SELECT c_custkey AS sent FROM customer) c CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(i)) t
+"""
+#: Their entities, among them kinds, lengths and words that are dropped.
+RULE_ENTS = f"""
+SELECT sent, CAST(i AS INT) AS k, {_pick(7, "' Acme '", "'Beta'", "concat('Gamma', sent % 3)", "'Exhibit 9'", "'w2'", "repeat('x', 90)", "'it'", "concat('Delta', i)", "'Acme East'")} AS text,
+  CAST(i * 28 + {_r(8, 24)} + CASE WHEN sent % 3 = 0 AND i >= 3 THEN 150 + sent % 170 ELSE 0 END AS INT) AS s, CAST(i * 28 + {_r(8, 24)} + 14 + CASE WHEN sent % 3 = 0 AND i >= 3 THEN 150 + sent % 170 ELSE 0 END AS INT) AS e,
+  {_pick(9, *_names('ORG', 'GPE', 'PRODUCT', 'ORG', 'PERSON', 'GPE'))} AS label
+FROM (SELECT c_custkey AS sent FROM customer) c CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(i)
+"""
+#: Who files each sentence; not known for some.
+RULE_FILERS = "SELECT c_custkey AS sent, concat('F', c_custkey % 40, '_2023.txt') AS source_file, CASE c_custkey % 4 WHEN 0 THEN CAST(NULL AS VARCHAR(9)) WHEN 1 THEN 'Acme' ELSE 'Filer' END AS filer FROM customer"
+#: Names with each reason that the quality gate has, and around them.
+NAMES = """
+SELECT concat(p, b, s) AS name FROM (VALUES (''), ('the '), ('The '), ('• '), ('–'), ('-'), ('/ '), ('our '), ('various '), ('certain '), ('A B C D E ')) a(p)
+CROSS JOIN (VALUES ('AB'), ('ABC'), ('IBM'), ('HP'), ('TSMC'), ('1234'), ('A1B2C'), ('Acme'), ('Acme Works'), ('___'), ('éé'), ('NATION_3')) c(b)
+CROSS JOIN (VALUES (''), (' suppliers'), (' Suppliers'), (' customers'), (' Processors'), (' f g'), (' Inc.')) d(s)
+"""
+VIEWS = {"rule_tokens": RULE_TOKENS, "rule_ents": RULE_ENTS, "rule_filers": RULE_FILERS, "names": NAMES, "flow": FLOW, "trade": TRADE, "need": NEED, "edges": EDGES, "raw": RAW, "questions": QUESTIONS, "responses": RESPONSES}
+_NEEDS = {"rule_tokens": (), "rule_ents": (), "rule_filers": (), "names": (), "flow": (), "trade": ("flow",), "need": ("flow",), "edges": ("flow", "trade", "need"), "raw": ("flow", "trade"), "questions": (), "responses": ()}
 
 #: Names of the nations, as a lexicon: all but the last have an entry, even ones are anchors.
 LEXICON = Lexicon(

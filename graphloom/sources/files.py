@@ -11,7 +11,7 @@ from graphloom.functions.schemas import ENVELOPE, ERRORS, TRIPLE
 
 
 def filings(spark: SparkSession, folder: str, glob: str = "*_2023.txt") -> DataFrame:
-    """(source_file, text): whole files by name. A missing folder, or no file in it, gives an empty table."""
+    """(source_file, text): whole files, in no order. A missing folder, or no file in it, gives an empty table."""
     kind = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("text", T.StringType())])
     try:
         read = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
@@ -19,7 +19,7 @@ def filings(spark: SparkSession, folder: str, glob: str = "*_2023.txt") -> DataF
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], kind)
-    return read.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text")).orderBy("source_file")
+    return read.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
 
 
 def triples(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
@@ -38,6 +38,21 @@ def triples(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFra
     return read.select(F.posexplode("triples").alias("ord", "t")).select("t.*", "ord")
 
 
+def stored_triples(spark: SparkSession, path: str) -> DataFrame:
+    """Triples that a run wrote as Parquet, with ord; no folder, or one without rows, gives an empty table. Where they were written
+    by file they have no ord: it is then their place within the file's rows."""
+    try:
+        read = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], f"{TRIPLE}, ord struct<source_file:string,source_sentence:string,head:string,relation:string,tail:string,confidence:double>")
+    if "ord" in read.columns:
+        return read
+    order = F.struct("source_file", "source_sentence", "head", "relation", "tail", "confidence")
+    return read.withColumn("ord", order)
+
+
 def write_envelope(df: DataFrame, path: str, order: list) -> None:
     """Triples as one JSON document with their number. For exports: all of them meet in one row; keep Parquet inside."""
     columns = [c for c in ("head", "relation", "tail", "confidence", "source_file", "source_sentence", "extractor") if c in df.columns]

@@ -14,9 +14,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of this process where that is unset."""
+    """spark.checkpoint.dir, or, where that is unset and all runs on this machine, a temporary folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="graphloom-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import lexicon, schemas, text
 from graphloom.functions.lexicon import Lexicon
 from graphloom.operators import annotate, evaluate, graph, layout, merge, questions, reports, resolve, responses, rules
-from graphloom.plans import pipeline
+from graphloom.plans import drivers, pipeline
 from graphloom.sources import files
 from graphloom.streaming import incremental
 
@@ -330,3 +330,56 @@ def test_answers_and_new_files(spark, tmp_path):
         pipeline.extract_new(spark, str(folder), str(tmp_path / "out"), lambda: lambda prompt: "no json")
     found = spark.read.parquet(str(tmp_path / "out" / "rule_triples"))
     assert sorted(r["source_file"] for r in found.collect()) == ["AMD_2023.txt", "MU_2023.txt"]
+
+
+def test_complete_graph_with_limit(spark):
+    """40 nodes, all linked, 4 hops: 25 paths of each start, though there are over two million of each."""
+    names = [f"N{i:02}" for i in range(40)]
+    rows = [(a, "supplier_of", b, 0.5, "f", "s", i * 40 + j) for i, a in enumerate(names) for j, b in enumerate(names)]
+    table = graph.edges(spark.createDataFrame(rows, "head string, relation string, tail string, confidence double, source_file string, source_sentence string, edge_ord int"))
+    got = graph.first_paths(graph.cascade_paths(table, None, 4, 25), 25).collect()
+    assert len(got) == 40 * 25 and {r["hops"] for r in got} == {1}
+    deep = graph.first_paths(graph.cascade_paths(table, "N00", 4, 60), 60).collect()
+    assert [list(r["path"]) for r in sorted(deep, key=lambda r: r["rank"])] == [["N00", n] for n in names[1:]] + [["N00", "N01", n] for n in names[2:23]]
+
+
+def test_places(spark):
+    rows = [(f"h{i % 7}", "r", f"t{i}", (i % 5) / 5, i) for i in range(200)]
+    table = spark.createDataFrame(rows, "head string, relation string, tail string, confidence double, first_ord int")
+    want = sorted(rows, key=lambda r: (-r[3], r[0], r[1], r[4]))
+    assert [tuple(r)[:5] for r in sorted(merge.placed(table).collect(), key=lambda r: r["place"])] == want
+    assert merge.placed(table.limit(0)).count() == 0
+
+
+def test_evaluation_drivers(spark, tmp_path):
+    rows = [("TSMC", "supplier_of", "Broadcom"), ("TSMC", "supplier_of", "AMD"), ("Broadcom", "supplier_of", "Huawei"), ("UMC", "supplier_of", "AMD"), ("TSMC", "depends_on", "AMD"), ("GLOBALFOUNDRIES", "depends_on", "UMC"), ("GLOBALFOUNDRIES", "supplier_of", "AMD")]
+    table = graph.edges(spark.createDataFrame([(*r, 0.8, "f", "s", i) for i, r in enumerate(rows)], "head string, relation string, tail string, confidence double, source_file string, source_sentence string, edge_ord int"))
+    found, mean = drivers.evaluate_path_cases(table, str(tmp_path / "paths"))
+    assert found.count() == 5 and mean.first()["average"] == "10.0"
+    assert files.read_csv(spark, str(tmp_path / "paths"), ", ".join(f"{c} string" for c in evaluate.PATH_COLUMNS)).count() == 5
+    with pytest.raises(ValueError, match="Path not found: TSMC -> UMC"):
+        drivers.evaluate_path_cases(table, str(tmp_path / "none"), cases=spark.createDataFrame([(["TSMC", "UMC"],)], "path array<string>"))
+    found, mean = drivers.evaluate_question_cases(table, str(tmp_path / "answers"), lambda: lambda prompt: "TSMC may hit Broadcom, AMD or Huawei\non 9 hops.")
+    got = {r["question_id"]: r for r in found.collect()}
+    assert sorted(got) == ["Q1", "Q2", "Q3", "Q4", "Q5"] and got["Q1"]["answer"].startswith("TSMC may") and got["Q1"]["unsupported_claims"] == "9 hops" and got["Q1"]["total_score"] == 8
+    again = files.read_csv(spark, str(tmp_path / "answers"), ", ".join(f"{c} string" for c in evaluate.ANSWER_COLUMNS))
+    assert again.count() == 5 and again.filter("question_id = 'Q4' AND answer LIKE '%hops.'").count() == 1
+    reply = json.dumps({**dict.fromkeys(evaluate.ANSWER_ITEMS, 1), "unsupported_claims": [], "direction_errors": [], "explanation": ""})
+    assert drivers.evaluate_question_cases(table, str(tmp_path / "judged"), None, lambda: lambda prompt: reply)[1].first()["average"] == "5.0"
+    with pytest.raises(ValueError, match="No relationships"):
+        drivers.evaluate_question_cases(table, str(tmp_path / "x"), cases=spark.createDataFrame([("a", "t", "Nobody?")], "id string, type string, question string"))
+    assert "Traversal: reverse" in drivers.demonstration(table, "UMC").filter("rank = 2").first()["text"]
+
+
+def test_copies_and_new_only(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "NVDA_2023.txt").write_text("In most years Advanced Micro Devices supplies wafers to Broadcom Inc. The rest of it is dull and long enough to stay.", "utf-8")
+    outs = [str(tmp_path / x) for x in "ab"]
+    drivers.rules_to_copies(spark, str(folder), outs)
+    assert [spark.read.parquet(o).count() for o in outs] == [1, 1]
+    pipeline.extract_new(spark, str(folder), str(tmp_path / "out"))
+    found = pipeline.merged_results(spark, str(folder), str(tmp_path / "out"))
+    assert [(r["head"], r["relation"], r["tail"]) for r in found["merged"].collect()] == [("AMD", "supplier_of", "Broadcom")]
+    answer, picture = pipeline.ask(spark, found["edges"], "What if a disruption at AMD?", lambda: lambda prompt: "By a model.")
+    assert answer.first()["answer"] == "By a model." and picture.startswith("<svg")
