@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.storage import scratch
+
 from .common import SPACES, chunk_texts, chunked, grown, rice_decode, rice_encode, sized, table, unused
 
 _SPACES = SPACES.encode()
@@ -142,8 +144,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs with all their columns, one row of each group of equal texts."""
     row = unused("row", docs)
     numbered = table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    gone = exact_groups(numbered, row_col=row).filter("not kept").select(F.col("row_id").alias(row))
-    return numbered.join(sized(gone, "op2-gone"), row, "left_anti").select(*docs.columns)
+    with scratch(docs.sparkSession) as made:
+        gone = sized(exact_groups(numbered, row_col=row).filter("not kept").select(F.col("row_id").alias(row)), "op2-gone")
+        made.pop()  # only the rows that go are read from here on
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
