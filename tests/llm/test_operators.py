@@ -592,6 +592,24 @@ def test_near_copies(spark, docs, none):
     assert near_copies.keep_one(docs).columns == docs.columns and near_copies.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_copies_in_long_lists(spark, monkeypatch, block):
+    """Texts of which most pairs are a little below the bound: each list's nearest pairs leave links between their groups."""
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 300)]
+    rows = []
+    for _ in range(70):
+        copy = list(base)
+        for i in rng.integers(0, len(copy), int(rng.integers(2, 9))):
+            copy[i] = f"e{rng.integers(1 << 30)}"
+        rows.append((len(rows), " ".join(copy)))
+    plain = plain_kept(rows)
+    monkeypatch.setattr(near_copies, "nearest", lambda sketch, least: [])  # as if the nearest pairs had told of no link
+    monkeypatch.setattr(near_copies.last_links, "__defaults__", (8, block))
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(r["doc_id"] for r in got.collect()) == plain and 1 <= sum(plain.values()) < 60
+
+
 def test_near_copies_of_given_texts(spark):
     full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert Counter(r["doc_id"] for r in near_copies.keep_one(full).collect()) == plain_kept(pairs(full))
