@@ -33,6 +33,11 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def same_columns(df: DataFrame) -> list:
+    """All columns of df, by names that may hold dots or backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and lost executors cost no more than a read."""
     return materialize(df, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, license_scan, lm_score, mixing, quality, simhash, suffix_dedup, warc
+from . import bpe, exact_dedup, hard_negatives, language_id, license_scan, lm_score, mixing, quality, resample, sharding, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
+    "op11_importance_resampling": resample.op11_importance_resampling,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op3_quality_rules": quality.ORACLE,
     "op4_warc": warc.ORACLE,
     "op8_lm_score": lm_score.ORACLE,
+    "op11_importance_resampling": resample.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
