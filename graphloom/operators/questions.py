@@ -143,6 +143,6 @@ def answer_by_model(answers: DataFrame, make: Callable[[], CompletionProvider] |
         return answers.withColumn("answer_error", F.lit(None).cast("string"))
     asked = materialize(answers, "asked")
     said = complete(asked.filter(F.col("prompt").isNotNull()).select("id", "prompt"), make, callers=callers).select("id", "response", F.col("error").alias("answer_error"))
-    both = asked.join(materialize(said, "said"), "id", "left")
+    both = asked.join(said, "id", "left")
     good = F.col("answer_error").isNull() & (F.trim("response") != "")
     return both.withColumn("answer", F.when(good, F.trim("response")).otherwise(F.col("answer"))).drop("response")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql.types import StringType
 
 from graphloom.functions.lexicon import RELATIONS
 from graphloom.functions.text import strip
+from graphloom.sources import ledger
+from graphloom.sources.storage import new_folder
 
 from .merge import normalize_relation
 
@@ -87,27 +90,22 @@ def with_retries(call: CompletionProvider, prompt: str, tries: int = 5, sleep: C
     return "", "API error: no try was made"
 
 
-def complete(asked: DataFrame, make: Callable[[], CompletionProvider] | None, pause: float = 0.3, tries: int = 5, callers: int | None = None) -> DataFrame:
+#: Calls a second, over all tasks.
+RATE = 1 / 0.3
+
+
+def complete(asked: DataFrame, make: Callable[[], CompletionProvider] | None, path: str | None = None, *, scope: str = "", rate: float | None = RATE, callers: int = 8, tries: int = 5) -> DataFrame:
     """asked (prompt) with response and error. make() gives a provider for a task; None (no key) answers nothing.
 
-    callers: how many tasks call at once, each with a pause after a call, so at most callers / pause calls are made in a second;
-    without it, each partition is a caller.
+    Each distinct prompt is called once, now, and its answer kept in a ledger (sources.ledger) under path, so that whatever reads the
+    result reads the same answers; without a path the ledger lasts as long as the driver's JVM. callers tasks call at once, rate calls
+    a second among them; None sets no rate. scope names what an answer depends on besides its prompt, such as the model.
     """
     if make is None:
         return asked.limit(0).withColumn("response", F.lit("")).withColumn("error", F.lit(None).cast("string"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = make()
-        for batch in batches:
-            rows = []
-            for prompt in batch["prompt"]:
-                rows.append(with_retries(call, prompt, tries))
-                time.sleep(pause)
-            yield batch.assign(response=[r for r, _ in rows], error=[e for _, e in rows])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
-    asked = asked.repartition(callers) if callers else asked
-    return asked.mapInPandas(run, f"{fields}, response string, error string")
+    if path is None:
+        path = new_folder(asked.sparkSession, "answers")
+    return ledger.ask(asked, make, functools.partial(with_retries, tries=tries), path, scope=scope, rate=rate, callers=callers)
 
 
 def replay(asked: DataFrame, responses: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from graphloom.functions.lexicon import FILERS, Lexicon
 from graphloom.operators import annotate, evaluate, graph, layout, merge, questions, reports, responses, rules
 from graphloom.operators.resolve import filer_table, with_filer
 from graphloom.sources import files
+from graphloom.sources.storage import materialize
 from graphloom.streaming import incremental
 
 
@@ -24,12 +25,13 @@ def extract_by_rules(filings: DataFrame, make: Callable[[], annotate.Annotator]
     return rules.extract(with_filer(annotate.annotate(sents, make), names))
 
 
-def extract_by_model(filings: DataFrame, make: Callable[[], responses.CompletionProvider] | None, cap: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Triples and errors from a model asked about the first `cap` relevant sentences of each file."""
+def extract_by_model(filings: DataFrame, make: Callable[[], responses.CompletionProvider] | None, cap: int = 100, answers: str | None = None, scope: str = "") -> tuple[DataFrame, DataFrame]:
+    """Triples and errors from a model asked about the first `cap` relevant sentences of each file. Both come from the same answers,
+    which the ledger under `answers` keeps for later runs; scope names the model."""
     names = filer_table(filings.sparkSession, {t: n[0] for t, n in FILERS.items()})
     sents = text.sentences(filings).filter(text.fits_model(F.col("sentence")) & text.is_relevant(F.col("sentence")))
     asked = responses.prompts(with_filer(text.first_sentences(sents, cap), names))
-    parsed = responses.parse(responses.complete(asked, make))
+    parsed = responses.parse(responses.complete(asked, make, answers, scope=scope))
     return responses.triples(parsed), responses.errors(parsed)
 
 
@@ -51,28 +53,28 @@ def evaluate_answers(answers: DataFrame, make: Callable[[], responses.Completion
     return evaluate.answer_rows(evaluate.model_judge(good, "text", evaluate.ANSWER_ITEMS, ("unsupported_claims", "direction_errors"), make))
 
 
-def extract_new(spark: SparkSession, folder: str, out: str, make_provider=None, cap: int = 100) -> None:
+def extract_new(spark: SparkSession, folder: str, out: str, make_provider=None, cap: int = 100, scope: str = "") -> None:
     """Extracts from the files that came since the last call and replaces only their rows under out; errors are appended. A file
     without triples is not taken again."""
 
     def work(read: DataFrame, batch: int) -> None:
-        read = read.persist()
+        read = materialize(read, "new-filings")
         files.write_by_file(extract_by_rules(read).drop("ord"), f"{out}/rule_triples")
-        found, errors = extract_by_model(read, make_provider, cap)
+        found, errors = extract_by_model(read, make_provider, cap, f"{out}/answers", scope)
         files.write_by_file(found.drop("ord"), f"{out}/model_triples")
         files.write_errors(errors, f"{out}/errors")
-        read.unpersist()
 
     incremental.process_new(spark, folder, f"{out}/checkpoint", work)
 
 
-def run(spark: SparkSession, folder: str, out: str, *, make_provider=None, make_annotator=annotate.PlainAnnotator, cap: int = 100, lexicon: Lexicon | None = None) -> dict[str, DataFrame]:
-    """All stages; each result is written under out before the next one reads it."""
+def run(spark: SparkSession, folder: str, out: str, *, make_provider=None, make_annotator=annotate.PlainAnnotator, cap: int = 100, lexicon: Lexicon | None = None, scope: str = "") -> dict[str, DataFrame]:
+    """All stages; each result is written under out before the next one reads it. A model's answers stay under out for later runs,
+    which ask only what they lack."""
     lexicon = lexicon or Lexicon()
     read = files.filings(spark, folder)
     ruled = extract_by_rules(read, make_annotator)
     ruled.write.mode("overwrite").parquet(f"{out}/rule_triples")
-    asked, errors = extract_by_model(read, make_provider, cap)
+    asked, errors = extract_by_model(read, make_provider, cap, f"{out}/answers", scope)
     asked.write.mode("overwrite").parquet(f"{out}/model_triples")
     files.write_errors(errors, f"{out}/errors")
     return merged_results(spark, folder, out, lexicon)
@@ -124,10 +126,10 @@ def main() -> None:
     asked = bool(args.model_url and key) and not args.skip_model
     make = (lambda: responses.HttpProvider(args.model_url, key, args.model)) if asked else None
     if args.new_only:
-        extract_new(spark, args.filings, args.out, make, args.max_sentences)
+        extract_new(spark, args.filings, args.out, make, args.max_sentences, args.model)
         found = merged_results(spark, args.filings, args.out)
     else:
-        found = run(spark, args.filings, args.out, make_provider=make, cap=args.max_sentences)
+        found = run(spark, args.filings, args.out, make_provider=make, cap=args.max_sentences, scope=args.model)
     found["relations"].show(truncate=False)
     found["companies"].show(1000, truncate=False)
     if args.question:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; it goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    delete_at_exit(spark, folder)
+    return folder
+
+
+#: The folders of each scratch() that is open here: threads have scopes of their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -36,11 +47,11 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes the intermediate tables that were written within it, but for those that are taken off its list (the latest is the last).
     For what is needed no more once a result is written; it must not be read lazily later."""
     made: list[str] = []
-    _scopes.append(made)
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.reset(token)
         for folder in made:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -48,8 +59,8 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
 
 def delete_at_exit(spark: SparkSession, folder: str) -> None:
     """Has the file system delete an existing folder when the driver's JVM ends, if not before."""
-    if _scopes:
-        _scopes[-1].append(folder)
+    if scopes := _scopes.get():
+        scopes[-1].append(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 

@@ -1,5 +1,7 @@
 import json
 import random
+import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from graphloom.functions import lexicon, schemas, text
 from graphloom.functions.lexicon import Lexicon
 from graphloom.operators import annotate, evaluate, graph, layout, merge, questions, reports, resolve, responses, rules
 from graphloom.plans import drivers, pipeline
-from graphloom.sources import files
+from graphloom.sources import files, ledger
 from graphloom.streaming import incremental
 
 LEX = Lexicon(canonical={"acme corp": "Acme", "acme": "Acme", "bolt": "Bolt", "ghost notes": None}, filers={"AC": "Acme"}, anchors=("Acme", "Bolt"))
@@ -193,6 +195,90 @@ def test_providers(spark):
     assert responses.triples(responses.parse(responses.replay(asked, known))).count() == 1
 
 
+def counting(log, reply=GOOD):
+    """A provider that notes each call in a file."""
+
+    def call(prompt):
+        with open(log, "a") as f:
+            f.write(prompt.replace("\n", " ") + "\n")
+        if "bad" in prompt:
+            raise RuntimeError("down")
+        return reply
+
+    return lambda: call
+
+
+def test_each_prompt_is_called_once(spark, tmp_path):
+    log, path = str(tmp_path / "log"), str(tmp_path / "ledger")
+    rows = [(i, f"prompt {i % 9}") for i in range(40)] + [(99, None), (100, "bad")]
+    asked = spark.createDataFrame(rows, "id int, prompt string").repartition(5)
+
+    def run():
+        got = responses.complete(asked, counting(log), path, rate=None, callers=3).collect()
+        assert len(got) == 42 and all((r["response"], r["error"]) == (GOOD, None) for r in got if r["id"] < 40)
+        assert {r["id"]: (r["response"], r["error"]) for r in got if r["id"] >= 40} == {99: (None, None), 100: ("", "API error: down")}
+        with open(log) as f:
+            return Counter(line.strip() for line in f)
+
+    assert run() == {f"prompt {k}": 1 for k in range(9)} | {"bad": 1}
+    assert run() == {f"prompt {k}": 1 for k in range(9)} | {"bad": 2}  # errors are asked again
+    assert ledger.calls(spark, path).count() == 11 and ledger.answers(spark, path).count() == 10
+    assert not list((tmp_path / "ledger" / "ahead").glob("*.json"))
+    # Another scope is another answer; what a broken run left is used, but for the line that it didn't end.
+    keys = spark.range(1).select(ledger.key_of(F.lit("prompt 0"), "m").alias("a"), ledger.key_of(F.lit("prompt 1"), "m").alias("b")).first()
+    (tmp_path / "ledger" / "ahead" / "old.json").write_text(json.dumps({"key": keys["a"], "response": GOOD, "error": None, "end": 1}) + "\n" + '{"key": "' + keys["b"] + '", "response": "half')
+    responses.complete(asked.filter("id < 40"), counting(log), path, scope="m", rate=None, callers=3).count()
+    with open(log) as f:
+        assert Counter(line.strip() for line in f) == {"prompt 0": 1, "bad": 2} | {f"prompt {k}": 2 for k in range(1, 9)}
+
+
+def test_attempts_skip_what_earlier_ones_wrote(tmp_path):
+    (tmp_path / "ahead").mkdir()
+    one = ledger._Ahead(f"file://{tmp_path}/ahead", "run-3-", 2)
+    for k in "abc":
+        one.write(k, "r", None)
+    (tmp_path / "ahead" / "run-3-torn.json").write_text('{"key": "d", "respo')
+    (tmp_path / "ahead" / "run-31-x.json").write_text(json.dumps({"key": "e"}) + "\n")
+    assert ledger._Ahead(f"file://{tmp_path}/ahead", "run-3-", 2).done() == {"a", "b", "c"}
+    one.close()
+
+
+@pytest.mark.parametrize("callers", [1, 64])
+def test_one_rate_for_all_tasks(callers):
+    """Tasks with clocks of their own, some of them late: in no stretch of ten seconds are there more than 10 * rate calls and one
+    more for each task."""
+    rate, made = 4.0, []
+    for mine in range(callers):
+        now = [1000.0 + (30 if mine % 5 == 1 else 0)]  # every fifth starts late
+
+        def sleep(seconds, now=now):
+            now[0] += seconds
+
+        pace = ledger.Pace(rate, callers, mine, 1000.0, lambda now=now: now[0], sleep)
+        for _ in range(640 // callers):
+            pace.wait()
+            made.append(now[0])
+            now[0] += 0.1
+    made.sort()
+    assert max(sum(1 for t in made[i:] if t < s + 10) for i, s in enumerate(made)) <= 10 * rate + callers
+    assert len(made) / (made[-1] - made[0]) <= rate + 0.5
+
+
+def test_a_pipeline_pays_once(spark, tmp_path):
+    log, folder, out = str(tmp_path / "log"), tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for name in ("AMD_2023.txt", "MU_2023.txt"):
+        (folder / name).write_text(f"In most years Acme Works is a customer of Bolt Labs and of others. {name} says that it is a customer of wafers and more of it.", "utf-8")
+    pipeline.run(spark, str(folder), out, make_provider=counting(log))
+    pipeline.run(spark, str(folder), out, make_provider=counting(log))
+    pipeline.extract_new(spark, str(folder), out, counting(log))
+    shutil.rmtree(f"{out}/checkpoint")  # the stream begins anew and takes the same files again
+    pipeline.extract_new(spark, str(folder), out, counting(log))
+    with open(log) as f:
+        lines = f.read().splitlines()
+    assert len(lines) == len(set(lines)) == 4
+
+
 def token(i, text_, lemma, pos, dep, head, idx):
     return {"i": i, "idx": idx, "text": text_, "lemma": lemma, "pos": pos, "dep": dep, "head": head}
 
