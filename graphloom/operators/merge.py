@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexicon import Lexicon
-from graphloom.sources.storage import materialize
+from graphloom.functions.text import ticker
 
-from .resolve import canon_table, filer_table, is_anchor, looks_like_company, resolve, with_filer
+from . import ranges
+from .ranges import ranged, running
+from .resolve import Names, filer_table, flagged
 
 KEY = ("head", "relation", "tail")
 
@@ -29,43 +31,54 @@ def union_extractors(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def reject_reason(head: Column, tail: Column, relation: Column, lexicon: Lexicon) -> Column:
-    """The first reason against a triple of resolved names; null if there is none."""
-    h, t = is_anchor(head, lexicon), is_anchor(tail, lexicon)
+def reject_reason(lexicon: Lexicon) -> Column:
+    """The first reason against a triple of resolved names, from head, tail, relation and the flags of both names; null if there is none."""
+    head, tail, relation = F.col("head"), F.col("tail"), F.col("relation")
+    h, t = F.col("__head_anchor"), F.col("__tail_anchor")
     return (
         F.when(head.isNull() | tail.isNull() | (head == "") | (tail == ""), "no_entity")
         .when(head == tail, "self_loop")
         .when(~F.coalesce(relation.isin(*lexicon.relations), F.lit(False)), "bad_rel")
         .when(~h & ~t, "no_anchor")
-        .when((~h & ~looks_like_company(head, lexicon)) | (~t & ~looks_like_company(tail, lexicon)), "bad_entity")
+        .when((~h & ~F.col("__head_valid")) | (~t & ~F.col("__tail_valid")), "bad_entity")
     )
 
 
 def judge(triples: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """triples with head and tail resolved (raw_head and raw_tail keep the old ones), confidence 0.5 where null, and reason."""
+    """triples with head and tail resolved (raw_head and raw_tail keep the old ones), filer, confidence 0.5 where null, and reason.
+    Each distinct name is resolved once; triples only look it up."""
     spark = triples.sparkSession
-    canon = canon_table(spark, lexicon)
     raw = triples.withColumnRenamed("head", "raw_head").withColumnRenamed("tail", "raw_tail")
-    found = with_filer(raw, filer_table(spark, lexicon.filers), "")
-    found = resolve(resolve(found, "raw_head", canon, lexicon, "head"), "raw_tail", canon, lexicon, "tail")
-    return found.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).withColumn("reason", reject_reason(F.col("head"), F.col("tail"), F.col("relation"), lexicon))
+    names = Names(raw.select(F.explode(F.array("raw_head", "raw_tail")).alias("name")), lexicon)
+    filers = flagged(filer_table(spark, lexicon.filers), "filer", lexicon).select("ticker", "filer", F.struct("anchor", "valid").alias("__filer"))
+    found = raw.withColumn("ticker", ticker(F.col("source_file"))).join(F.broadcast(filers), "ticker", "left").drop("ticker")
+    found = found.withColumn("filer", F.coalesce("filer", F.lit("")))
+    for side in ("head", "tail"):
+        found = names.attach(found, f"raw_{side}", "__is")
+        own = F.col("__is.pronoun") & (F.col("filer") != "")
+        flags = {f"__{side}_{flag}": F.coalesce(F.when(F.col("__is.pronoun"), F.col("__filer")[flag]).otherwise(F.col("__is")[flag]), F.lit(False)) for flag in ("anchor", "valid")}
+        found = found.withColumns({side: F.when(own, F.col("filer")).otherwise(F.col("__is.entity")), **flags}).drop("__is")
+    judged = found.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).withColumn("reason", reject_reason(lexicon))
+    return judged.drop("__filer", "__head_anchor", "__head_valid", "__tail_anchor", "__tail_valid")
 
 
 def keep_best(judged: DataFrame, order: tuple[str, ...] = ("extractor_ord", "ord")) -> DataFrame:
     """One row of each (head, relation, tail) without a reason against it: the highest confidence, the first of equals. first_ord
-    holds the key's first place."""
+    holds the key's first place. Tasks keep the best of what they read before it is shuffled, so a triple with very many rows is no
+    hot key."""
     good = judged.filter(F.col("reason").isNull())
-    by = Window.partitionBy(*KEY)
-    ranked = good.withColumn("first_ord", F.min(F.struct(*order)).over(by)).withColumn("__rank", F.row_number().over(by.orderBy(F.col("confidence").desc(), *order)))
-    return ranked.filter("__rank = 1").drop("__rank")
+    rest = [c for c in good.columns if c not in KEY]
+    best = F.min_by(F.struct(*rest), F.struct(-F.col("confidence"), *order))
+    kept = good.groupBy(*KEY).agg(best.alias("__best"), F.min(F.struct(*order)).alias("first_ord"))
+    return kept.select(*[F.col(c) if c in KEY else F.col("__best")[c].alias(c) for c in good.columns], "first_ord")
 
 
 def kept_counts(judged: DataFrame, order: tuple[str, ...] = ("extractor_ord", "ord")) -> DataFrame:
     """By extractor, how many rows were new or better than all before them with the same key."""
-    before = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max("confidence").over(before)
-    good = judged.filter(F.col("reason").isNull()).withColumn("__best", best)
-    return good.groupBy("extractor").agg(F.count_if(F.col("__best").isNull() | (F.col("confidence") > F.col("__best"))).alias("kept"))
+    good = judged.filter(F.col("reason").isNull()).select(*KEY, *order, *[c for c in ("extractor", "confidence") if c not in order])
+    at = [F.col(c) for c in order]
+    seen = running(ranged(good, [*map(F.col, KEY), *at], "kept"), list(KEY), at, "confidence", "max", "__best")
+    return seen.groupBy("extractor").agg(F.count_if(F.col("__best").isNull() | (F.col("confidence") > F.col("__best"))).alias("kept"))
 
 
 def reject_counts(judged: DataFrame) -> DataFrame:
@@ -81,21 +94,8 @@ def sorted_triples(merged: DataFrame) -> DataFrame:
 
 
 def placed(merged: DataFrame, name: str = "place", order: list | None = None) -> DataFrame:
-    """merged with its place in order, from 1: ranges of the order are written, numbered each by itself and then one after another,
-    so that no task sees more than a range. Rows must differ in the order's columns."""
-    order = order or _order()
-    spark = merged.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = materialize(merged, "unplaced")  # ranges are found by a sample of it first
-    parts = materialize(merged.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    sizes = {r["__range"]: r["count"] for r in parts.groupBy("__range").count().collect()}  # a row for each range
-    before, total = [], 0
-    for k in sorted(sizes):
-        before.append((k, total))
-        total += sizes[k]
-    starts = spark.createDataFrame(before, "__range int, __before long")
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return parts.withColumn("__rank", rank).join(F.broadcast(starts), "__range").withColumn(name, (F.col("__before") + F.col("__rank")).cast("int")).drop("__range", "__rank", "__before")
+    """merged with its place in order, from 1."""
+    return ranges.placed(merged, order or _order(), name)
 
 
 def merge(parts: list[tuple[str, DataFrame]], lexicon: Lexicon | None = None) -> DataFrame:

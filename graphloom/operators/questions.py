@@ -11,6 +11,7 @@ from graphloom.sources.storage import materialize
 
 from .graph import cascade_paths, first_paths, nodes, path_evidence, path_text
 from .responses import CompletionProvider, complete
+from .spans import occurrences
 
 # Phrases that name what is disrupted, in order; the sizes of a retrieval.
 PHRASES = ("disruption in ", "disruption at ", "disruption of ", "disruption to ")
@@ -30,16 +31,11 @@ nothing, and stay under 250 words of plain language."""
 def mentions(questions: DataFrame, node_table: DataFrame) -> DataFrame:
     """(id, name, node_ord, pos) of each node whose name a question holds, as a plain part of its text.
 
-    Names are looked up by their first characters, as many as the shortest name has but at most eight, at every place of a
-    question, so questions and nodes meet by an equi-join; the rest is compared.
+    Names are looked up at every place of a question by length and hash, so questions and nodes meet by an equi-join in which
+    short names and common beginnings are no common key.
     """
-    shortest = node_table.filter(F.length("name") > 0).agg(F.min(F.length("name")).alias("k")).first()["k"] or 1
-    head = min(8, shortest)
-    q = questions.select("id", F.lower("question").alias("q"))
-    keyed = q.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))))).select("id", "q", "at", F.substring("q", F.col("at"), F.lit(head)).alias("key"))
-    n = node_table.filter(F.length("name") > 0).select("name", "node_ord", F.lower("name").alias("low")).withColumn("key", F.substring("low", 1, head))
-    found = keyed.join(n, "key").filter(F.substring("q", F.col("at"), F.length("low")) == F.col("low"))
-    return found.groupBy("id", "name", "node_ord").agg(F.min("at").alias("pos"))
+    asked = questions.select("id", F.lower("question").alias("q"))
+    return occurrences(asked, "q", ["id"], node_table.select("name", "node_ord", F.lower("name").alias("low")), "low").drop("low")
 
 
 def _after_phrases(questions: DataFrame) -> DataFrame:

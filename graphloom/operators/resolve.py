@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import lexicon as fixed
 from graphloom.functions.lexicon import Lexicon
 from graphloom.functions.text import strip, ticker
+from graphloom.sources.storage import BROADCAST_ROWS, materialize
 
 
 def plain_apostrophes(c: Column) -> Column:
@@ -62,17 +63,6 @@ def is_junk(c: Column, lexicon: Lexicon) -> Column:
     return c.rlike(f"(?iu)^{lexicon.junk}")
 
 
-def resolve(df: DataFrame, name: str, canon: DataFrame, lexicon: Lexicon, out: str) -> DataFrame:
-    """df (with filer) and the entity that column `name` stands for as `out`: null for empty names, words for a filing company
-    that isn't known, blacklisted names, noise and junk."""
-    plain = df.withColumn("__name", plain_apostrophes(strip(F.col(name))))
-    found = canonicalize(plain, "__name", canon, "__canon")
-    c = F.col("__canon")
-    filer = F.when(F.col("filer") != "", F.col("filer"))
-    value = F.when(F.col("__name") == "", None).when(is_pronoun(F.col("__name")), filer).when(~is_noise(c, lexicon) & ~is_junk(c, lexicon), c)
-    return found.withColumn(out, value).drop("__name", "__canon")
-
-
 def is_anchor(c: Column, lexicon: Lexicon) -> Column:
     return c.isin(*lexicon.anchors)
 
@@ -92,3 +82,50 @@ def looks_like_company(c: Column, lexicon: Lexicon) -> Column:
         F.size(F.split(strip(c), r"(?U)\s+")) > 6,
     ]
     return ~reduce(Column.__or__, bad)
+
+
+def flagged(df: DataFrame, name: str, lexicon: Lexicon) -> DataFrame:
+    """df with anchor and valid of the names in a column. What the column is made of is not inlined into the conditions."""
+    held = df.select(*[c for c in df.columns if c != name], F.inline(F.array(F.struct(F.col(name)))))
+    c = F.col(name)
+    return held.withColumns({"anchor": F.coalesce(is_anchor(c, lexicon), F.lit(False)), "valid": F.coalesce(looks_like_company(c, lexicon), F.lit(False))})
+
+
+class Names:
+    """What distinct names stand for, resolved once: name, pronoun, entity (null for empty names, pronouns, blacklisted names, noise
+    and junk), anchor and valid of the entity. A name that a large part of all rows has is joined back by a broadcast, as there can be
+    few such names; a table small enough is broadcast whole."""
+
+    def __init__(self, names: DataFrame, lexicon: Lexicon, small: int = BROADCAST_ROWS, share: float = 0.001):
+        """names: a column `name` with repeats."""
+        spark = names.sparkSession
+        counted = names.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n"))
+        found = canonicalize(counted.withColumn("__name", plain_apostrophes(strip(F.col("name")))), "__name", canon_table(spark, lexicon), "__canon")
+        held = found.select("name", "n", F.inline(F.array(F.struct("__name", "__canon"))))
+        plain, c = F.col("__name"), F.col("__canon")
+        pronoun = (plain != "") & is_pronoun(plain)
+        entity = F.when((plain != "") & ~pronoun & ~is_noise(c, lexicon) & ~is_junk(c, lexicon), c)
+        self.rows = materialize(flagged(held.select("name", "n", pronoun.alias("pronoun"), entity.alias("entity")), "entity", lexicon), "names")
+        size = self.rows.agg(F.count("*").alias("rows"), F.sum("n").alias("all")).first()
+        self.small, self.hot = size["rows"] <= small, max(1, int((size["all"] or 0) * share))
+
+    def attach(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        """df with a struct `out` of what column's name stands for; null where the name is null."""
+        kept = self.rows.select(F.col("name").alias("__name"), "n", F.struct("pronoun", "entity", "anchor", "valid").alias("__found"))
+        if self.small:
+            return df.join(F.broadcast(kept.drop("n")), F.col(column) == F.col("__name"), "left").withColumnRenamed("__found", out).drop("__name")
+        # At most 1 / share names can have more rows than that share.
+        often = F.broadcast(kept.filter(F.col("n") > self.hot).select(F.col("__name").alias("__often"), F.col("__found").alias("__fast")))
+        first = df.join(often, F.col(column) == F.col("__often"), "left")
+        # Rows that are done, or have no name, get keys of their own: they match nothing and lie anywhere.
+        alone = F.concat(F.lit("\0"), F.monotonically_increasing_id())
+        keyed = first.withColumn("__key", F.when(F.col("__often").isNull() & F.col(column).isNotNull(), F.col(column)).otherwise(alone))
+        both = keyed.join(kept.filter(F.col("n") <= self.hot).drop("n"), F.col("__key") == F.col("__name"), "left")
+        return both.withColumn(out, F.coalesce("__fast", "__found")).drop("__often", "__fast", "__key", "__name", "__found")
+
+
+def resolve(df: DataFrame, name: str, lexicon: Lexicon, out: str) -> DataFrame:
+    """df (with filer) and the entity that column `name` stands for as `out`: null for empty names, words for a filing company
+    that isn't known, blacklisted names, noise and junk."""
+    found = Names(df.select(F.col(name).alias("name")), lexicon).attach(df, name, "__is")
+    return found.withColumn(out, F.when(F.col("__is.pronoun"), F.when(F.col("filer") != "", F.col("filer"))).otherwise(F.col("__is.entity"))).drop("__is")

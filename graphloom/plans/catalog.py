@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import lexicon as fixed
 from graphloom.functions import text
-from graphloom.operators import annotate, asof, evaluate, graph, layout, merge, questions, reports, resolve, responses, rules
+from graphloom.operators import annotate, asof, evaluate, graph, layout, merge, questions, reports, resolve, responses, rules, spans
 from graphloom.operators.resolve import canon_table, filer_table
-from graphloom.sources.storage import materialize
+from graphloom.sources import ledger
+from graphloom.sources.storage import materialize, new_folder
 from graphloom.streaming import incremental
 
 from . import drivers
@@ -106,9 +107,17 @@ def q_nearest_after(spark, sf_dir):
 @query("SELECT s.s_suppkey, n.n_name AS inside FROM supplier s JOIN nation n ON s.s_suppkey % 250 >= n.n_nationkey * 10 AND s.s_suppkey % 250 < n.n_nationkey * 10 + 10")
 def q_span_contains(spark, sf_dir):
     """Tokens at s_suppkey % 250 in spans of ten positions, one for each nation."""
-    spans = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.collect_list(F.struct(F.col("n_name").alias("text"), (F.col("n_nationkey") * 10).alias("start"), (F.col("n_nationkey") * 10 + 10).alias("end"), F.lit("ORG").alias("label"))).alias("ents"), F.lit(1).alias("one"))
-    tokens = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.struct((F.col("s_suppkey") % 250).alias("idx"), F.lit("x").alias("text")).alias("token"), F.lit(1).alias("one"))
-    return tokens.join(spans, "one").select("s_suppkey", rules.token_entity(F.col("token"), F.col("ents"), F.lit(None).cast("string")).alias("inside"))
+    spans_ = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("inside"), (F.col("n_nationkey") * 10).alias("start"), (F.col("n_nationkey") * 10 + 10).alias("end"))
+    tokens = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 250).alias("idx"))
+    return spans.containing(tokens, spans_, key=["s_suppkey"], by=[], at="idx", start="start", end="end", order=["start"], take=["inside"]).select("s_suppkey", "inside")
+
+
+@query(f"WITH {with_views('rule_tokens', 'rule_ents')} SELECT t.sent, t.i, (SELECT e.text FROM rule_ents e WHERE e.sent = t.sent AND e.s <= t.idx AND t.idx < e.e ORDER BY e.k LIMIT 1) AS inside, (SELECT e.k FROM rule_ents e WHERE e.sent = t.sent AND e.s <= t.idx AND t.idx < e.e ORDER BY e.k LIMIT 1) AS k FROM rule_tokens t")
+def q_span_join(spark, sf_dir):
+    """For each token of each sentence the first entity around it, as rows that meet by sentence and bin."""
+    ents = view(spark, sf_dir, "rule_ents").withColumnRenamed("text", "inside")
+    found = spans.containing(view(spark, sf_dir, "rule_tokens").select("sent", "i", "idx"), ents, key=["sent", "i"], by=["sent"], at="idx", start="s", end="e", order=["k"], take=["inside", "k"])
+    return found.select("sent", "i", "inside", "k")
 
 
 _TRIGGERS = ", ".join(f"('{w}', '{k}', '{t[0]}', {c})" for t in fixed.TRIGGERS for k, ws, c in (("verb", t[1], t[3]), ("noun", t[2], t[4])) for w in ws)
@@ -127,9 +136,11 @@ def q_trigger_lookup(spark, sf_dir):
 
 @query("SELECT n.n_name, EXISTS (SELECT 1 FROM region r WHERE contains(lower(n.n_name), lower(left(r.r_name, 2))) OR contains(lower(left(r.r_name, 2)), lower(n.n_name))) AS entity FROM nation n")
 def q_entity_fuzzy(spark, sf_dir):
-    ents = spark.read.parquet(f"{sf_dir}/region.parquet").agg(F.collect_list(F.struct(F.substring("r_name", 1, 2).alias("text"))).alias("ents"), F.lit(1).alias("one"))
-    names = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("one", F.lit(1))
-    return names.join(ents, "one").select("n_name", rules.is_entity(F.col("n_name"), F.col("ents"), F.lit(None).cast("string")).alias("entity"))
+    ents = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.lower(F.substring("r_name", 1, 2)).alias("part")).distinct()
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", F.lower("n_name").alias("low"))
+    holds = spans.occurrences(names, "low", ["n_name"], ents, "part").select("n_name")
+    within = spans.occurrences(ents, "part", ["part"], names, "low").select("n_name")
+    return names.join(holds.union(within).distinct().withColumn("entity", F.lit(True)), "n_name", "left").select("n_name", F.coalesce("entity", F.lit(False)).alias("entity"))
 
 
 def _listed(words) -> str:
@@ -262,6 +273,22 @@ def q_llm_triples(spark, sf_dir):
     return responses.triples(_parsed(spark, sf_dir)).groupBy("source_file", "head", "tail", "relation", "confidence").agg(F.count("*").alias("n"))
 
 
+def _repeat(prompt: str) -> str:
+    return prompt.removeprefix("Repeat: ")
+
+
+@query(f"{_RESPONSES} SELECT md5(response) AS digest, 1::BIGINT AS calls, count(*) AS n, count(*) FILTER (WHERE json_valid(body)) AS good FROM cleaned GROUP BY response")
+def q_llm_once(spark, sf_dir):
+    """Answers through the ledger: half of the rows first, then all, from a model that repeats; calls is how often a prompt was paid for."""
+    asked = view(spark, sf_dir, "responses").select("sent_pos", "source_file", "sentence", F.concat(F.lit("Repeat: "), "response").alias("prompt"))
+    path = new_folder(spark, "answers")
+    responses.complete(asked.filter("sent_pos % 2 = 0"), lambda: _repeat, path, rate=None)
+    parsed = responses.parse(responses.complete(asked, lambda: _repeat, path, rate=None))
+    counted = parsed.groupBy("prompt").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("good")).withColumn("key", ledger.key_of(F.col("prompt"), ""))
+    calls = ledger.calls(spark, path).groupBy("key").agg(F.count("*").alias("calls"))
+    return counted.join(calls, "key", "left").select(F.md5(F.substring("prompt", 9, 1 << 30)).alias("digest"), "calls", "n", "good")
+
+
 @query(rf"{_SENTENCES} SELECT source_file, sent_pos, sha256('Filing company: Unknown Company' || chr(10) || 'Sentence: ' || sentence || chr(10)) AS prompt_hash FROM sentences WHERE {_RELEVANT}")
 def q_prompts(spark, sf_dir):
     sents = text.sentences(filings(spark, sf_dir)).filter(text.is_relevant(F.col("sentence")))
@@ -357,7 +384,7 @@ def q_merge_kept_running(spark, sf_dir):
 
 @query(f"{_JUDGED} SELECT row_number() OVER (ORDER BY confidence DESC, head, relation, first_ord)::INT AS place, head, relation, tail FROM merged WHERE k = 1")
 def q_merge_sorted(spark, sf_dir):
-    return merge.placed(merge.keep_best(judged(spark, sf_dir))).select("place", "head", "relation", "tail")
+    return merge.placed(merge.keep_best(judged(spark, sf_dir))).select(F.col("place").cast("int").alias("place"), "head", "relation", "tail")
 
 
 @query(f"{_JUDGED} SELECT relation, count(*) AS n, repeat('█', count(*)) AS bar FROM merged WHERE k = 1 GROUP BY relation")

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: list[str] = []
@@ -72,3 +73,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of some tens of bytes that a join may send to all executors.
+BROADCAST_ROWS = 200_000
+
+
+def sized(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows written and counted: marked for broadcast if there are at most `most` of them, else left to a shuffled join."""
+    made = materialize(rows, name)
+    return F.broadcast(made) if made.count() <= most else made

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import lexicon, schemas, text
 from graphloom.functions.lexicon import Lexicon
-from graphloom.operators import annotate, evaluate, graph, layout, merge, questions, reports, resolve, responses, rules
+from graphloom.operators import annotate, asof, evaluate, graph, layout, merge, questions, ranges, reports, resolve, responses, rules, spans
 from graphloom.plans import drivers, pipeline
 from graphloom.sources import files, ledger
 from graphloom.streaming import incremental
@@ -58,8 +58,7 @@ def test_names(spark):
     good = {r["n"] for r in names.filter(resolve.looks_like_company(F.col("n"), Lexicon())).collect()}
     assert good == {"Fine Name Ltd"}
     made = spark.createDataFrame([("Intel’s", ""), ("tsmc,", ""), ("we", "Micron"), ("we", ""), ("China", ""), ("ir.x.com", ""), ("  ", ""), ("New Co.", "")], "n string, filer string")
-    canon = resolve.canon_table(spark, Lexicon())
-    found = resolve.resolve(made, "n", canon, Lexicon(), "out").select("n", "filer", "out").collect()
+    found = resolve.resolve(made, "n", Lexicon(), "out").select("n", "filer", "out").collect()
     assert {(r["n"], r["filer"]): r["out"] for r in found} == {("Intel’s", ""): "Intel", ("tsmc,", ""): "TSMC", ("we", "Micron"): "Micron", ("we", ""): None, ("China", ""): None, ("ir.x.com", ""): None, ("  ", ""): None, ("New Co.", ""): "New Co."}
 
 
@@ -320,6 +319,84 @@ def test_nearest(spark):
         assert made.select(rules.nearest_before(F.col("ents"), F.lit(50)).alias("b"), rules.nearest_after(F.col("ents"), F.lit(50)).alias("a")).first() == (before, after)
 
 
+@pytest.mark.parametrize("after", [False, True])
+def test_nearest_of_a_hot_key(spark, after):
+    """One user has half of all rows: they lie in several ranges, and the nearest rows come over their edges."""
+    rng = random.Random(5)
+    users = ["hot"] * 600 + [f"u{i % 40}" for i in range(560)] + [None] * 40
+    left = [(u, rng.randint(0, 900), i) for i, u in enumerate(users) if rng.random() < 0.5]
+    right = [(u, rng.randint(0, 900), i) for i, u in enumerate(users) if rng.random() < 0.1]
+    frames = [spark.createDataFrame(rows, f"u string, t int, {n} int") for rows, n in ((left, "i"), (right, "j"))]
+    want = []
+    for u, t, i in left:
+        near = [(s, j) for v, s, j in right if v == u and u is not None and (s >= t if after else s <= t)]
+        best = (min if after else max)(near, default=None)
+        want.append((i, best[1] if best else None))
+    got = asof.nearest(*frames, "u", "t", ["j"], after=after)
+    assert sorted((r["i"], r["near_j"]) for r in got.collect()) == sorted(want)
+    parts = ranges.ranged(frames[0], [F.col("u"), F.col("t")], "parts")
+    assert parts.filter("u = 'hot'").select("__range").distinct().count() > 1
+
+
+def test_running_values_over_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("aaab"), i, rng.choice([None, 0.1, 0.5, 0.9])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, x double").repartition(3)
+    for how in ("max", "last"):
+        got = {r["i"]: r["o"] for r in ranges.running(ranges.ranged(df, [F.col("k"), F.col("i")], "r"), ["k"], [F.col("i")], "x", how, "o").collect()}
+        for k, i, _ in rows:
+            before = [x for key, j, x in rows if key == k and j < i and x is not None]
+            assert got[i] == ((max(before) if how == "max" else before[-1]) if before else None)
+
+
+def test_points_in_spans(spark):
+    rng = random.Random(7)
+    tokens = [(s, i, rng.randint(-40, 2000)) for s in range(6) for i in range(60)]
+    ents = [(s, k, a, a + rng.choice([-3, 0, 1, 2, 3, 4, 5, 31, 32, 33, 700, 5000])) for s in range(5) for k in range(25) for a in [rng.randint(-50, 1500)]]
+    frames = spark.createDataFrame(tokens, "sent int, i int, idx int"), spark.createDataFrame(ents, "sent int, k int, s int, e int")
+    got = spans.containing(*frames, key=["sent", "i"], by=["sent"], at="idx", start="s", end="e", order=["k"], take=["k"])
+    want = {(s, i): min((k for t, k, a, b in ents if t == s and a <= x < b), default=None) for s, i, x in tokens}
+    assert {(r["sent"], r["i"]): r["k"] for r in got.collect()} == want and got.count() == len(tokens)
+    none = spans.containing(frames[0], frames[1].limit(0), key=["sent", "i"], by=["sent"], at="idx", start="s", end="e", order=["k"], take=["k"])
+    assert {r["k"] for r in none.collect()} == {None}
+
+
+def test_names_of_all_lengths(spark):
+    """Names of 2 to 60 letters, many with one beginning, in texts that name one of them very often."""
+    rng = random.Random(8)
+    names = ["ab", "the", "the b", "b" * 60, "x y", ""] + ["the " + "".join(rng.choice("abc ") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    texts = [(i, " ".join(rng.choice(names) for _ in range(rng.randint(0, 6))) + "the" * (i % 3)) for i in range(80)] + [(99, None), (98, "")]
+    frames = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(n, k) for k, n in enumerate(sorted(set(names)))], "name string, k int")
+    got = spans.occurrences(frames[0], "t", ["id"], frames[1], "name")
+    want = {(i, n): t.index(n) + 1 for i, t in texts if t for n in set(names) if n and n in t}
+    assert {(r["id"], r["name"]): r["pos"] for r in got.collect()} == want and got.columns == ["id", "name", "k", "pos"]
+
+
+def test_hot_names_are_joined_by_broadcast(spark):
+    rows = [("we", "AC")] * 400 + [("Acme Corp.", "AC")] * 300 + [(None, "AC"), ("", "AC"), ("Ghost Notes", "AC"), ("we", "NO")] + [(f"Name {i} Ltd", "AC") for i in range(30)]
+    made = spark.createDataFrame([(n, t, i) for i, (n, t) in enumerate(rows)], "n string, filer string, i int").repartition(4)
+    small = resolve.Names(made.select(F.col("n").alias("name")), LEX)
+    large = resolve.Names(made.select(F.col("n").alias("name")), LEX, small=0, share=0.05)
+    assert small.small and not large.small and large.rows.filter(F.col("n") > large.hot).count() == 2
+    one, two = ({r["i"]: r["x"] for r in names.attach(made, "n", "x").collect()} for names in (small, large))
+    assert one == two and len(one) == len(rows)
+    assert {one[i]["entity"] for i in range(400, 700)} == {"Acme"} and one[0]["pronoun"] and one[700] is None and one[701]["entity"] is None
+
+
+def test_best_of_a_hot_triple(spark):
+    rng = random.Random(9)
+    rows = [("A", "supplier_of", "B" if rng.random() < 0.7 else f"C{rng.randint(0, 5)}", rng.choice([0.4, 0.5, 0.9]), "x", 0, i, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "head string, relation string, tail string, confidence double, extractor string, extractor_ord int, ord int, reason string").repartition(6)
+    best, first, kept = {}, {}, 0
+    for _, _, t, c, _, _, i, _ in rows:
+        first.setdefault(t, i)
+        if t not in best or c > best[t][0]:
+            best[t], kept = (c, i), kept + 1
+    got = merge.keep_best(df).collect()
+    assert {r["tail"]: (r["confidence"], r["ord"], r["first_ord"]["ord"]) for r in got} == {t: (*best[t], first[t]) for t in best}
+    assert merge.kept_counts(df).first()["kept"] == kept
+
+
 def test_plain_annotator(spark):
     sents = spark.createDataFrame([("INTC_2023.txt", 0, "In 2023 Acme Works supplies wafers to Bolt Labs every week")], schemas.SENTENCES)
     found = rules.extract(annotate.annotate(sents).withColumn("filer", F.lit("Intel")))
