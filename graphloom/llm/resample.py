@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.merge import placed
+from graphloom.operators.ranges import placed
 
 from .common import ROUND_BYTES, rounds, same_columns, sized, table, unused, utf8
 
@@ -189,8 +189,8 @@ def importance(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", te
     scored = table(weighed.withColumn("score", (F.col("weight") + noise).cast("long")), "op11-scores")
     draws = share * scored.filter(F.col("n_words") >= least_words).count() // 100
     order = [F.col("n_words") < least_words, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row_id")]
-    place = F.col("place").cast("long")
-    return placed(scored, order=order).select("row_id", "doc_id", "n_words", "n_features", "weight", "score", F.when(place <= draws, place).alias("rank"))
+    place = F.col("place")
+    return placed(scored, order).select("row_id", "doc_id", "n_words", "n_features", "weight", "score", F.when(place <= draws, place).alias("rank"))
 
 
 def resampled(docs: DataFrame, target: DataFrame, *, share: int = 25, least_words: int = 20, seed: int = 7) -> DataFrame:
