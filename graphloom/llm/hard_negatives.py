@@ -22,8 +22,12 @@ from .common import grown, table
 
 #: Components ahead of each check of the bound, as shares of all.
 STEPS = (1 / 8, 1 / 4, 1 / 2)
+#: A block whose pairs are down to one in so many goes on pair by pair, else as a whole.
+FEW = 32
 #: Components below this give products of up to 2**14 components that 64 bits hold.
 _LIMIT = 1 << 24
+#: No score is as large.
+WIDE = (1 << 62) - 1
 
 
 def integer_rows(rows: DataFrame, *, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -75,6 +79,14 @@ def rotation(rows: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh((moments + moments.T) / 2)[1][:, ::-1].copy()
 
 
+def products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    """The inner products of rows i of x and j of y, `most` at a time."""
+    out = np.empty(len(i), np.result_type(x, y))
+    for a in range(0, len(i), most):
+        out[a : a + most] = np.einsum("ij,ij->i", x[i[a : a + most]], y[j[a : a + most]])
+    return out
+
+
 class Pruner:
     """Products of anchors and rows, but only of pairs that may matter."""
 
@@ -82,13 +94,13 @@ class Pruner:
         self.anchors, self.rows = anchors, rows
         self.a, self.b = anchors @ axes, rows @ axes
         width = axes.shape[0]
-        self.cuts = sorted({max(1, round(width * s)) for s in STEPS} - {width}) if width > 1 else []
+        self.cuts = sorted({max(1, round(width * s)) for s in STEPS} | {width})
         norms = np.sqrt((self.a**2).sum(1)), np.sqrt((self.b**2).sum(1))
         # What the axes lack of being orthogonal, and what sums of `width` rounded products can be off.
         loose = np.linalg.norm(axes.T @ axes - np.eye(width)) + 8 * width * np.finfo(float).eps
         self.slack = loose * (norms[0].max(initial=0) * norms[1].max(initial=0)) + 1e-6
         self.rest = {k: (self._tail(self.a, k), self._tail(self.b, k)) for k in self.cuts}
-        self.seen = np.zeros(len(self.cuts) + 2, np.int64)
+        self.seen = np.zeros(len(self.cuts) + 2, np.int64)  # pairs, those left after each cut, those verified
 
     @staticmethod
     def _tail(x: np.ndarray, k: int) -> np.ndarray:
@@ -97,25 +109,27 @@ class Pruner:
     def survivors(self, cols: slice, low: np.ndarray, high: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchors, rows and exact scores of the allowed pairs whose score may lie from low to high (by anchor)."""
         self.seen[0] += np.count_nonzero(allowed)
-        part, start = None, 0
+        whole, start = np.zeros(allowed.shape), 0
+        i = j = part = None  # the pairs that are left, once they are few
         for n, k in enumerate(self.cuts):
             rest_a, rest_b = self.rest[k]
-            if part is None:  # all pairs of the block at once
-                whole = self.a[:, :k] @ self.b[cols, :k].T
+            if i is None:
+                whole += self.a[:, start:k] @ self.b[cols, start:k].T
                 left = rest_a[:, None] * rest_b[cols][None, :] + self.slack
-                i, j = np.nonzero(allowed & (whole + left >= low[:, None]) & (whole - left <= high[:, None]))
-                part, j = whole[i, j], j + cols.start
+                allowed = allowed & (whole + left >= low[:, None]) & (whole - left <= high[:, None])
+                many = np.count_nonzero(allowed)
+                if many * FEW <= allowed.size or k == self.cuts[-1]:
+                    i, j = np.nonzero(allowed)
+                    part, j = whole[i, j], j + cols.start
             else:
-                part = part + np.einsum("ij,ij->i", self.a[i, start:k], self.b[j, start:k])
+                part = part + products(self.a[:, start:k], self.b[:, start:k], i, j)
                 left = rest_a[i] * rest_b[j] + self.slack
                 keep = (part + left >= low[i]) & (part - left <= high[i])
                 i, j, part = i[keep], j[keep], part[keep]
+                many = len(i)
             start = k
-            self.seen[n + 1] += len(i)
-        if part is None:
-            i, j = np.nonzero(allowed)
-            j = j + cols.start
-        score = np.einsum("ij,ij->i", self.anchors[i], self.rows[j])
+            self.seen[n + 1] += many
+        score = products(self.anchors, self.rows, i, j)
         good = (score >= low[i]) & (score <= high[i])
         self.seen[-1] += good.sum()
         return i[good], j[good], score[good]
@@ -130,52 +144,57 @@ def first_of(owner: np.ndarray, score: np.ndarray, unknown: np.ndarray, ids: np.
     return order[rank < most]
 
 
-def best_in_block(axes: np.ndarray, anchors: pd.DataFrame, rows: pd.DataFrame, same: bool, most: int, pairs: int = 1 << 21) -> pd.DataFrame:
-    """The first `most` rows for each anchor row (with a band low to high of scores) among rows: of its label or of others. About
-    `pairs` pairs are in memory at a time."""
-    width = axes.shape[0]
+def best_in_block(axes: np.ndarray, anchors: pd.DataFrame, rows: pd.DataFrame, same: bool, most: int, pairs: int = 1 << 18) -> pd.DataFrame:
+    """The first `most` rows for each anchor row and each of its bands of scores (low and high, lists) among rows: of its label or of
+    others. About `pairs` pairs are in memory at a time."""
+    width, bands = axes.shape[0], max(map(len, anchors["low"]), default=0)
     a_label, b_label = anchors["label"].to_numpy(np.int64), rows["label"].to_numpy(np.int64)
     a_row, b_row = anchors["row_id"].to_numpy(np.int64), rows["row_id"].to_numpy(np.int64)
     b_id, b_unknown = rows["vec_id"].to_numpy(np.int64), rows["unknown"].to_numpy(bool)
-    low, high = anchors["low"].to_numpy(np.int64).copy(), anchors["high"].to_numpy(np.int64)
+    low, high = np.full((len(a_row), bands), WIDE), np.full((len(a_row), bands), -WIDE)  # a band that an anchor hasn't is empty
+    for i, (x, y) in enumerate(zip(anchors["low"], anchors["high"], strict=True)):
+        low[i, : len(x)], high[i, : len(y)] = x, y
     vectors = matrix(rows["v"].tolist(), width)
     # Long vectors first: high scores are found early, and the bounds of what comes later are small.
     order = np.argsort(-(vectors.astype(float) ** 2).sum(1), kind="stable")
     vectors, b_label, b_row, b_id, b_unknown = (x[order] for x in (vectors, b_label, b_row, b_id, b_unknown))
     pruner = Pruner(axes, matrix(anchors["v"].tolist(), width), vectors)
-    kept = [np.zeros(0, np.int64)] * 3
+    kept = [np.zeros(0, np.int64)] * 3  # anchor and band, row, score
     step = max(64, pairs // max(1, len(low)))
-    for at in range(0, len(vectors) if len(low) else 0, step):
+    for at in range(0, len(vectors) if low.size else 0, step):
         cols = slice(at, min(at + step, len(vectors)))
         allowed = (a_label[:, None] == b_label[cols][None, :]) == same
         allowed &= a_row[:, None] != b_row[cols][None, :]
-        found = pruner.survivors(cols, low, high, allowed)
-        kept = [np.concatenate(x) for x in zip(kept, found, strict=True)]
+        i, j, score = pruner.survivors(cols, low.min(1), high.max(1), allowed)
+        hit, band = np.nonzero((score[:, None] >= low[i]) & (score[:, None] <= high[i]))
+        kept = [np.concatenate(x) for x in zip(kept, (i[hit] * bands + band, j[hit], score[hit]), strict=True)]
         top = first_of(kept[0], kept[2], b_unknown[kept[1]], b_id[kept[1]], b_row[kept[1]], most)
         kept = [x[top] for x in kept]
-        # An anchor that has its number of rows needs no lower score than the last of them.
-        many = np.bincount(kept[0], minlength=len(low)) == most
-        last = np.full(len(low), np.iinfo(np.int64).max)
+        # A band that has its number of rows needs no lower score than the last of them.
+        many = np.bincount(kept[0], minlength=low.size) == most
+        last = np.full(low.size, WIDE)
         np.minimum.at(last, kept[0], kept[2])
-        low[many] = np.maximum(low[many], last[many])
-    i, j, score = kept
-    return pd.DataFrame({"key": anchors["key"].to_numpy(np.int64)[i], "found_row": b_row[j], "found_id": pd.arrays.IntegerArray(b_id[j], b_unknown[j]), "score": score})
+        low.ravel()[many] = np.maximum(low.ravel()[many], last[many])
+    owner, j, score = kept
+    i, band = owner // max(1, bands), owner % max(1, bands)
+    return pd.DataFrame({"key": a_row[i], "band": band, "found_row": b_row[j], "found_id": pd.arrays.IntegerArray(b_id[j], b_unknown[j]), "score": score})
 
 
 def search(anchors: DataFrame, rows: DataFrame, axes: np.ndarray, *, same: bool, most: int, anchor_block: int, row_block: int) -> DataFrame:
-    """For each of anchors (key, row_id, label, v, low, high) the first `most` of rows with another row_id, a score from low to high
-    and the same label or another: key, found_row, found_id, score, rank. Each block of anchors meets each block of rows."""
+    """For each of anchors (row_id, label, v, and lists low and high: bands of scores) and each band the first `most` of rows with
+    another row_id, a score in the band and the same label or another: row_id, band, found_row, found_id, score, rank. Each block of
+    anchors meets each block of rows."""
     a_blocks, b_blocks = (max(1, -(-df.count() // n)) for df, n in ((anchors, anchor_block), (rows, row_block)))
-    left = anchors.withColumn("a", F.pmod(F.xxhash64("key"), F.lit(a_blocks))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b_blocks - 1)).cast("array<long>")))
+    left = anchors.withColumn("a", F.pmod(F.xxhash64("row_id"), F.lit(a_blocks))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b_blocks - 1)).cast("array<long>")))
     known = rows.select("row_id", F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNull().alias("unknown"), "label", "v")
     right = known.withColumn("b", F.pmod(F.xxhash64("row_id"), F.lit(b_blocks))).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(a_blocks - 1)).cast("array<long>")))
 
     def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         return best_in_block(axes, ours, theirs, same, most)
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, "key long, found_row long, found_id long, score long")
-    order = Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("found_id").asc_nulls_last(), "found_row")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, "key long, band int, found_row long, found_id long, score long")
+    order = Window.partitionBy("key", "band").orderBy(F.col("score").desc(), F.col("found_id").asc_nulls_last(), "found_row")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).withColumnRenamed("key", "row_id")
 
 
 def hard_negatives(rows: DataFrame, *, anchors: Callable | None = None, positives: int = 5, negatives: int = 3, band: tuple[int, int] = (50, 95), scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", anchor_block: int = 2048, row_block: int = 2048) -> DataFrame:
@@ -202,16 +221,15 @@ def mined(held: DataFrame, *, anchors: Callable | None = None, positives: int =
     sizes = {"anchor_block": grown(anchor_block, shape["n"], 10**6), "row_block": grown(row_block, shape["n"], 10**6)}
     least, most = band
     chosen = held.filter(F.col("vec_id") % 50 == 0 if anchors is None else anchors(F.col("vec_id")))
-    wide = (1 << 62) - 1
-    asked = chosen.select(F.col("row_id").alias("key"), "row_id", "label", "v", F.lit(-wide).alias("low"), F.lit(wide).alias("high"))
+    asked = chosen.select("row_id", "label", "v", F.array(F.lit(-WIDE)).alias("low"), F.array(F.lit(WIDE)).alias("high"))
     found = table(search(asked, held, axes, same=True, most=positives, **sizes), "op13-positives")
     # A positive's band: 50 p <= 100 n <= 95 p, in whole numbers; empty below zero.
     low, high = F.expr(f"-((-{least} * score) div 100) + IF(({least} * score) % 100 > 0, 1, 0)"), F.expr(f"({most} * score) div 100 - IF(({most} * score) % 100 < 0, 1, 0)")
-    banded = found.select(F.col("key").alias("row_id"), "found_id", "score", (F.col("key") * positives + F.col("rank") - 1).alias("key"), low.alias("low"), high.alias("high")).filter("low <= high")
-    asked = table(banded.join(chosen.select("row_id", "label", "v", F.col("vec_id").alias("anchor_id")), "row_id"), "op13-bands")
-    near = search(asked.select("key", "row_id", "label", "v", "low", "high"), held, axes, same=False, most=negatives, **sizes)
-    named = asked.select("key", "anchor_id", F.col("found_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    return named.join(near, "key").select("anchor_id", "positive_id", "rank", F.col("found_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    banded = found.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("rank", low.alias("low"), high.alias("high")))).alias("bands"))  # `positives` at most
+    asked = banded.join(chosen.select("row_id", "label", "v"), "row_id").select("row_id", "label", "v", "bands.low", "bands.high")
+    near = search(table(asked, "op13-bands"), held, axes, same=False, most=negatives, **sizes)
+    named = found.join(chosen.select("row_id", F.col("vec_id").alias("anchor_id")), "row_id").select("row_id", "anchor_id", (F.col("rank") - 1).alias("band"), F.col("found_id").alias("positive_id"), F.col("score").alias("positive_score"))
+    return named.join(near, ["row_id", "band"]).select("anchor_id", "positive_id", "rank", F.col("found_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
 def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
