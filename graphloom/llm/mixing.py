@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, rounds, table, unused, utf8, word_bounds
+from .common import WORD_CLASS, numbered_columns, rounds, same_columns, table, unused, utf8, word_bounds
+from .draws import draw_counts
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+#: Sources of which the driver keeps a row.
+MOST_SOURCES = 1_000_000
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,15 +45,13 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS)
     out, open_, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0], float(sum(sizes))
     while open_:
         total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = left * weights[i] / total
+        full = [left * weights[i] / total > most * sizes[i] for i in open_]
+        for i, at_most in zip(open_, full, strict=True):
+            out[i] = float(most * sizes[i]) if at_most else left * weights[i] / total
+        if not any(full):
             break
-        for i in full:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in full]
+        left -= sum(out[i] for i, at_most in zip(open_, full, strict=True) if at_most)
+        open_ = [i for i, at_most in zip(open_, full, strict=True) if not at_most]
     return out
 
 
@@ -81,35 +82,28 @@ def block_length(target: float, most: int) -> int:
     return max(1, min(most, int(target / 32)))
 
 
-#: Draws without replacement from more than this are beyond numpy's sampler.
-_LARGE = 500_000_000
+def shard_draw(shard: int, shards: int, shard_slots: int, slots: np.ndarray, seed: int, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sources that have slots in a shard, the slots of each before it, and those in it. All shards but the last have shard_slots.
 
-
-def drawn(slots: np.ndarray, left: int, seed: list[int]) -> np.ndarray:
-    """How many of each source's slots are among `left` that are drawn from all of them, none twice: multinomial counts, given
-    each source's total. Where there are too many to draw from, whole shares are taken and only the rest is drawn."""
-    rng, total, out = np.random.default_rng(seed), int(slots.sum()), np.zeros(len(slots), np.int64)
-    if total >= _LARGE:
-        out = np.array([n * left // total for n in slots.tolist()], np.int64)
-        spare = slots - out
-        top = np.argsort(-spare, kind="stable")[: max(1, 2 * (left - int(out.sum())))]
-        pick = np.zeros(len(slots), np.int64)
-        pick[top] = np.minimum(spare[top], _LARGE // (2 * len(top)))
-        return out + rng.multivariate_hypergeometric(pick, left - int(out.sum()), method="marginals")
-    return rng.multivariate_hypergeometric(slots, left, method="marginals")
-
-
-def shard_draw(shard: int, shards: int, shard_slots: int, slots: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each source before the shard, and in it. All shards but the last have shard_slots."""
-    first, last, before, here = 0, shards, np.zeros(len(slots), np.int64), slots
+    Only sources that have slots in a range of shards are drawn from, so a small range costs little, however many sources there
+    are. seen keeps the widest ranges for the task's next shards.
+    """
+    some = np.flatnonzero(slots)
+    first, last, before, here = 0, shards, np.zeros(len(some), np.int64), slots[some]
     while last - first > 1:
         half = (first + last) // 2
-        lower = drawn(here, (half - first) * shard_slots, [seed, first, last])
+        lower = None if seen is None else seen.get((first, last))
+        if lower is None:
+            lower = draw_counts(here, (half - first) * shard_slots, [seed, first, last])
+            if seen is not None and len(seen) < 64:
+                seen[first, last] = lower
         if shard < half:
             last, here = half, lower
         else:
             first, before, here = half, before + lower, here - lower
-    return before, here
+        has = here > 0
+        some, before, here = some[has], before[has], here[has]
+    return some, before, here
 
 
 @dataclass
@@ -127,14 +121,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     Sources by code point, null last, have the weights in turn. No block, and so no document, is taken more than `most`
     times. Null and empty texts have size 0 and nothing is taken of them; repeated rows are documents of their own; an empty
     table gives an empty mix. The result depends on ids and texts alone, not on how rows are partitioned: only rows that agree
-    in both are told apart by their numbers. The driver and each task hold one row for each source; all else is distributed.
+    in both are told apart by their numbers. The driver and each task hold one row for each source; all else is distributed. There
+    can be MOST_SOURCES of them: more, such as hosts, must be grouped before.
     """
     spark = docs.sparkSession
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     text = F.col(text_col).cast("string")
     read = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text.alias("text"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text).alias("at"), F.spark_partition_id().alias("part"))
     rows = table(read.mapInArrow(_word_counts, "row_id long, doc_id long, source string, at long, part int, size long"), "op1-sizes")
-    found = [(r["source"], r["size"], r["rows"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()]
+    by_source = table(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "op1-sources")
+    if by_source.count() > MOST_SOURCES:
+        raise ValueError(f"there are more than {MOST_SOURCES} sources")
+    found = [(r["source"], r["size"], r["rows"]) for r in by_source.collect()]
     found.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     sizes = [r[1] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
@@ -164,11 +162,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     pieces = pieces.select("row_id", "s", "block", F.greatest(low, F.lit(0)).alias("first"), F.least(high, "size").alias("last"))
 
     def slot_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
         for batch in batches:
             for k in batch["id"].tolist() if slots.sum() else ():
-                before, here = shard_draw(k, shards, shard_slots, slots, seed)
-                for s in np.flatnonzero(here).tolist():
-                    slot, size = np.arange(before[s], before[s] + here[s]), blocks[s]
+                for s, low, n in zip(*(x.tolist() for x in shard_draw(k, shards, shard_slots, slots, seed, seen)), strict=True):
+                    slot, size = np.arange(low, low + n), blocks[s]
                     for turn in range(int(slot[0]) // size, int(slot[-1]) // size + 1):
                         at = slot[slot // size == turn] % size
                         yield pd.DataFrame({"s": np.int32(s), "block": permuted(at, size, seed * 1_000_003 + s * 101 + turn)})
@@ -211,21 +209,21 @@ def mixed(docs: DataFrame) -> DataFrame:
     numbered = table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     pieces = mix(numbered, row_col=row).pieces
     parts = pieces.groupBy(F.col("row_id").alias(row)).agg(F.collect_list(F.struct("first", "last", "times")).alias(held))
-    joined = numbered.join(parts, row).select(*docs.columns, held)
+    joined = numbered.join(parts, row).select(*numbered_columns(tuple(docs.columns)), held)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [taken_texts(t, [(p["first"], p["last"], p["times"]) for p in ps]) for t, ps in zip(part.column("text").to_pylist(), part.column(held).to_pylist(), strict=True)]
+                texts = [taken_texts(t, [(p["first"], p["last"], p["times"]) for p in ps]) for t, ps in zip(part.column(at).to_pylist(), part.column(held).to_pylist(), strict=True)]
                 rows = pa.array(np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
-                columns = [part.column(c).take(rows) for c in names]
+                columns = [c.take(rows) for c in part.columns[:-1]]
                 columns[at] = pa.array([t for ts in texts for t in ts], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in names else out
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*same_columns(docs)) if "n_chars" in names else out
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
