@@ -91,7 +91,7 @@ def _writer(folder: str, date: str, file_bytes: int):
     return run
 
 
-def write(pages: DataFrame, folder: str | None = None, *, least: int = 100, file_bytes: int = 128 << 20) -> DataFrame:
+def write(pages: DataFrame, folder: str | None = None, *, least: int = 100, file_bytes: int = 128 << 20, hot_share: float = 0.001) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) and returns the index, written to the shared folder.
 
     The payload is html in UTF-8; null is empty. Of records with equal payloads of at least `least` bytes the one with the
@@ -110,8 +110,12 @@ def write(pages: DataFrame, folder: str | None = None, *, least: int = 100, file
     rows = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(data, 256).alias("digest"), F.octet_length(data).alias("size"))
     rows = table(rows, "op4-rows")
     least_of = F.min(F.struct(F.col("page_id").isNull(), "page_id", "row_id")).alias("low")
-    groups = rows.filter(F.col("size") >= least).groupBy("digest").agg(least_of, F.count("*").alias("n")).filter("n > 1").select("digest", F.col("low.page_id").alias("refers_to"), F.col("low.row_id").alias("refers_row"))
-    marked = rows.filter(F.col("size") >= least).select("row_id", "digest").join(groups, "digest").filter("row_id != refers_row").select("row_id", "refers_to", "refers_row")
+    groups = rows.filter(F.col("size") >= least).groupBy("digest").agg(least_of, F.count("*").alias("n")).filter("n > 1").select("digest", "n", F.col("low.page_id").alias("refers_to"), F.col("low.row_id").alias("refers_row"))
+    # A payload that a large part of all rows share is looked up by a broadcast: there can be at most 1 / hot_share of them.
+    groups, keys = table(groups, "op4-groups"), rows.filter(F.col("size") >= least).select("row_id", "digest")
+    often = F.broadcast(groups.filter(F.col("n") > hot_share * rows.count()).drop("n"))
+    rest = keys.join(often, "digest", "left_anti").join(groups.drop("n"), "digest")
+    marked = keys.join(often, "digest").unionByName(rest).filter("row_id != refers_row").select("row_id", "refers_to", "refers_row")
     planned = rows.join(sized(marked, "op4-revisits"), "row_id", "left").select("row_id", "page_id", "url", "html", "digest", "refers_to", "refers_row")
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     return table(planned.mapInPandas(_writer(folder, date, file_bytes), INDEX), "op4-index")
@@ -137,13 +141,24 @@ def _reader(gap: int):
     return run
 
 
+#: Tasks that read an archive.
+MOST_TASKS = 50_000
+
+
+def tasks_for(total: int, range_bytes: int) -> tuple[int, int]:
+    """The size of a range and the number of tasks for reading `total` bytes."""
+    size = max(range_bytes, -(-total // MOST_TASKS))
+    return size, max(1, -(-total // size))
+
+
 def read(index: DataFrame, *, range_bytes: int = 1 << 20, gap: int = 1 << 16) -> DataFrame:
     """The records that the index rows name: page_id, row_id, url, record_type, refers_to, payload_bytes, payload_digest and
-    payload (null for revisits). A task reads about range_bytes of the records named; records up to `gap` bytes apart share a read."""
-    ranges = index.groupBy("path", F.expr(f"offset div {range_bytes}").alias("range")).agg(F.collect_list(F.struct("offset", "length")).alias("records"))
+    payload (null for revisits). A task reads about range_bytes of the records named, or more where that would take more than MOST_TASKS tasks; records up to
+    `gap` bytes apart share a read."""
+    size, tasks = tasks_for(index.agg(F.sum("length").alias("n")).first()["n"] or 0, range_bytes)
+    ranges = index.groupBy("path", F.expr(f"offset div {size}").alias("range")).agg(F.collect_list(F.struct("offset", "length")).alias("records"))
     # As many tasks as there is to read: by the rows of the index alone, which are short, Spark would plan too few.
-    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
-    ranges = ranges.repartition(max(1, -(-total // range_bytes)), "path", "range")
+    ranges = ranges.repartition(tasks, "path", "range")
     return ranges.select("path", "records").mapInPandas(_reader(gap), "page_id long, row_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
