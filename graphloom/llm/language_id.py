@@ -7,7 +7,6 @@ for each language; the count that false positives alone would give is taken out,
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +16,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rounds, unused, utf8
+from .common import numbered_columns, rounds, same_columns, table, unused, utf8, with_fields
 
 _LETTER = regex.compile(r"\p{L}")
-#: n-grams that are a smaller share of a language's own are left out: that bounds a filter by 1 / LEAST_SHARE n-grams a language.
-LEAST_SHARE = 2e-5
+#: Cells of a filter for each n-gram of the language that has the most.
+CELLS = 16
+#: Cells that one executor's row of a filter holds.
+_BLOCK = 1 << 16
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -62,53 +63,80 @@ def prepared(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
 
 
-def gram_counts(lang: str | None, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a text and how often each occurs."""
+def grams_in(text: str, n: int) -> np.ndarray:
+    """The distinct n-grams of a text."""
     raw, _ = prepared([text])
-    return np.unique(grams_of(raw, n)[: max(0, len(raw) - n + 1)], return_counts=True)
+    return np.unique(grams_of(raw, n)[: max(0, len(raw) - n + 1)])
 
 
-def filter_of(grams: dict[str, np.ndarray], n: int, log2_cells: int) -> LanguageFilter:
-    """The filter of each language's n-grams."""
-    langs = sorted(grams)
-    width = min(64, max(1, len(langs)))
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= width)
-    made = LanguageFilter(langs, np.zeros((max(1, -(-len(langs) // 64)), 1 << log2_cells), kind), np.zeros(len(langs)), n)
-    for j, lang in enumerate(langs):
-        row, bit = made.cells[j // 64], kind(1 << j % 64)
-        for c in _MIX:
-            at = np.unique((grams[lang].astype(np.uint64) * np.uint64(c)) >> made.shift)
-            row[at] |= bit
-        made.rates[j] = ((row & bit) != 0).mean() ** len(_MIX)
-    return made
+def _cells(langs: int) -> tuple[int, type]:
+    """Words of a cell and their type, by the number of languages."""
+    width = min(64, max(1, langs))
+    return max(1, -(-langs // 64)), next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= width)
+
+
+def log2_cells(most: int) -> int:
+    """A filter's size for languages of at most `most` n-grams."""
+    return max(16, (CELLS * max(1, most) - 1).bit_length())
 
 
-def fit(rows: list[tuple[str, str]], *, n: int = 4, least_share: float = LEAST_SHARE, log2_cells: int = 20) -> LanguageFilter:
-    """The filter of (lang, text) rows, in memory: of each language the n-grams that are at least `least_share` of all of its own."""
-    counts: dict[str, Counter] = {}
+def _rated(langs: list[str], cells: np.ndarray, n: int) -> LanguageFilter:
+    one = cells.dtype.type(1)
+    rates = [((cells[j // 64] >> cells.dtype.type(j % 64)) & one).mean() ** len(_MIX) for j in range(len(langs))]
+    return LanguageFilter(langs, cells, np.array(rates), n)
+
+
+def fit(rows: list[tuple[str, str]], *, n: int = 4) -> LanguageFilter:
+    """The filter of (lang, text) rows, in memory: all n-grams of each language."""
+    parts: dict[str, list[np.ndarray]] = {}
     for lang, text in rows:
-        found, times = gram_counts(lang, text, n)
+        found = grams_in(text, n)
         if len(found):
-            counts.setdefault(lang, Counter()).update(dict(zip(found.tolist(), times.tolist(), strict=True)))
-    return filter_of({lang: np.array([g for g, k in c.items() if k >= least_share * c.total()], np.uint64) for lang, c in counts.items()}, n, log2_cells)
+            parts.setdefault(lang, []).append(found)
+    grams = {lang: np.unique(np.concatenate(x)) for lang, x in sorted(parts.items())}
+    words, kind = _cells(len(grams))
+    size = log2_cells(max(map(len, grams.values()), default=0))
+    cells = np.zeros((words, 1 << size), kind)
+    for j, own in enumerate(grams.values()):
+        for c in _MIX:
+            cells[j // 64, np.unique((own * np.uint64(c)) >> np.uint64(64 - size))] |= kind(1 << j % 64)
+    return _rated(list(grams), cells, n)
 
 
-def learned(docs: DataFrame, *, most: int = 4000, n: int = 4, least_share: float = LEAST_SHARE, log2_cells: int = 20) -> LanguageFilter:
-    """The filter of training_rows(docs), as of fit(); the whole texts of the sample are counted on the executors. The driver
-    gets at most 1 / least_share n-grams of each language, however long the texts are."""
+def learned(docs: DataFrame, *, most: int = 4000, n: int = 4) -> LanguageFilter:
+    """The filter of training_rows(docs), as of fit(): its size follows from how many n-grams the sample holds, and none is left
+    out. Whole texts are cut and the filter's blocks filled on the executors; the driver gets the filter."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found, times = gram_counts(lang, text, n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "gram", "k"])
+                found = grams_in(text, n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64))], names=["lang", "gram"])
+
+    grams = table(training_rows(docs, most=most).mapInArrow(cut, "lang string, gram long").distinct(), "op10-grams")
+    counts = {r["lang"]: r["count"] for r in grams.groupBy("lang").count().collect()}
+    langs = sorted(counts)
+    words, kind = _cells(len(langs))
+    size = log2_cells(max(counts.values(), default=0))
+    place = {lang: j for j, lang in enumerate(langs)}
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, bit = batch.column("gram").to_numpy().view(np.uint64), np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+            for c in _MIX:
+                at = ((own * np.uint64(c)) >> np.uint64(64 - size)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bit // 64), pa.array(at // _BLOCK), pa.array(at % _BLOCK), pa.array(bit % 64)], names=["word", "block", "cell", "bit"])
+
+    def filled(rows: pa.Table) -> pa.Table:
+        cells = np.zeros(_BLOCK, kind)
+        np.bitwise_or.at(cells, rows.column("cell").to_numpy(), kind(1) << rows.column("bit").to_numpy().astype(kind))
+        return pa.table({"word": rows.column("word")[:1], "block": rows.column("block")[:1], "cells": pa.array([cells.tobytes()], pa.binary())})
 
-    sample = training_rows(docs, most=most)
-    counts = sample.mapInArrow(run, "lang string, gram long, k long").groupBy("lang", "gram").agg(F.sum("k").alias("k"))
-    share = F.col("k") >= least_share * F.sum("k").over(Window.partitionBy("lang"))
-    often = counts.withColumn("often", share).filter("often").groupBy("lang").agg(F.collect_list("gram").alias("grams"))
-    grams = {r["lang"]: r["grams"] for r in often.collect()}
-    return filter_of({lang: np.array(g, np.int64).view(np.uint64) for lang, g in grams.items()}, n, log2_cells)
+    cells = np.zeros((words, 1 << size), kind)
+    blocks = grams.mapInArrow(spread, "word long, block long, cell long, bit long").groupBy("word", "block").applyInArrow(filled, "word long, block long, cells binary")
+    for r in blocks.collect():  # the filter itself
+        cells[r["word"], r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["cells"], kind)
+    return _rated(langs, cells, n)
 
 
 def shares(model: LanguageFilter, texts: list[str | None]) -> np.ndarray:
@@ -162,8 +190,8 @@ def languages(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text",
     Null and letterless texts give `und` and score 0; repeated rows stay; an empty table gives an empty result.
     """
     names, whole = list(columns), unused("text", docs)
-    read = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias(whole))
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # 2**log2_cells cells for each 64 languages, whatever the input
+    read = docs.select(*numbered_columns(columns), F.col(text_col).cast("string").alias(whole))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # CELLS to 2 * CELLS cells for each n-gram of the bounded sample's largest language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,10 +201,9 @@ def languages(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text",
                 found = predict(LanguageFilter(**shared.value), text.slice(a, b - a).to_pylist())
                 lang += found[0]
                 score += found[1]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, *made])
 
-    fields = [f"`{c}` {read.schema[c].dataType.simpleString()}" for c in names]
-    return read.mapInArrow(run, ", ".join([*fields, f"`{made[0]}` string", f"`{made[1]}` double"]))
+    return read.mapInArrow(run, with_fields(docs, columns, f"`{made[0]}` string, `{made[1]}` double"))
 
 
 def held_out(doc_id):
@@ -191,7 +218,7 @@ def keep_known(docs: DataFrame, *, least: float = 0.1) -> DataFrame:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang, score = unused("lang", docs), unused("score", docs)
     found = languages(docs, model, columns=tuple(docs.columns), made=(lang, score)).filter((F.col(lang) != "und") & (F.col("lang").isNotNull() | (F.col(score) >= least)))
-    return found.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*same_columns(docs))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
