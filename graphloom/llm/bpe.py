@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rounds, utf8
+from .common import numbered_columns, rounds, unused, utf8, with_fields
 
 # Classes of characters. END stands after each text.
 LETTER, NUMBER, OTHER, SPACE, BLANK, SHORT, LONG, END = range(8)
@@ -227,7 +227,8 @@ def _over_texts(docs: DataFrame, ranks_path: str, text_col: str, columns: tuple[
     spark = docs.sparkSession
     # The vocabulary and the class table have fixed sizes of one or two MB.
     shared = spark.sparkContext.broadcast({"ranks": load_ranks(ranks_path), "classes": class_table()})
-    read = docs.select(*[F.col(c) for c in columns], F.col(text_col).cast("string").alias("__text"))
+    whole = unused("text", docs)
+    read = docs.select(*numbered_columns(columns), F.col(text_col).cast("string").alias(whole))
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +236,13 @@ def _over_texts(docs: DataFrame, ranks_path: str, text_col: str, columns: tuple[
         if "coder" not in held:  # one for each worker: later tasks find its cache filled
             held["coder"] = Coder(held["ranks"], held["classes"])
         for batch in batches:
-            text = batch.column("__text").fill_null("")
+            text = batch.column(whole).fill_null("")
             _, offsets = utf8(text)
             for a, b in rounds(np.diff(offsets)):
                 out = made(held["coder"], text.slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in columns], *out], names=[*columns, *names])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], *out], names=[*columns, *names])
 
-    head = [f"`{c}` {read.schema[c].dataType.simpleString()}" for c in columns]
-    return read.mapInArrow(run, ", ".join([*head, fields]))
+    return read.mapInArrow(run, with_fields(docs, columns, fields))
 
 
 def ranks_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -264,16 +264,16 @@ def encode(docs: DataFrame, *, ranks_path: str | None = None, text_col: str = "t
 
 def decode(tokens: DataFrame, *, ranks_path: str | None = None, ids_col: str = "ids", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns, then data (the bytes that the ids stand for; null ids count as none)."""
-    shared = tokens.sparkSession.sparkContext.broadcast(load_ranks(ranks_path or ranks_file()))
+    shared, held = tokens.sparkSession.sparkContext.broadcast(load_ranks(ranks_path or ranks_file())), unused("ids", tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {rank: token for token, rank in shared.value.items()}
         for batch in batches:
-            data = [b"".join(names[i] for i in ids or ()) for ids in batch.column("__ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(data, pa.binary())], names=[*columns, "data"])
+            data = [b"".join(names[i] for i in ids or ()) for ids in batch.column(held).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], names=[*columns, "data"])
 
-    read = tokens.select(*[F.col(c) for c in columns], F.col(ids_col).alias("__ids"))
-    return read.mapInArrow(run, ", ".join([*[f"`{c}` {read.schema[c].dataType.simpleString()}" for c in columns], "data binary"]))
+    read = tokens.select(*numbered_columns(columns), F.col(ids_col).alias(held))
+    return read.mapInArrow(run, with_fields(tokens, columns, "data binary"))
 
 
 def digests(docs: DataFrame, *, ranks_path: str | None = None, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.sources.storage import delete_at_exit, materialize, shared_dir
 
@@ -33,9 +34,23 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
-def same_columns(df: DataFrame) -> list:
-    """All columns of df, by names that may hold dots or backticks."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+def named(column: str) -> Column:
+    """A column by its whole name, which may hold dots or backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def same_columns(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+def numbered_columns(columns: tuple[str, ...]) -> list[Column]:
+    """Columns by number: functions over Arrow batches don't take names with dots or backticks."""
+    return [named(c).alias(f"c{i}") for i, c in enumerate(columns)]
+
+
+def with_fields(df: DataFrame, columns: tuple[str, ...], fields: str) -> T.StructType:
+    """The schema of some columns of df and of more fields."""
+    return T.StructType([*[df.schema[c] for c in columns], *T._parse_datatype_string(fields).fields])
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -79,13 +94,22 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
-    """df as a table in the shared folder in as many buckets of a column as shuffles have partitions, whatever the input's size:
-    grouping by that column then moves none of its rows. The catalog holds the table only until it is read."""
+#: Bytes of text that a bucket is meant to hold.
+BUCKET_BYTES = 256 << 20
+
+
+def buckets_for(size: int, partitions: int, most: int) -> int:
+    """How many buckets hold size bytes: as many as shuffles have partitions, or more where those would hold more than BUCKET_BYTES."""
+    return min(most, max(partitions, -(-size // BUCKET_BYTES)))
+
+
+def bucketed(df: DataFrame, name: str, by: str, size: int) -> DataFrame:
+    """df, which holds size bytes of text, as a table in the shared folder in buckets of a column: grouping by that column then moves
+    none of its rows. The catalog holds the table only until it is read."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     at = path.rsplit("/", 1)[1].replace("-", "_")
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    buckets = buckets_for(size, int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).saveAsTable(at, format="parquet")
     delete_at_exit(spark, path)
     made = spark.table(at)
@@ -99,8 +123,9 @@ def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
 CHUNK = "chunk long, ids binary, docs binary, known binary, at binary, text binary, n long, more binary"
 
 
-def chunked(docs: DataFrame, name: str, *, id_col: str, text_col: str, row_col: str | None, chunk_bytes: int, measure: Callable[[np.ndarray, np.ndarray], int] = lambda raw, at: len(raw), more: Callable[[np.ndarray, np.ndarray], bytes] = lambda raw, at: b"") -> DataFrame:
-    """docs as chunks (CHUNK) of about chunk_bytes or of one text, bucketed by chunk: no text is shuffled, now or later."""
+def chunked(docs: DataFrame, name: str, *, id_col: str, text_col: str, row_col: str | None, chunk_bytes: int, size: int, measure: Callable[[np.ndarray, np.ndarray], int] = lambda raw, at: len(raw), more: Callable[[np.ndarray, np.ndarray], bytes] = lambda raw, at: b"") -> DataFrame:
+    """docs, whose texts have size bytes, as chunks (CHUNK) of about chunk_bytes or of one text, bucketed by chunk: no text is
+    shuffled, now or later."""
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     read = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -114,7 +139,7 @@ def chunked(docs: DataFrame, name: str, *, id_col: str, text_col: str, row_col:
                 row = (int(ids[a]), ids[a:b].tobytes(), doc[a:b].tobytes(), known[a:b].tobytes(), at.tobytes(), pa.compress(part.tobytes(), "zstd", asbytes=True), measure(part, at), more(part, at))
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[c.split()[0] for c in CHUNK.split(", ")])
 
-    return bucketed(read.mapInArrow(run, CHUNK), name, "chunk")
+    return bucketed(read.mapInArrow(run, CHUNK), name, "chunk", size)
 
 
 def chunk_texts(row: dict) -> tuple[np.ndarray, np.ndarray]:

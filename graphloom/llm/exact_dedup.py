@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.storage import scratch
 
-from .common import SPACES, chunk_texts, chunked, grown, rice_decode, rice_encode, sized, table, unused
+from .common import SPACES, chunk_texts, chunked, grown, rice_decode, rice_encode, same_columns, sized, table, unused
 
 _SPACES = SPACES.encode()
 
@@ -115,7 +115,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     size = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("size"), F.count("*").alias("n")).first()
     n, size = size["n"], size["size"] or 0
-    chunks = chunked(docs, "op2-chunks", id_col=id_col, text_col=text_col, row_col=row_col, chunk_bytes=grown(chunk_bytes, size), more=_digests)
+    chunks = chunked(docs, "op2-chunks", id_col=id_col, text_col=text_col, row_col=row_col, chunk_bytes=grown(chunk_bytes, size), size=size, more=_digests)
     owners = max(8, -(-n // grown(owner_rows, size)))
     bits = min(64, max(1, n).bit_length() + spare_bits)
     sent = chunks.select("chunk", "ids", "more").mapInArrow(_encode(owners, bits), "chunk long, owner int, n int, coded binary, local binary")
@@ -147,7 +147,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession) as made:
         gone = sized(exact_groups(numbered, row_col=row).filter("not kept").select(F.col("row_id").alias(row)), "op2-gone")
         made.pop()  # only the rows that go are read from here on
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    return numbered.join(gone, row, "left_anti").select(*same_columns(docs))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     result. An n-gram's hash has log2(n-grams) + spare_bits bits: one in 2**spare_bits may share a count with another.
     """
     size = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
-    chunks = chunked(docs, "op8-chunks", id_col=id_col, text_col=text_col, row_col=None, chunk_bytes=grown(chunk_bytes, size), measure=lambda raw, at: len(word_bounds(raw, at)[0]))
+    chunks = chunked(docs, "op8-chunks", id_col=id_col, text_col=text_col, row_col=None, chunk_bytes=grown(chunk_bytes, size), size=size, measure=lambda raw, at: len(word_bounds(raw, at)[0]))
     total = chunks.agg(F.sum("n").alias("n")).first()["n"] or 0
     bits = min(64, max(32, (order * total).bit_length() + spare_bits))
     owners = max(8, -(-order * total // grown(owner_rows, size)))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rounds, sized, table, unused, utf8, word_bounds
+from .common import rounds, same_columns, sized, table, unused, utf8, word_bounds
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCKS = 4
@@ -227,7 +227,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = table(near_groups(numbered, row_col=row), "op9-groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first"))
     gone = groups.select(F.col("row_id").alias(row)).join(first.select(F.col("first.row_id").alias(row)), row, "left_anti")
-    return numbered.join(sized(gone, "op9-gone"), row, "left_anti").select(*docs.columns)
+    return numbered.join(sized(gone, "op9-gone"), row, "left_anti").select(*same_columns(docs))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -404,7 +404,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if not widths or widths[-1] != 1 or max(widths) > length - 8:
         raise ValueError("widths must end with 1 and lie below length - 8")
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
-    rows = chunked(docs, "op7-chunks", id_col=id_col, text_col=text_col, row_col=None, chunk_bytes=grown(chunk_bytes, total))
+    rows = chunked(docs, "op7-chunks", id_col=id_col, text_col=text_col, row_col=None, chunk_bytes=grown(chunk_bytes, total), size=total)
     owners = max(8, -(-total // (spread // 2 * grown(owner_rows, total))))  # there is an anchor in about every spread / 2 bytes
     bits = min(64, max(32, max(1, total).bit_length() + 12))
     sent = rows.mapInArrow(_sent(owners, bits, length, spread), "chunk long, owner int, n int, coded binary, local binary")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -121,15 +122,41 @@ def test_equal_rows_without_id(spark):
 
 def test_shard_draws_are_multinomial_given_totals():
     slots = np.array([400, 100, 30, 0])
-    parts = [mixing.shard_draw(k, 9, 60, slots, 11) for k in range(9)]
+
+    def draw(k, seed=11, seen=None):
+        out = np.zeros((2, 4), np.int64)
+        some, *rest = mixing.shard_draw(k, 9, 60, slots, seed, seen)
+        out[:, some] = rest
+        return out
+
+    parts = [draw(k) for k in range(9)]
     assert sum(n for _, n in parts).tolist() == slots.tolist() and [int(n.sum()) for _, n in parts] == [60] * 8 + [50]
-    for k in range(1, 9):
-        assert (parts[k][0] == parts[k - 1][0] + parts[k - 1][1]).all()
-    first = np.array([mixing.shard_draw(0, 9, 60, slots, seed)[1] for seed in range(400)])
+    for k in range(1, 9):  # a source that a shard hasn't is not in its row
+        assert all(parts[k][0][s] == sum(p[1][s] for p in parts[:k]) for s in range(4) if parts[k][1][s])
+    seen = {}
+    assert all((draw(k, seen=seen) == parts[k]).all() for k in (0, 5, 8, 0))
+    first = np.array([draw(0, seed)[1] for seed in range(400)])
     assert abs(first.mean(axis=0) - slots * 60 / 530).max() < 1 and first[:, 0].std() > 2
-    large = np.array([mixing._LARGE * 4, mixing._LARGE, 3])
-    half = mixing.drawn(large, int(large.sum()) // 2, [1])
-    assert half.sum() == large.sum() // 2 and (half <= large).all() and abs(half[0] / large[0] - 0.5) < 1e-6
+
+
+def test_draws_at_any_size():
+    """A mix of 10**13 slots is drawn like one of a few: counts scatter as the law says, at each level."""
+    slots, shards, each = np.array([6 * 10**12, 4 * 10**12 - 7, 7]), 1 << 20, -(-(10**13) // (1 << 20))
+    z = []
+    for seed in range(60):
+        some, before, here = mixing.shard_draw(5, shards, each, slots, seed)
+        assert here.sum() == each and (before + here <= slots[some]).all()
+        z.append((dict(zip(some.tolist(), here.tolist(), strict=True))[0] - 0.6 * each) / (each * 0.24) ** 0.5)
+    assert abs(np.mean(z)) < 0.5 and 0.7 < np.std(z) < 1.4
+
+
+def test_many_sources():
+    """Targets of very many sources, and a shard's draw that costs as much as the shard has."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 10**6, 20_000).tolist()
+    began = time.perf_counter()
+    got = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    assert np.allclose(got, hand_targets(sizes)) and time.perf_counter() - began < 2
 
 
 def test_taken_texts():
@@ -700,10 +727,11 @@ def test_language(spark, docs, none):
     assert language_id.keep_known(docs).columns == docs.columns and language_id.keep_known(none).count() == 0
 
 
-def test_filter_corrects_for_false_positives():
+def test_filter_corrects_for_false_positives(monkeypatch):
     rng = np.random.default_rng(3)
     text = lambda letters, n: "".join(rng.choice(list(letters), n))
-    model = language_id.fit([("a", text("abcd", 5000)), ("b", text("wxyz", 50))], log2_cells=10)
+    monkeypatch.setattr(language_id, "log2_cells", lambda most: 10)
+    model = language_id.fit([("a", text("abcd", 5000)), ("b", text("wxyz", 50))])
     share = language_id.shares(model, [text("mnop", 3000)])[0]
     assert model.rates[0] > 0.1 and share[0] < 0.1
 
@@ -750,3 +778,39 @@ def test_rare_languages_are_learned_and_kept(spark):
     assert kept >= set(range(3000)) | set(range(5000, 5006)) | {6000} and not kept & {6001, 6002, 6003}
     plain = table.withColumn("lang", F.lit(None).cast("string"))
     assert {r["doc_id"] for r in language_id.keep_known(plain).collect()} == {d for d, _, _ in rows} - {6001, 6002}
+
+
+# Shared by all
+
+
+def test_columns_with_dots_and_backticks(spark, docs):
+    """Columns of any name go through every stage that returns whole rows."""
+    odd = docs.withColumn("a.b", F.lit("x")).withColumn("c`d", F.col("doc_id")).withColumn("__text", F.lit(1))
+    for stage in (language_id.keep_known, exact_dedup.keep_first, near_copies.keep_one, simhash.keep_one, mixing.mixed):
+        out = stage(odd)
+        assert out.columns == odd.columns and all(r["a.b"] == "x" and r["c`d"] == r["doc_id"] for r in out.collect())
+    names = ("doc_id", "a.b", "c`d", "__text")
+    assert bpe.digests(odd, columns=names).columns[:4] == list(names) and bpe.digests(odd, columns=names).count() == odd.count()
+    assert bpe.decode(bpe.encode(odd, columns=names), columns=names).count() == odd.count()
+
+
+def test_buckets_grow_with_the_input():
+    assert common.buckets_for(10**9, 200, 100_000) == 200
+    assert common.buckets_for(100 << 40, 200, 1_000_000) == 409_600 and common.buckets_for(100 << 40, 200, 100_000) == 100_000
+
+
+def test_archive_of_many_terabytes(spark):
+    """An index that names 20 TB gives a bounded number of tasks, each of a bounded number of records."""
+    assert warc.tasks_for(0, 1 << 20) == (1 << 20, 1) and warc.tasks_for(10 << 20, 1 << 20) == (1 << 20, 10)
+    size, tasks = warc.tasks_for(20 << 40, 1 << 20)
+    assert tasks <= warc.MOST_TASKS and size * tasks >= 20 << 40
+    row = [(1, 0, "u", "response", "d", "file:///no", 0, 20 << 40)]
+    plan = warc.read(spark.createDataFrame(row, warc.INDEX))
+    assert plan.columns[0] == "page_id"  # planned, without a driver that runs out of memory
+
+
+def test_a_page_that_very_many_share(spark):
+    html = ["x" * 200] * 900 + ["y" * 150] * 3 + [f"z{i}" * 80 for i in range(100)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(6)
+    rows = {r["page_id"]: r["refers_to"] for r in warc.read(warc.write(pages, hot_share=0.01)).collect()}
+    assert rows == {i: 0 if 0 < i < 900 else 900 if 900 < i < 903 else None for i in range(len(html))}
