@@ -21,6 +21,9 @@ from .common import numbered_columns, rounds, same_columns, table, unused, utf8,
 _LETTER = regex.compile(r"\p{L}")
 #: Cells of a filter for each n-gram of the language that has the most.
 CELLS = 16
+#: An n-gram isn't a language's own if the share of its texts that have it is below so much of the largest share of any language: a
+#: few mislabelled or quoting texts don't make one.
+OWN = 0.05
 #: Cells that one executor's row of a filter holds.
 _BLOCK = 1 << 16
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -87,13 +90,18 @@ def _rated(langs: list[str], cells: np.ndarray, n: int) -> LanguageFilter:
 
 
 def fit(rows: list[tuple[str, str]], *, n: int = 4) -> LanguageFilter:
-    """The filter of (lang, text) rows, in memory: all n-grams of each language."""
+    """The filter of (lang, text) rows, in memory: all n-grams of each language that are its own."""
     parts: dict[str, list[np.ndarray]] = {}
     for lang, text in rows:
-        found = grams_in(text, n)
-        if len(found):
-            parts.setdefault(lang, []).append(found)
-    grams = {lang: np.unique(np.concatenate(x)) for lang, x in sorted(parts.items())}
+        if text:
+            parts.setdefault(lang, []).append(grams_in(text, n))
+    parts = {lang: x for lang, x in sorted(parts.items()) if any(map(len, x))}
+    counted = {lang: np.unique(np.concatenate(x), return_counts=True) for lang, x in parts.items()}
+    most: dict[int, float] = {}
+    for lang, (found, k) in counted.items():
+        for g, share in zip(found.tolist(), (k / len(parts[lang])).tolist(), strict=True):
+            most[g] = max(share, most.get(g, 0.0))
+    grams = {lang: found[k / len(parts[lang]) >= OWN * np.array([most[g] for g in found.tolist()])] for lang, (found, k) in counted.items()}
     words, kind = _cells(len(grams))
     size = log2_cells(max(map(len, grams.values()), default=0))
     cells = np.zeros((words, 1 << size), kind)
@@ -104,8 +112,8 @@ def fit(rows: list[tuple[str, str]], *, n: int = 4) -> LanguageFilter:
 
 
 def learned(docs: DataFrame, *, most: int = 4000, n: int = 4) -> LanguageFilter:
-    """The filter of training_rows(docs), as of fit(): its size follows from how many n-grams the sample holds, and none is left
-    out. Whole texts are cut and the filter's blocks filled on the executors; the driver gets the filter."""
+    """The filter of training_rows(docs), as of fit(): its size follows from how many n-grams the sample holds. Whole texts are cut
+    and the filter's blocks filled on the executors; the driver gets the filter, and a count for each language."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +121,12 @@ def learned(docs: DataFrame, *, most: int = 4000, n: int = 4) -> LanguageFilter:
                 found = grams_in(text, n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64))], names=["lang", "gram"])
 
-    grams = table(training_rows(docs, most=most).mapInArrow(cut, "lang string, gram long").distinct(), "op10-grams")
+    sample = table(training_rows(docs, most=most).filter(F.octet_length("text") > 0), "op10-sample")
+    texts = F.create_map(*[F.lit(x) for r in sample.groupBy("lang").count().collect() for x in (r["lang"], float(r["count"]))] or [F.lit(""), F.lit(1.0)])
+    share = F.count("*") / texts[F.col("lang")]
+    shares_ = sample.mapInArrow(cut, "lang string, gram long").groupBy("lang", "gram").agg(share.alias("share"))
+    own = F.col("share") >= OWN * F.max("share").over(Window.partitionBy("gram"))  # a row for each language
+    grams = table(shares_.withColumn("own", own).filter("own").select("lang", "gram"), "op10-grams")
     counts = {r["lang"]: r["count"] for r in grams.groupBy("lang").count().collect()}
     langs = sorted(counts)
     words, kind = _cells(len(langs))
