@@ -86,6 +86,54 @@ def cascade_paths(edge_table: DataFrame, start: str | DataFrame | None = None, m
     return reduce(DataFrame.unionAll, levels)
 
 
+def distances_to(risk: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
+    """target, node and distance: how many hops along risk (disrupted, impacted) from a node to each target (target) at least, up to
+    max_hops. Each hop goes backward from the nodes that the last one found."""
+    seen = materialize(targets.filter(F.col("target").isNotNull()).select("target", F.col("target").alias("node"), F.lit(0).alias("distance")).distinct(), "distances")
+    levels = [seen]
+    for hop in range(1, max_hops + 1):
+        before = levels[-1].select("target", F.col("node").alias("impacted")).join(risk, "impacted").select("target", F.col("disrupted").alias("node")).distinct()
+        new = before.join(reduce(DataFrame.unionAll, levels).select("target", "node"), ["target", "node"], "left_anti")
+        levels.append(materialize(new.withColumn("distance", F.lit(hop)), "distances"))
+        if levels[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionAll, levels)
+
+
+def paths_to(edge_table: DataFrame, pairs: DataFrame, max_hops: int = 5, limit: int | None = None) -> DataFrame:
+    """start, target, path and hops of all simple paths of 1 to max_hops hops along risk from a start to its target (pairs: start,
+    target); with a limit, of each pair the first `limit` by hops, then names.
+
+    Nodes are labelled with their distance to a target first; a path goes on only to nodes from which its target can still be
+    reached in the hops that are left, and a pair that has its limit goes no further.
+    """
+    if max_hops < 0:
+        raise ValueError("max_hops is negative")
+    wanted = materialize(pairs.select("start", "target").filter("start IS NOT NULL AND target IS NOT NULL AND start <> target").distinct(), "pairs")
+    risk = materialize(risk_adjacency(edge_table), "risk")
+    labels = materialize(distances_to(risk, wanted.select("target"), max_hops), "labels").select("target", F.col("node").alias("impacted"), "distance")
+    at = wanted.select("start", "target", F.array("start").alias("path"), F.lit(0).cast("long").alias("had"))
+    levels = []
+    for hop in range(1, max_hops + 1):
+        step = at.join(risk, F.element_at("path", -1) == F.col("disrupted")).filter(~F.array_contains("path", F.col("impacted")))
+        step = step.join(labels, ["target", "impacted"]).filter(F.col("distance") <= max_hops - hop)
+        made = materialize(step.select("start", "target", F.concat("path", F.array("impacted")).alias("path"), "had"), "paths-to")
+        there = F.element_at("path", -1) == F.col("target")
+        done = made.filter(there)
+        if limit is not None:
+            place = F.row_number().over(Window.partitionBy("start", "target").orderBy("path"))
+            done = done.withColumn("place", place).filter(F.col("had") + F.col("place") <= limit)
+        done = materialize(done, "paths-done")
+        levels.append(done.select("start", "target", "path", F.lit(hop).alias("hops")))
+        at = made.filter(~there)
+        if limit is not None:
+            found = done.groupBy("start", "target").agg(F.count("*").alias("more"))
+            at = at.join(found, ["start", "target"], "left").withColumn("had", F.col("had") + F.coalesce("more", F.lit(0))).filter(F.col("had") < limit).drop("more")
+    if not levels:
+        return edge_table.sparkSession.createDataFrame([], "start string, target string, path array<string>, hops int")
+    return reduce(DataFrame.unionAll, levels)
+
+
 def first_paths(paths: DataFrame, limit: int) -> DataFrame:
     """The first `limit` paths of each start by hops, then names; rank counts from 1."""
     w = Window.partitionBy("start").orderBy("hops", "path")

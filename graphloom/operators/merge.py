@@ -73,6 +73,19 @@ def keep_best(judged: DataFrame, order: tuple[str, ...] = ("extractor_ord", "ord
     return kept.select(*[F.col(c) if c in KEY else F.col("__best")[c].alias(c) for c in good.columns], "first_ord")
 
 
+def state_rows(judged: DataFrame, order: tuple[str, ...] = ("extractor_ord", "ord")) -> DataFrame:
+    """keep_best() of some triples, as a state that combine() adds others to."""
+    return keep_best(judged, order).drop("reason")
+
+
+def combine(states: DataFrame, order: tuple[str, ...] = ("extractor_ord", "ord")) -> DataFrame:
+    """One state of several: of each triple the best row and the first place. States may come in any order and more than once."""
+    rest = [c for c in states.columns if c not in (*KEY, "first_ord")]
+    best = F.min_by(F.struct(*rest), F.struct(-F.col("confidence"), *order))
+    kept = states.groupBy(*KEY).agg(best.alias("__best"), F.min("first_ord").alias("first_ord"))
+    return kept.select(*[F.col(c) if c in (*KEY, "first_ord") else F.col("__best")[c].alias(c) for c in states.columns])
+
+
 def kept_counts(judged: DataFrame, order: tuple[str, ...] = ("extractor_ord", "ord")) -> DataFrame:
     """By extractor, how many rows were new or better than all before them with the same key."""
     good = judged.filter(F.col("reason").isNull()).select(*KEY, *order, *[c for c in ("extractor", "confidence") if c not in order])

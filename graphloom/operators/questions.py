@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.storage import materialize
 
-from .graph import cascade_paths, first_paths, nodes, path_evidence, path_text
+from .graph import cascade_paths, first_paths, nodes, path_evidence, path_text, paths_to
 from .responses import CompletionProvider, complete
 from .spans import occurrences
 
@@ -112,13 +112,14 @@ def answer_questions(questions: DataFrame, edge_table: DataFrame, *, max_hops: i
     """
     linked = materialize(link(questions, nodes(edge_table)), "linked")
     known = linked.filter(F.col("start").isNotNull()).select("id", "start", "target")
-    paths = cascade_paths(edge_table, known.select("start"), max_hops, None if target_first else max_paths)
+    aimless = known.filter(F.col("target").isNull()) if target_first else known
+    paths = cascade_paths(edge_table, aimless.select("start"), max_hops, max_paths)
     hits = F.col("target").isNull() | (F.element_at("path", -1) == F.col("target"))
+    chosen = aimless.join(first_paths(paths, max_paths), "start").filter(hits)
     if target_first:
-        w = Window.partitionBy("id").orderBy("hops", "path")
-        chosen = known.join(paths, "start").filter(hits).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_paths)
-    else:
-        chosen = known.join(first_paths(paths, max_paths), "start").filter(hits)
+        w = Window.partitionBy("start", "target").orderBy("hops", "path")
+        aimed = paths_to(edge_table, known.select("start", "target"), max_hops, max_paths).withColumn("rank", F.row_number().over(w))
+        chosen = chosen.unionByName(known.join(aimed, ["start", "target"]), allowMissingColumns=True)
     chosen = materialize(chosen, "chosen")
     depth = chosen.groupBy("id").agg(F.max("hops").alias("max_depth"), F.count("*").alias("paths"))
     selected = deepest(chosen, max_selected)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexicon import Lexicon
@@ -10,10 +10,13 @@ from graphloom.functions.lexicon import Lexicon
 from .resolve import is_anchor
 
 
-def relation_counts(triples: DataFrame) -> DataFrame:
-    """relation, n and bar, the most frequent first, ties by name."""
-    counted = triples.groupBy("relation").agg(F.count("*").alias("n"))
-    return counted.withColumn("bar", F.expr("repeat('█', int(n))")).orderBy(F.col("n").desc(), "relation")
+def relation_counts(triples: DataFrame, widest: int = 1_000_000) -> DataFrame:
+    """relation, n and bar, the most frequent first, ties by name. A bar has a block for each triple, or, if the longest would have
+    more than `widest`, as many of them as its share."""
+    counted = triples.groupBy("relation").agg(F.count("*").alias("n"))  # a row for each relation
+    largest = F.max("n").over(Window.partitionBy(F.lit(0)))
+    size = F.when(largest <= widest, F.col("n")).otherwise(F.ceil(F.col("n") * widest / largest))
+    return counted.withColumn("size", size.cast("int")).withColumn("bar", F.expr("repeat('█', size)")).drop("size").orderBy(F.col("n").desc(), "relation")
 
 
 def companies(triples: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:

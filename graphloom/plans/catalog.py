@@ -13,6 +13,7 @@ from graphloom.operators import annotate, asof, evaluate, graph, layout, merge,
 from graphloom.operators.resolve import canon_table, filer_table
 from graphloom.sources import ledger
 from graphloom.sources.storage import materialize, new_folder
+from graphloom.sources.store import BucketStore
 from graphloom.streaming import incremental
 
 from . import drivers
@@ -466,6 +467,25 @@ def q_cascade_target(spark, sf_dir):
     return graph.to_target(_top(_edges(spark, sf_dir)), "NATION_7").select("start", graph.path_text(F.col("path")).alias("path"))
 
 
+@query(f"{_PATHS} SELECT start, array_to_string(path, ' -> ') AS path, hops FROM paths WHERE path[-1] = 'NATION_7' QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops, path) <= 3")
+def q_cascade_to_target(spark, sf_dir):
+    """The target before the limit: paths are pruned by their distance to it."""
+    edge_table = _edges(spark, sf_dir)
+    pairs = graph.nodes(edge_table).select(F.col("name").alias("start"), F.lit("NATION_7").alias("target"))
+    return graph.paths_to(edge_table, pairs, 5, 3).select("start", graph.path_text(F.col("path")).alias("path"), "hops")
+
+
+@query(f"{_JUDGED} SELECT head, relation, tail, confidence, extractor, ord, source_file, first_ord // 100000 AS first_extractor, (first_ord % 100000)::INT AS first_ord FROM merged WHERE k = 1")
+def q_merge_kept_up(spark, sf_dir):
+    """The merged state after three batches of files, in another order than the files', one of which comes twice."""
+    raw = view(spark, sf_dir, "raw")
+    store = BucketStore(spark, new_folder(spark, "state"), merge.KEY, 8)
+    for batch, part in enumerate((2, 0, 2, 1)):
+        some = raw.filter(F.pmod(F.crc32(F.col("source_file").cast("binary")), F.lit(3)) == part)
+        store.merge(merge.state_rows(merge.judge(some, LEXICON)), merge.combine, batch)
+    return store.read().select("head", "relation", "tail", "confidence", "extractor", "ord", "source_file", F.col("first_ord.extractor_ord").cast("long").alias("first_extractor"), F.col("first_ord.ord").alias("first_ord"))
+
+
 _HOPS = "hops AS (SELECT start, path, unnest(range(1, len(path))) AS h FROM top), steps AS (SELECT start, path, h, e.* FROM hops JOIN evidence e ON e.disrupted = path[h] AND e.impacted = path[h + 1])"
 
 

@@ -15,6 +15,7 @@ from graphloom.operators import annotate, evaluate, graph, layout, merge, questi
 from graphloom.operators.resolve import filer_table, with_filer
 from graphloom.sources import files
 from graphloom.sources.storage import materialize
+from graphloom.sources.store import BucketStore
 from graphloom.streaming import incremental
 
 
@@ -53,16 +54,31 @@ def evaluate_answers(answers: DataFrame, make: Callable[[], responses.Completion
     return evaluate.answer_rows(evaluate.model_judge(good, "text", evaluate.ANSWER_ITEMS, ("unsupported_claims", "direction_errors"), make))
 
 
-def extract_new(spark: SparkSession, folder: str, out: str, make_provider=None, cap: int = 100, scope: str = "") -> None:
-    """Extracts from the files that came since the last call and replaces only their rows under out; errors are appended. A file
-    without triples is not taken again."""
+EXTRACTORS = (("rule_based", "rule_triples"), ("model", "model_triples"))
+
+
+def merged_store(spark: SparkSession, out: str) -> BucketStore:
+    return BucketStore(spark, f"{out}/state", merge.KEY)
+
+
+def keep_up(spark: SparkSession, out: str, done: DataFrame, lexicon: Lexicon, batch: int | None = None) -> None:
+    """Adds the triples of the files in done (source_file) to the merged state under out: only they are resolved and judged."""
+    parts = [(name, files.stored_triples(spark, f"{out}/{at}").join(done, "source_file", "left_semi")) for name, at in EXTRACTORS]
+    merged_store(spark, out).merge(merge.state_rows(merge.judge(merge.union_extractors(parts), lexicon)), merge.combine, batch)
+
+
+def extract_new(spark: SparkSession, folder: str, out: str, make_provider=None, cap: int = 100, scope: str = "", lexicon: Lexicon | None = None) -> None:
+    """Extracts from the files that came since the last call, replaces only their rows under out and adds their triples to the merged
+    state. A file without triples is not taken again; a batch that comes again changes nothing."""
 
     def work(read: DataFrame, batch: int) -> None:
         read = materialize(read, "new-filings")
-        files.write_by_file(extract_by_rules(read).drop("ord"), f"{out}/rule_triples")
+        done = read.select("source_file")
+        files.write_by_file(extract_by_rules(read), f"{out}/rule_triples", done, batch)
         found, errors = extract_by_model(read, make_provider, cap, f"{out}/answers", scope)
-        files.write_by_file(found.drop("ord"), f"{out}/model_triples")
-        files.write_errors(errors, f"{out}/errors")
+        files.write_by_file(found, f"{out}/model_triples", done, batch)
+        files.write_errors(errors, f"{out}/errors", done, batch)
+        keep_up(read.sparkSession, out, done, lexicon or Lexicon(), batch)
 
     incremental.process_new(spark, folder, f"{out}/checkpoint", work)
 
@@ -72,25 +88,26 @@ def run(spark: SparkSession, folder: str, out: str, *, make_provider=None, make_
     which ask only what they lack."""
     lexicon = lexicon or Lexicon()
     read = files.filings(spark, folder)
-    ruled = extract_by_rules(read, make_annotator)
-    ruled.write.mode("overwrite").parquet(f"{out}/rule_triples")
+    files.triple_store(spark, f"{out}/rule_triples").replace_all(extract_by_rules(read, make_annotator))
     asked, errors = extract_by_model(read, make_provider, cap, f"{out}/answers", scope)
-    asked.write.mode("overwrite").parquet(f"{out}/model_triples")
-    files.write_errors(errors, f"{out}/errors")
+    files.triple_store(spark, f"{out}/model_triples").replace_all(asked)
+    files.write_errors(errors, f"{out}/errors", read.select("source_file"))
+    parts = [(name, files.stored_triples(spark, f"{out}/{at}")) for name, at in EXTRACTORS]
+    merged_store(spark, out).replace_all(merge.state_rows(merge.judge(merge.union_extractors(parts), lexicon)))
     return merged_results(spark, folder, out, lexicon)
 
 
 def merged_results(spark: SparkSession, folder: str, out: str, lexicon: Lexicon | None = None) -> dict[str, DataFrame]:
-    """What follows extraction, from the triples under out; an extractor that wrote none counts as empty. The JSON document is an
+    """What follows extraction, from the merged state under out, without a look at all triples again. The JSON document is an
     export: all triples meet in one row of it."""
     lexicon = lexicon or Lexicon()
-    parts = [(name, files.stored_triples(spark, f"{out}/{at}")) for name, at in (("rule_based", "rule_triples"), ("model", "model_triples"))]
-    merged = merge.merge(parts, lexicon)
+    state = merged_store(spark, out)
+    merged = merge.sorted_triples(state.read()) if state.schema else merge.merge([(n, files.stored_triples(spark, f"{out}/{at}")) for n, at in EXTRACTORS], lexicon)
     merged.write.mode("overwrite").parquet(f"{out}/merged")
     merged = spark.read.parquet(f"{out}/merged")
     files.write_envelope(merged, f"{out}/merged_json", [(-F.col("confidence")).alias("c"), "head", "relation", "tail"])
     edge_table = edges_of(merged)
-    return {"merged": merged, "edges": edge_table, "relations": reports.relation_counts(merged), "companies": reports.companies(merged, lexicon), "per_file": reports.per_file(files.filings(spark, folder), parts[0][1])}
+    return {"merged": merged, "edges": edge_table, "relations": reports.relation_counts(merged), "companies": reports.companies(merged, lexicon), "per_file": reports.per_file(files.filings(spark, folder), files.stored_triples(spark, f"{out}/rule_triples"))}
 
 
 def ask(spark: SparkSession, edge_table: DataFrame, question: str, make_provider=None) -> tuple[DataFrame, str]:

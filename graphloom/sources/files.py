@@ -9,6 +9,8 @@ from pyspark.sql.utils import AnalysisException
 
 from graphloom.functions.schemas import ENVELOPE, ERRORS, TRIPLE
 
+from .store import BucketStore
+
 
 def filings(spark: SparkSession, folder: str, glob: str = "*_2023.txt") -> DataFrame:
     """(source_file, text): whole files, in no order. A missing folder, or no file in it, gives an empty table."""
@@ -38,19 +40,20 @@ def triples(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFra
     return read.select(F.posexplode("triples").alias("ord", "t")).select("t.*", "ord")
 
 
+def triple_store(spark: SparkSession, path: str) -> BucketStore:
+    """The triples of one extractor, by source_file: a file's rows are replaced as a whole, and there is no folder for each file."""
+    return BucketStore(spark, path, ("source_file",))
+
+
 def stored_triples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples that a run wrote as Parquet, with ord; no folder, or one without rows, gives an empty table. Where they were written
-    by file they have no ord: it is then their place within the file's rows."""
-    try:
-        read = spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return spark.createDataFrame([], f"{TRIPLE}, ord struct<source_file:string,source_sentence:string,head:string,relation:string,tail:string,confidence:double>")
-    if "ord" in read.columns:
-        return read
-    order = F.struct("source_file", "source_sentence", "head", "relation", "tail", "confidence")
-    return read.withColumn("ord", order)
+    """What a triple_store() holds, with ord; an empty table before anything was written."""
+    kind = spark.createDataFrame([], f"{TRIPLE}, ord struct<source_file:string,sent_pos:int,pos:int>").schema
+    return triple_store(spark, path).read(kind)
+
+
+def error_store(spark: SparkSession, path: str) -> BucketStore:
+    """Errors by source_file: those of files that a batch doesn't hold stay, and a batch that comes again adds none twice."""
+    return BucketStore(spark, path, ("source_file",))
 
 
 def write_envelope(df: DataFrame, path: str, order: list) -> None:
@@ -61,14 +64,15 @@ def write_envelope(df: DataFrame, path: str, order: list) -> None:
     rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_errors(df: DataFrame, path: str) -> None:
-    """Errors are appended: what earlier runs found stays."""
-    df.select(*[f.split()[0] for f in ERRORS.split(", ")]).write.mode("append").json(path)
+def write_errors(df: DataFrame, path: str, done: DataFrame | None = None, batch: int | None = None) -> None:
+    """The errors of the files in done (source_file; without it, of those that have errors) are replaced; all others stay."""
+    rows = df.select(*[f.split()[0] for f in ERRORS.split(", ")])
+    error_store(df.sparkSession, path).replace(rows, rows if done is None else done, batch)
 
 
-def write_by_file(df: DataFrame, path: str) -> None:
-    """Triples by source_file; a run replaces only the files that it has rows of, so a crash loses no other."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file").parquet(path)
+def write_by_file(df: DataFrame, path: str, done: DataFrame | None = None, batch: int | None = None) -> None:
+    """The triples of the files in done (source_file; without it, of those that have triples) are replaced, so a crash loses no other."""
+    triple_store(df.sparkSession, path).replace(df, df if done is None else done, batch)
 
 
 def write_copies(df: DataFrame, paths: list[str], write) -> None:

@@ -11,6 +11,7 @@ from graphloom.functions.lexicon import Lexicon
 from graphloom.operators import annotate, asof, evaluate, graph, layout, merge, questions, ranges, reports, resolve, responses, rules, spans
 from graphloom.plans import drivers, pipeline
 from graphloom.sources import files, ledger
+from graphloom.sources.store import BucketStore
 from graphloom.streaming import incremental
 
 LEX = Lexicon(canonical={"acme corp": "Acme", "acme": "Acme", "bolt": "Bolt", "ghost notes": None}, filers={"AC": "Acme"}, anchors=("Acme", "Bolt"))
@@ -441,17 +442,78 @@ def test_stream_of_files(spark, tmp_path):
 
 
 def test_writes(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "h"), ("b", "h")], "source_file string, head string")
+    rows = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "h")], "source_file string, head string")
     files.write_by_file(rows, str(tmp_path / "t"))
-    files.write_by_file(spark.createDataFrame([("a", "new")], rows.schema), str(tmp_path / "t"))
-    assert {(r["source_file"], r["head"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", "new"), ("b", "h")}
+    done = spark.createDataFrame([("a",), ("c",)], "source_file string")  # c has no triple any more
+    for _ in range(2):
+        files.write_by_file(spark.createDataFrame([("a", "new")], rows.schema), str(tmp_path / "t"), done, 1)
+        assert {(r["source_file"], r["head"]) for r in files.stored_triples(spark, str(tmp_path / "t")).collect()} == {("a", "new"), ("b", "h")}
     places = [str(tmp_path / "x"), str(tmp_path / "y")]
     files.write_copies(rows, places, lambda df, p: df.write.parquet(p))
-    assert [spark.read.parquet(p).count() for p in places] == [2, 2]
+    assert [spark.read.parquet(p).count() for p in places] == [3, 3]
     bad = spark.createDataFrame([("s", "e", "f")], schemas.ERRORS)
-    files.write_errors(bad, str(tmp_path / "e"))
-    files.write_errors(bad, str(tmp_path / "e"))
-    assert spark.read.json(str(tmp_path / "e")).count() == 2
+    for batch in (0, 0, 1):  # the first batch comes twice
+        files.write_errors(bad if batch == 0 else bad.withColumn("source_file", F.lit("g")), str(tmp_path / "e"), batch=batch)
+    assert sorted(r["source_file"] for r in files.error_store(spark, str(tmp_path / "e")).read().collect()) == ["f", "g"]
+
+
+def test_store_of_many_files(spark, tmp_path):
+    """10,000 filings give a bounded number of files; a broken attempt leaves nothing that is read; old versions go."""
+    path = str(tmp_path / "s")
+    store = BucketStore(spark, path, ("source_file",), 8)
+    rows = spark.range(10_000).select(F.concat(F.lit("f"), "id").alias("source_file"), F.lit(0).alias("x"))
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    store.replace(rows, rows, 0)
+    assert len(list((tmp_path / "s" / "data").glob("*/*/*.parquet"))) <= 8 and store.read().count() == 10_000
+    broken = tmp_path / "s" / "data" / "1-broken" / "__bucket=0"
+    broken.mkdir(parents=True)
+    (broken / "x.parquet").write_text("half")
+    for batch in range(1, 5):
+        some = rows.filter(F.col("source_file") == f"f{batch}").withColumn("x", F.lit(batch))
+        BucketStore(spark, path, ("source_file",)).replace(some, some, batch)
+        store = BucketStore(spark, path, ("source_file",))
+        store.replace(some, some, batch)  # comes again
+    assert store.read().count() == 10_000 and {r["source_file"]: r["x"] for r in store.read().filter("x > 0").collect()} == {f"f{k}": k for k in range(1, 5)}
+    assert len(list((tmp_path / "s" / "data").glob("*"))) < 12
+    store.replace_all(rows.limit(3), None)
+    assert BucketStore(spark, path, ("source_file",)).read().count() == 3
+
+
+def test_merged_state_equals_a_full_merge(spark, tmp_path):
+    """Files in any order, some twice: the state is what a merge of all gives."""
+    rng = random.Random(3)
+    names = ["Acme Corp.", "bolt", "Cog Works", "Dyno Labs", "we", "AB", None, "Ghost Notes"]
+    rows = [(rng.choice(names), rng.choice(["supplier_of", "partner_of", "bad"]), rng.choice(names), rng.choice([None, 0.5, 0.7, 0.7]), f"AC_{i % 12}.txt", "s", i, rng.choice(["a", "b"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "head string, relation string, tail string, confidence double, source_file string, source_sentence string, ord int, extractor string").withColumn("extractor_ord", (F.col("extractor") == "b").cast("int"))
+    want = {tuple(r[c] for c in ("head", "relation", "tail", "confidence", "ord", "first_ord")) for r in merge.keep_best(merge.judge(df, LEX)).collect()}
+    store = BucketStore(spark, str(tmp_path / "state"), merge.KEY, 4)
+    order = [[3, 4, 5], [0, 11, 7], [3, 4, 5], [1, 2], [10, 9, 8, 6], [6, 0]]
+    for batch, some in enumerate(order):
+        store.merge(merge.state_rows(merge.judge(df.filter(F.col("source_file").isin([f"AC_{k}.txt" for k in some])), LEX)), merge.combine, batch)
+    got = {tuple(r[c] for c in ("head", "relation", "tail", "confidence", "ord", "first_ord")) for r in store.read().collect()}
+    assert got == want and want
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_paths_to_targets(spark, limit):
+    """Random graphs against all simple paths; a dead end is never entered, nor a node too far from its target."""
+    rng = random.Random(11)
+    names = [f"n{i}" for i in range(9)]
+    pairs = {(a, b) for a in names for b in names if a != b and rng.random() < 0.25} | {("n0", "dead"), ("dead", "end")}
+    made = spark.createDataFrame([(a, b, "supplier_of", 0.5, "f", "s", i) for i, (a, b) in enumerate(sorted(pairs))], "src string, dst string, relation string, confidence double, source_file string, source_sentence string, edge_ord int")
+    wanted = [("n0", "n5"), ("n0", "n7"), ("n3", "n0"), ("n1", "end"), ("n2", "n2"), (None, "n1"), ("n4", "nowhere")]
+    got = graph.paths_to(made, spark.createDataFrame(wanted, "start string, target string"), 4, limit).collect()
+    every = graph.cascade_paths(made, max_hops=4).collect()
+    want = []
+    for s, t in wanted:
+        if s and s != t:
+            found = sorted((r["hops"], r["path"]) for r in every if r["start"] == s and r["path"][-1] == t)
+            want += [(s, t, p) for _, p in found[:limit]]
+    assert sorted((r["start"], r["target"], r["path"]) for r in got) == sorted(want) and want
+    risk = graph.risk_adjacency(made)
+    far = graph.distances_to(risk, spark.createDataFrame([("n5",)], "target string"), 4).collect()
+    assert {r["node"] for r in far}.isdisjoint({"dead", "end"}) and {r["distance"] for r in far if r["node"] == "n5"} == {0}
 
 
 def test_http_provider():
@@ -491,7 +553,7 @@ def test_answers_and_new_files(spark, tmp_path):
     for name in ("AMD_2023.txt", "MU_2023.txt"):
         (folder / name).write_text("In most years Acme Works supplies wafers to Bolt Labs and others. The rest of it is dull and long.", "utf-8")
         pipeline.extract_new(spark, str(folder), str(tmp_path / "out"), lambda: lambda prompt: "no json")
-    found = spark.read.parquet(str(tmp_path / "out" / "rule_triples"))
+    found = files.stored_triples(spark, str(tmp_path / "out" / "rule_triples"))
     assert sorted(r["source_file"] for r in found.collect()) == ["AMD_2023.txt", "MU_2023.txt"]
 
 

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pytest
 from conftest import SF, duck, same
@@ -22,3 +24,9 @@ def test_entry(spark):
 
 def test_rows_only(spark):
     catalog.QUERIES["q_annotate_extract"](spark, SF).collect()
+
+
+def test_entry_without_a_package_that_others_made():
+    """The core queries stay if something that only the training-data operators need isn't installed."""
+    code = "import sys; sys.modules['xxhash'] = None; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'q_sentences' in e.queries() and not any(k.startswith('op') for k in e.queries()); print('ok')"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout == "ok\n"
