@@ -27,6 +27,12 @@ _VERBS = {v for t in TRIGGERS for v in t[1]}
 _NOUNS = {n for t in TRIGGERS for n in t[2]}
 
 
+def trigger_forms() -> list[str]:
+    """All words that the endings trace back to a trigger."""
+    triggers = _VERBS | _NOUNS
+    return sorted(triggers | {t.removesuffix(b) + a for t in triggers for a, b in _ENDINGS if t.endswith(b)})
+
+
 class PlainAnnotator:
     """Needs no model: capitalised runs are organisations, endings give lemmas of trigger words, a trigger verb's neighbours to the
     left and right are its subject and object, and prepositions hang on the trigger before them."""
@@ -34,10 +40,8 @@ class PlainAnnotator:
     @staticmethod
     def may_matter(sentence: Column) -> Column:
         """False for sentences in which this annotator finds no trigger: none of the forms that its endings trace back to one."""
-        triggers = _VERBS | _NOUNS
-        forms = triggers | {t.removesuffix(b) + a for t in triggers for a, b in _ENDINGS if t.endswith(b)}
         # All maximal runs of letters a to z hold at least the words that are a form; a hash set beats an alternation of as many.
-        return F.arrays_overlap(F.split(F.lower(sentence), "[^a-z]+"), F.array(*map(F.lit, sorted(forms))))
+        return F.arrays_overlap(F.split(F.lower(sentence), "[^a-z]+"), F.array(*map(F.lit, trigger_forms())))
 
     def lemma(self, word: str) -> str:
         low = word.lower()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from graphloom.functions.schemas import ENVELOPE, ERRORS, TRIPLE
 
+from .ledger import qualified
 from .store import BucketStore
 
 
@@ -24,6 +29,22 @@ def filings(spark: SparkSession, folder: str, glob: str = "*_2023.txt") -> DataF
     return read.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
 
 
+def write_filings(df: DataFrame, folder: str) -> None:
+    """A file for each row (source_file, text), in UTF-8; a task that runs again writes the same files again."""
+    where = qualified(df.sparkSession, folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(where)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch["source_file"], batch["text"], strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    df.select("source_file", "text").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
 def triples(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
     """Triples of an envelope {"total", "triples"}, with ord. A missing file is an error unless missing_ok; so is an envelope
     whose triples are no list."""
