@@ -211,11 +211,12 @@ def plain_quality(t):
     base = n < 50 or 100 * len(covered) > 50 * n
     upper, letters = sum(c.isupper() for c in t), sum(c.isalpha() for c in t)
     bad = 10 * symbols > n or 5 * t.count("!") > n or 2 * upper > letters or 10 * twice > 3 * len(lines) or 2 * chars < 5 * n or chars > 12 * n
+    bad = bad or 10 * len(re.findall("[0-9]", t)) > 3 * chars or 10 * len(re.findall("https?://", t)) > n or 20 * sum(len(w) >= 60 for w in words) > n or 10 * len(re.findall(r"\.\.\.\n", t)) > 3 * len(lines)
     return n, chars, symbols, twice, len(covered), base, not base and not bad
 
 
 def test_quality(spark, docs, none):
-    extra = spark.createDataFrame([(200, "a b c " * 30), (201, "A B! " * 60), (202, "same line here\n" * 40), (203, "x y\n\n \nx y\n z"), (204, "# " * 70)], "doc_id long, text string")
+    extra = spark.createDataFrame([(200, "a b c " * 30), (201, "A B! " * 60), (202, "same line here\n" * 40), (203, "x y\n\n \nx y\n z"), (204, "# " * 70), (205, "12 ab 345 " * 30), (206, "see http://x.y and " * 20), (207, ("word and " * 9 + "z" * 70 + " ") * 6), (208, "some line that goes on and...\n" + "and another that ends there\n" * 1 + "\n".join(f"more of it {i} again..." for i in range(20)))], "doc_id long, text string")
     more = docs.select("doc_id", "text").unionByName(extra)
     got = Counter((r["doc_id"], *list(r)[1:]) for r in quality.judged(more).collect())
     assert got == Counter((d, *plain_quality(t)) for d, t in pairs(more))
@@ -224,6 +225,24 @@ def test_quality(spark, docs, none):
     assert quality.judged(docs, rules={}).filter("kept = base_failed").count() == 0
 
 
+def test_order_of_rules_is_conditional():
+    """b rejects most for its cost; then c, whose rows b leaves, comes before a, most of whose rows b has taken."""
+    rejected, cost = {0b000: 50, 0b011: 40, 0b010: 10, 0b001: 2, 0b100: 8}, {"a": 1.0, "b": 1.0, "c": 1.0}
+    assert quality.best_order(list("abc"), rejected, cost) == ["b", "c", "a"]
+    assert quality.best_order(list("abc"), rejected, cost | {"b": 100.0}) == ["a", "c", "b"]
+    assert quality.best_order(list("abc"), {0: 5}, cost | {"c": 0.5}) == ["c", "a", "b"]
+    assert quality.expected_cost(list("bca"), list("abc"), rejected, cost) == 110 + 60 + 52
+
+
+def test_measured_rules(spark):
+    """A rule that costs much and one that costs little are told apart, and every sampled row is counted."""
+    texts = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(400)) + ("!" * 90 if i % 4 == 0 else "")) for i in range(200)], "doc_id long, text string")
+    rules = {"dear": lambda: F.regexp_count("text", F.lit(r"(\p{L}+\p{N}*)+x")) > 0, "cheap": lambda: F.col("n_words") > 10**6, "marks": quality.RULES["exclamations"]}
+    rejected, cost = quality.measured(texts, rules)
+    assert sum(rejected.values()) == 200 and {bits: n for bits, n in rejected.items() if bits} == {0b100: 50}
+    assert cost["dear"] > cost["cheap"] and quality.best_order(list(rules), rejected, cost)[0] == "marks"
+
+
 # 4 WARC
 
 
