@@ -237,7 +237,7 @@ def test_order_of_rules_is_conditional():
 def test_measured_rules(spark):
     """A rule that costs much and one that costs little are told apart, and every sampled row is counted."""
     texts = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(400)) + ("!" * 90 if i % 4 == 0 else "")) for i in range(200)], "doc_id long, text string")
-    rules = {"dear": lambda: F.regexp_count("text", F.lit(r"(\p{L}+\p{N}*)+x")) > 0, "cheap": lambda: F.col("n_words") > 10**6, "marks": quality.RULES["exclamations"]}
+    rules = {"dear": lambda: F.regexp_count("text", F.lit(r"\p{L}+\p{N}+\p{L}+\p{N}+q")) > 0, "cheap": lambda: F.col("n_words") > 10**6, "marks": quality.RULES["exclamations"]}
     rejected, cost = quality.measured(texts, rules)
     assert sum(rejected.values()) == 200 and {bits: n for bits, n in rejected.items() if bits} == {0b100: 50}
     assert cost["dear"] > cost["cheap"] and quality.best_order(list(rules), rejected, cost)[0] == "marks"
