@@ -24,7 +24,13 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
+    # The small views that many queries build on are made once for all tests.
+    from graphloom.plans import views
+
+    kept, write = {}, views.materialize
+    views.materialize = lambda df, name: kept[name] if name in kept else kept.setdefault(name, write(df, name))
     yield made
+    views.materialize = write
     made.stop()
 
 
