@@ -95,6 +95,7 @@ def shuffled(docs: DataFrame, shards: int = 8, *, row_col: str | None = None, ce
 
     # The second permutation is the order of a hash of the row's number.
     moved = numbered.withColumn(cell, to_cell(F.col(row))).withColumn(key, F.xxhash64(F.lit(seed), F.col(row)))
+    moved = moved.repartition(int(sizes.size), cell)  # a few cells for each task, whatever number of partitions shuffles have
     place_in = F.row_number().over(Window.partitionBy(cell).orderBy(key, row))
     first = docs.sparkSession.createDataFrame(list(enumerate((starts.ravel() - 1).tolist())), f"{cell} long, {at} long")
     out = moved.withColumn(key, place_in).join(F.broadcast(first), cell)  # a row for each cell
