@@ -1,23 +1,27 @@
-"""One text of each group of near copies: Jaccard similarity of five-word shingle sets.
-
-1. Each text gives its set of shingle hashes; equal sets become one.
-2. A set is listed under 24 keys, each made of 6 MinHash values. Two sets with a similarity of 0.8 meet in no list with a
-   probability of 0.0007, more similar ones with less.
-3. Pairs of a short list are all candidates. In a longer one they are a maximum spanning forest and each set's nearest ones
-   by the share of equal MinHash values, so that rows grow with the sets and not with their pairs.
-4. The similarity of each candidate pair is computed from both whole texts; only pairs that reach the bound are linked.
-5. The longer lists that the links leave in more than one component are compared in blocks, each set with all sets of other
+"""One text of each group of near copies (Jaccard similarity of five-word shingle sets), found by SimHash and pivots.
+
+1. Each text gives its set of shingle hashes; equal sets become one. Each shingle is hashed to 512 bits; the text's fingerprint
+   is their majority (SimHash), in which sets with a similarity of 0.8 differ by 15 % of the bits, unrelated ones by half.
+2. Pivots are reference fingerprints. A text's distance to one is the sum of the Hamming distances of its shingles' hashes to it:
+   distances to majorities alone would tell less, as those forget how clear each bit was. In 64 tables of three groups of 32
+   pivots and their complements, a text is listed under the nearest one of each group. Two sets with a similarity of 0.8 meet in
+   no list with a probability of 0.0005, more similar ones with less.
+3. In a list each text's nearest one by its fingerprint is a candidate; pairs beyond the bits that near copies differ by are
+   discarded. The similarity of the candidates of a text that are nearest over all lists is computed from both whole texts; only
+   pairs that reach the bound are linked. So rows grow with the sets and not with their pairs.
+4. The lists that the links leave in more than one component are compared in blocks, each set with all sets of other
    components, and the whole texts of those that may be alike decide. Components then hold every link within a list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.sources.storage import scratch
@@ -27,12 +31,17 @@ from .simhash import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BANDS, _ROWS = 24, 6
-_XOR, _TIMES = np.random.default_rng(17).integers(1, 1 << 63, (2, _BANDS * _ROWS), dtype=np.uint64)
-_TIMES |= np.uint64(1)
+#: Bits of a fingerprint, pivots of a group (their complements count too), and the probability that two sets with a similarity of
+#: 0.8 are nearest to the same one (measured by test_nearest_pivots).
+_BITS, _PIVOTS, _SAME = 512, 32, 0.484
+_XOR = np.random.default_rng(17).integers(1, 1 << 63, _BITS // 64 + 2, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Sets with the bound's similarity have a share of equal MinHash values this much below it with a probability under 1e-6.
-_SLACK = 0.2
+#: Near copies differ in more of the 128 bits that lists hold with a probability under 1e-5.
+_FAR_SHORT = 44
+#: Sets of a list of which all are compared with each other in one task.
+_HOT = 1024
+#: A byte's bits as the bytes of a long.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).copy().view(np.uint64).ravel()
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,69 +66,174 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     return h[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
 
 
-def _signature_batches(words: int):
+def clear_bits(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set of shingle hashes (offsets at; none is empty) and each of _BITS bits: how many of the shingles' hashes have it
+    set, less those that haven't."""
+    n = np.diff(at)
+    parts = -(-n // 255)  # of at most 255 hashes: eight counts fit into a long
+    own = np.concatenate([[0], np.cumsum(parts)])
+    cut = np.repeat(at[:-1] - 255 * own[:-1], parts) + 255 * np.arange(own[-1])
+    out = np.empty((len(n), _BITS), np.int32)
+    for k in range(_BITS // 64):
+        octets = mixed(h ^ _XOR[k]).view(np.uint8).reshape(-1, 8)
+        for j in range(8):
+            lanes = np.add.reduceat(_LANES[octets[:, j]], cut).view(np.uint8).reshape(-1, 8)
+            at_bit = 64 * k + 8 * j
+            out[:, at_bit : at_bit + 8] = np.add.reduceat(lanes, own[:-1], axis=0, dtype=np.int32)
+    return 2 * out - n[:, None].astype(np.int32)
+
+
+def shape(sets: int) -> tuple[int, int]:
+    """How many tables of how many groups of pivots list so many sets: lists hold some hundred unrelated ones at most, and 0.0005 of
+    the pairs with a similarity of 0.8 meet in none."""
+    groups = 3 + max(0, math.ceil((math.log2(max(sets, 1)) - 26) / math.log2(2 * _PIVOTS)))
+    return math.ceil(math.log(0.0005) / math.log(1 - _SAME**groups)), groups
+
+
+def pivot_prints(tables: int, groups: int, seed: int = 7) -> np.ndarray:
+    """Reference fingerprints, a column each: -1 is a clear bit."""
+    return (2 * np.random.default_rng(seed).integers(0, 2, (_BITS, tables * groups * _PIVOTS), dtype=np.int8) - 1).astype(np.float32)
+
+
+def nearest_pivots(clear: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For each row of clear_bits() and each group: the nearest pivot, or _PIVOTS more if its complement is nearest.
+
+    The shingles of a set are at a distance of (n * _BITS - clear @ pivot) / 2 from a pivot, and of what is left of n * _BITS
+    from its complement.
+    """
+    balance = (clear.astype(np.float32) @ pivots).reshape(len(clear), -1, _PIVOTS)
+    first = np.abs(balance).argmax(axis=2)
+    return first + _PIVOTS * (np.take_along_axis(balance, first[:, :, None], 2)[:, :, 0] < 0)
+
+
+def _signature_batches(words: int, tables: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = pivot_prints(tables, groups)
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             for a, b in rounds(np.diff(offsets)):
                 h, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                low = np.zeros((len(n), _BANDS * _ROWS), np.uint64)
                 one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                keys, cells, sketch = np.zeros((len(n), tables), np.int64), np.zeros((len(n), tables), np.uint32), np.zeros((len(n), _BITS // 8), np.uint8)
                 if len(some):
-                    cut = at[:-1][some]
-                    for k in range(_BANDS * _ROWS):
-                        low[some, k] = np.minimum.reduceat((h ^ _XOR[k]) * _TIMES[k], cut)
-                    one[some], two[some] = (np.add.reduceat(mixed(h ^ _XOR[i]), cut) for i in (0, 1))
-                keys = np.zeros((len(n), _BANDS), np.uint64) + np.arange(_BANDS, dtype=np.uint64)
-                for r in range(_ROWS):
-                    keys = mixed(keys * _STEP + low[:, r::_ROWS])
-                sketch = ((low * _STEP) >> np.uint64(56)).astype(np.uint8)
+                    one[some], two[some] = (np.add.reduceat(mixed(h ^ x), at[:-1][some]) for x in _XOR[-2:])
+                for c in range(0, len(some), 256):
+                    part = some[c : c + 256]
+                    low = at[part[0]]
+                    clear = clear_bits(h[low : at[part[-1] + 1]], np.append(at[part], at[part[-1] + 1]) - low)
+                    near = nearest_pivots(clear, pivots).reshape(len(part), tables, groups)
+                    key = np.broadcast_to(np.arange(tables), (len(part), tables))
+                    for g in range(groups):
+                        key = key * (2 * _PIVOTS) + near[:, :, g]
+                    cells[part] = key % (1 << 31)
+                    # Sets lie in a list by size: the last 16 bits are 256 times its logarithm.
+                    keys[part] = (key << 16) + (256 * np.log2(n[part])).astype(np.int64)[:, None]
+                    sketch[part] = np.packbits(clear > 0, axis=1)
                 columns = [batch.column(c).slice(a, b - a) for c in ("row_id", "doc_id")]
                 columns += [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n.astype(np.int64))]
-                columns += [pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "one", "two", "n", "keys", "sketch"])
+                columns += [pa.array(list(keys), pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(x)) for x in sketch[:, :16].copy().view(np.int64).T)]
+                columns += [pa.array([s.tobytes() for s in x], pa.binary()) for x in (sketch, cells)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "one", "two", "n", "keys", "print_a", "print_b", "sketch", "cells"])
 
     return run
 
 
-def _equal_values(sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For 64 rows at a time, the first one's place and the number of values that each shares with every row."""
-    for a in range(0, len(sketch), 64):
-        yield a, (sketch[a : a + 64, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.uint8)
-
-
-def nearest(sketch: np.ndarray, least: float, most: int = 4) -> list[tuple[int, int]]:
-    """Pairs of rows of which at least `least` of the columns are equal: a maximum spanning forest, and each row's `most` best."""
-    n, width = sketch.shape
-    equal = np.zeros((n, n), np.uint8)
-    for a, rows in _equal_values(sketch):
-        equal[a : a + 64] = rows
-    np.fill_diagonal(equal, 0)
-    floor = least * width
-    out = set()
-    best, parent, todo = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-    for _ in range(n):
-        i = int(np.argmax(np.where(todo, best, -1)))
-        if best[i] >= floor:
-            out.add((min(i, int(parent[i])), max(i, int(parent[i]))))
-        todo[i] = False
-        nearer = equal[i] > best
-        best[nearer], parent[nearer] = equal[i][nearer], i
-    top = np.argpartition(equal, max(0, n - most), axis=1)[:, -most:]
-    for i, row in enumerate(top.tolist()):
-        out.update((min(i, j), max(i, j)) for j in row if equal[i, j] >= floor)
-    return sorted(out)
-
-
-def _long_lists(least: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group["node"].to_numpy(np.int64)
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(nodes), -1)
-        found = np.array(nearest(sketch, least), np.int64).reshape(-1, 2)
-        a, b = nodes[found[:, 0]], nodes[found[:, 1]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def far(n: np.ndarray) -> np.ndarray:
+    """Near copies, the smaller of n shingles, differ in more bits of their fingerprints with a probability under 1e-7: a bit differs
+    with one of 0.152 in large sets, of more in small ones, in which votes are often equal."""
+    p = 0.155 + 0.16 / np.maximum(n, 4)
+    return np.ceil(_BITS * p + 5.5 * np.sqrt(_BITS * p * (1 - p))).astype(np.int64)
+
+
+def _pairs_at(keys: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a list whose sizes are within the bound, by their distance in the order of keys, up to _HOT."""
+    reach, at = math.ceil(-256 * math.log2(least)) + 1, np.arange(len(keys))
+    for step in range(1, _HOT + 1):
+        at = at[at + step < len(keys)]
+        at = at[keys[at + step] - keys[at] <= np.minimum(reach, 0xFFFF - (keys[at] & 0xFFFF))]
+        if not len(at):
+            return
+        yield at, at + step
+
+
+def _lengths(keys: np.ndarray) -> np.ndarray:
+    """For each row the length of its list."""
+    length = np.diff(np.append(np.flatnonzero(np.diff(keys >> 16, prepend=(keys[:1] >> 16) - 1)), len(keys)))
+    return np.repeat(length, length)
+
+
+def _may_meet(lists: dict[str, np.ndarray], least: float) -> pa.RecordBatch:
+    """Of whole lists, the sets that have one in their list that may be alike by 128 bits; all of a list longer than _HOT."""
+    keys, prints = lists["key"], np.stack([lists["print_a"], lists["print_b"]], axis=1).view(np.uint64)
+    marked = _lengths(keys) > _HOT
+    for x, y in _pairs_at(keys, least):
+        good = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= _FAR_SHORT
+        marked[x[good]] = marked[y[good]] = True
+    return pa.RecordBatch.from_arrays([pa.array(lists[c][marked]) for c in ("key", "node")], names=["key", "node"])
+
+
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first table in which two sets (rows of cells) are listed together: only there are they compared."""
+    return (a == b).argmax(axis=1)
+
+
+def nearest(before: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Places of rows that have one before them that may be alike, each with its nearest one."""
+    some = np.flatnonzero(bits < _BITS)
+    return list(zip(before[some].tolist(), some.tolist(), strict=True))
+
+
+def _meet(lists: dict[str, np.ndarray], least: float) -> pa.RecordBatch:
+    """Of whole lists, the sets that have one that may be alike by all bits and whose first list with it is this one: the list's
+    number of such sets, the place among them, the nearest before. Of a longer list than _HOT all sets come."""
+    keys, node, n = lists["key"], lists["node"], lists["n"]
+    sketch, cells = (np.frombuffer(b"".join(lists[c]), t).reshape(len(keys), -1) for c, t in (("sketch", np.uint64), ("cells", np.uint32)))
+    length = _lengths(keys)
+    marked, before, bits = length > _HOT, np.zeros(len(keys), np.int64), np.full(len(keys), _BITS, np.int64)
+    for x, y in _pairs_at(keys, least):
+        differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+        good = differ <= far(np.minimum(n[x], n[y]))
+        x, y, differ = x[good], y[good], differ[good]
+        good = first_shared(cells[x], cells[y]) == lists["place"][x]
+        x, y, differ = x[good], y[good], differ[good]
+        marked[x] = marked[y] = True
+        nearer = differ < bits[y]
+        before[y[nearer]], bits[y[nearer]] = x[nearer], differ[nearer]
+    near, told = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    for x, y in nearest(before, bits):
+        near[y], told[y] = node[x], bits[y]
+    kept = np.cumsum(marked) - marked
+    start = np.flatnonzero(np.diff(keys >> 16, prepend=(keys[:1] >> 16) - 1))
+    each = np.repeat(start, length[start])
+    size = np.append(kept, marked.sum())[each + length] - kept[each]
+    columns = {"key": keys >> 16, "place": lists["place"], "node": node, "size": size, "rank": kept - kept[each], "near": near, "bits": told}
+    return pa.RecordBatch.from_arrays([pa.array(c[marked]) for c in columns.values()], names=list(columns))
+
+
+def _by_list(compare: Callable[[dict[str, np.ndarray], float], pa.RecordBatch], least: float):
+    """compare() over whole lists from batches in the order of key, of which a list may span several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def compared() -> pa.RecordBatch:
+            return compare({c: np.concatenate([x[c] for x in held]) for c in held[0]}, least)
+
+        for batch in batches:
+            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            own = now["key"] >> 16
+            if not len(own):
+                continue
+            cut = int(np.searchsorted(own, own[-1]))  # the last list may go on
+            if held and (cut or held[-1]["key"][-1] >> 16 != own[-1]):
+                held.append({c: x[:cut] for c, x in now.items()})
+                yield compared()
+                held, now = [], {c: x[cut:] for c, x in now.items()}
+            held.append(now)
+        if held:
+            yield compared()
 
     return run
 
@@ -147,14 +261,19 @@ def _alike(words: int, least: float):
 
 
 def _across(group: pd.DataFrame, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of sets of different roots that may be alike, by their sizes and sketches."""
-    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-    n, root = group["n"].to_numpy(np.int64), group["root"].to_numpy(np.int64)
-    for a, equal in _equal_values(sketch):
+    """Places of the pairs of sets of different roots that may be alike, by their sizes and fingerprints, and have this list first."""
+    sketch, cells = (np.frombuffer(b"".join(group[c]), t).reshape(len(group), -1) for c, t in (("sketch", np.uint64), ("cells", np.uint32)))
+    n, root, place = group["n"].to_numpy(np.int64), group["root"].to_numpy(np.int64), group["place"].iloc[0]
+    for a in range(0, len(group), 64):
         rows = slice(a, a + 64)
-        may = (equal >= (least - _SLACK) * sketch.shape[1]) & (root[rows, None] != root) & (np.minimum(n[rows, None], n) >= least * np.maximum(n[rows, None], n))
+        may = (root[rows, None] != root) & (np.minimum(n[rows, None], n) >= least * np.maximum(n[rows, None], n))
+        may &= np.arange(a, a + len(may))[:, None] < np.arange(len(group))
         x, y = np.nonzero(may)
-        yield x[x + a < y] + a, y[x + a < y]
+        x += a
+        good = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= far(np.minimum(n[x], n[y]))
+        x, y = x[good], y[good]
+        good = first_shared(cells[x], cells[y]) == place
+        yield x[good], y[good]
 
 
 def _apart(least: float):
@@ -162,7 +281,7 @@ def _apart(least: float):
         marked = np.zeros(len(group), bool)
         for x, y in _across(group, least):
             marked[x] = marked[y] = True
-        return group.loc[marked, ["key", "x", "y", "node", "n", "root", "sketch"]]
+        return group.loc[marked]
 
     return run
 
@@ -194,54 +313,51 @@ def _last_links(words: int, least: float):
     return run
 
 
-def _tasks(df: DataFrame) -> int:
-    """Comparing takes longer than a list's few bytes tell, so the number of tasks is stated."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tasks(df: DataFrame, each: int = 4) -> int:
+    """Comparing takes longer than a list's few bytes tell, so the number of tasks is stated: `each` for a shuffle partition."""
+    return each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def last_links(shared: DataFrame, each: DataFrame, rooted: DataFrame, texts: DataFrame, words: int, least: float, short: int = 8, block: int = 512) -> DataFrame:
-    """Links (a, b) of the lists of more than `short` sets (shared_lists()) whose sets have more than one root in rooted (node,
+def last_links(shared: DataFrame, each: DataFrame, rooted: DataFrame, texts: DataFrame, words: int, least: float, tasks: int = 4, block: int = 512) -> DataFrame:
+    """Links (a, b) of the lists (shared_lists()) whose sets have more than one root in rooted (node,
     root; others are their own): not all of them, but enough to connect all that a list's links connect. texts: row_id, text.
 
     A list is compared in pairs of blocks of `block` sets. A pair of blocks first tells which sets have one of another root
     that may be alike; only their texts are read, and compared until their roots are one.
     """
-    long = shared.filter(F.col("size") > short).join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    long = shared.select("key", "place", "node", "size", "rank").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = long.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     blocks, own = F.expr(f"(size - 1) div {block}"), F.expr(f"rank div {block}")
     dealt = long.join(apart, "key", "left_semi").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks.cast("int"))))
-    dealt = dealt.filter((F.col("own") != F.col("other")) | (F.col("size") <= block)).join(each.select("node", "sketch"), "node")
-    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"), "node", "n", "root", "sketch")
-    by, schema = ["key", "x", "y"], "key long, x long, y long, node long, n long, root long, sketch binary"
-    marked = table(dealt.repartition(_tasks(shared), *by).groupBy(*by).applyInPandas(_apart(least), schema), "near-apart")
+    dealt = dealt.filter((F.col("own") != F.col("other")) | (F.col("size") <= block)).join(each.select("node", "n", "sketch", "cells"), "node")
+    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"), "place", "node", "n", "root", "sketch", "cells")
+    by, schema = ["key", "x", "y"], "key long, x long, y long, place long, node long, n long, root long, sketch binary, cells binary"
+    marked = table(dealt.repartition(_tasks(shared, tasks), *by).groupBy(*by).applyInPandas(_apart(least), schema), "near-apart")
     read = marked.join(texts.select(F.col("row_id").alias("node"), "text"), "node")
-    return read.repartition(_tasks(shared), *by).groupBy(*by).applyInPandas(_last_links(words, least), "a long, b long")
+    return read.repartition(_tasks(shared, tasks), *by).groupBy(*by).applyInPandas(_last_links(words, least), "a long, b long")
 
 
-def shared_lists(each: DataFrame) -> DataFrame:
-    """The lists of two sets or more: key, node, n, size (of the list) and rank (in it, by the next key). each: node, n, keys."""
-    after = F.get("keys", F.pmod(F.col("i") + 1, F.lit(_BANDS)))
-    listed = each.select("node", "n", "keys", F.posexplode("keys").alias("i", "key")).select("node", "n", "key", after.alias("next"))
-    whole, ranked = Window.partitionBy("key"), Window.partitionBy("key").orderBy("next", "node")
-    shared = listed.withColumn("size", F.count("*").over(whole)).filter("size > 1").withColumn("rank", F.row_number().over(ranked) - 1)
-    return table(shared.select("key", "node", "n", "size", "rank"), "near-lists")
+def shared_lists(each: DataFrame, least: float) -> DataFrame:
+    """Of each list the sets that may be like another one in it and meet it in no earlier table: key, place (the table), node, size
+    (how many they are), rank (among them), near (the nearest before it, -1 if there is none) and bits (by how many they differ).
+    each: node, n, keys, print_a, print_b, sketch, cells.
 
+    Sets of a longer list than _HOT all come, each compared with the next ones by size; last_links() has what this leaves.
+    """
+    listed = each.select("node", "print_a", "print_b", F.explode("keys").alias("key"))
+    dealt = listed.repartition(_tasks(each), F.shiftright("key", 16)).sortWithinPartitions("key", "node")
+    some = table(dealt.mapInArrow(_by_list(_may_meet, least), "key long, node long"), "near-meet")
+    place = F.expr("array_position(keys, key) - 1").cast("long").alias("place")
+    told = some.join(each.select("node", "n", "keys", "sketch", "cells"), "node").select("key", place, "node", "n", "sketch", "cells")
+    dealt = told.repartition(_tasks(each), F.shiftright("key", 16)).sortWithinPartitions("key", "node")
+    return table(dealt.mapInArrow(_by_list(_meet, least), "key long, place long, node long, size long, rank long, near long, bits long"), "near-lists")
 
-def candidates(shared: DataFrame, each: DataFrame, least: float, short: int = 8, hot: int = 2048) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that may be alike: all of the lists of up to `short` sets, and of longer ones enough to
-    connect most. shared: shared_lists(); each: node, sketch.
 
-    A list of more than `hot` sets is dealt into runs of that many in the order of the next key, and the runs' first sets are
-    a list of their own: each of the 24 lists of a set is dealt in another order. last_links() has what this leaves.
-    """
-    of = F.collect_list(F.struct("node", "n"))
-    couples = F.flatten(F.transform("of", lambda x: F.transform(F.filter("of", lambda y: (y["node"] > x["node"]) & (F.least(x["n"], y["n"]) >= least * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    few = shared.filter(F.col("size") <= short).groupBy("key").agg(of.alias("of")).select(F.inline(couples))
-    long = shared.filter(F.col("size") > short).select("key", "node", F.expr(f"rank div {hot}").alias("run"), "rank")
-    heads = long.filter((F.col("rank") % hot == 0)).withColumn("run", F.lit(-1).cast("long"))
-    runs = long.unionByName(heads).join(each.select("node", "sketch"), "node").select("key", "run", "node", "sketch")
-    many = runs.repartition(_tasks(each), "key", "run").groupBy("key", "run").applyInPandas(_long_lists(least - _SLACK), "a long, b long")
-    return few.unionByName(many).distinct()
+def candidates(shared: DataFrame, most: int = 2) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that may be alike: each set with the `most` nearest that its lists tell of."""
+    best = F.slice(F.sort_array(F.collect_set(F.struct("bits", "near"))), 1, most)
+    told = shared.filter("near >= 0").groupBy("node").agg(best.alias("best")).select("node", F.explode("best.near").alias("near"))
+    return told.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -255,12 +371,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     numbered = table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     with scratch(docs.sparkSession) as made:
         read = numbered.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        rows = table(read.mapInArrow(_signature_batches(words), "row_id long, doc_id long, one long, two long, n long, keys array<long>, sketch binary"), "near-rows")
+        tables, groups = shape(numbered.count())
+        rows = table(read.mapInArrow(_signature_batches(words, tables, groups), "row_id long, doc_id long, one long, two long, n long, keys array<long>, print_a long, print_b long, sketch binary, cells binary"), "near-rows")
         named = table(rows.groupBy("one", "two").agg(F.min("row_id").alias("node")), "near-sets")
-        each = rows.select(F.col("row_id").alias("node"), "n", "keys", "sketch").join(named.select("node"), "node", "left_semi").filter("n > 0")
-        each = table(each, "near-each")
-        shared = shared_lists(each)
-        pairs = table(candidates(shared, each, least), "near-pairs")
+        each = rows.select(F.col("row_id").alias("node"), "n", "keys", "print_a", "print_b", "sketch", "cells").join(named.select("node"), "node", "left_semi").filter("n > 0")
+        shared = shared_lists(each, least)
+        pairs = table(candidates(shared), "near-pairs")
         wanted = sized(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct(), "near-wanted")
         texts = table(read.join(wanted, "row_id", "left_semi").select("row_id", "text"), "near-texts")
         joined = pairs.join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")), "a")

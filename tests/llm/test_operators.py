@@ -1,9 +1,11 @@
+import contextlib
 import hashlib
 import re
 import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -724,6 +726,70 @@ def test_near_copies_in_long_lists(spark, monkeypatch, block):
     assert Counter(r["doc_id"] for r in got.collect()) == plain and 1 <= sum(plain.values()) < 60
 
 
+def test_lists_of_nearest_pivots():
+    """A list's pivots are the nearest by Hamming distances, counted one by one; sets with a similarity of 0.8 meet in some list."""
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 4, 300, 700)]
+    at = np.cumsum([0, *map(len, sets)])
+    clear = near_copies.clear_bits(np.concatenate(sets), at)
+    tables, groups = near_copies.shape(1000)
+    pivots = near_copies.pivot_prints(tables, groups)
+    near = near_copies.nearest_pivots(clear, pivots)
+    assert near.shape == (4, tables * groups) and tables * groups > 100
+    for h, bits, found in zip(sets, clear, near, strict=True):
+        words = np.concatenate([common.mixed(h ^ x).view(np.uint8).reshape(-1, 8) for x in near_copies._XOR[:-2]], axis=1)
+        hashed = np.unpackbits(words, axis=1)
+        assert (bits == 2 * hashed.sum(axis=0, dtype=np.int64) - len(h)).all()
+        for g in range(5):
+            group = pivots[:, 32 * g : 32 * g + 32].T > 0
+            far = np.array([(hashed != p).sum() for p in [*group, *~group]])
+            assert far[found[g]] == far.min()
+    lost = pairs = 0
+    for n in (4, 40, 400):
+        both = [rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64) for _ in range(300)]
+        less, more = (near_copies.clear_bits(np.concatenate([x[:k] for x in both]), k * np.arange(301)) for k in (n, n + n // 4))
+        a, b = (near_copies.nearest_pivots(x, pivots).reshape(300, tables, groups) for x in (less, more))
+        lost, pairs = lost + 300 - int((a == b).all(axis=2).any(axis=1).sum()), pairs + 300
+        assert (((less > 0) != (more > 0)).sum(axis=1) <= near_copies.far(np.full(300, n))).all()
+    assert lost <= 0.005 * pairs
+
+
+def test_lists_over_batches():
+    """Lists may span batches; a pair is told of only in the first table that lists it, and each set but the first with its nearest."""
+    rng = np.random.default_rng(9)
+    sketch = np.repeat(rng.integers(0, 1 << 63, (8, 8), dtype=np.uint64), 5, axis=0)
+    key = np.repeat(np.arange(8), 5) * (1 << 16) + 2048
+    cells = np.repeat(np.arange(8, dtype=np.uint32), 5)[:, None] + np.zeros((1, 3), np.uint32)
+    for place, rows in ((0, 40), (1, 0)):
+        columns = {"key": key, "place": np.full(40, place), "node": np.arange(40), "n": np.full(40, 256)}
+        made = pa.table({**columns, "sketch": [x.tobytes() for x in sketch], "cells": [x.tobytes() for x in cells]})
+        for size in (1, 3, 7, 40):
+            out = pa.Table.from_batches(near_copies._by_list(near_copies._meet, 0.8)(iter(made.to_batches(max_chunksize=size)))).to_pylist()
+            assert len(out) == rows and sum(r["near"] >= 0 for r in out) == rows * 4 // 5
+            assert all(r["size"] == 5 and r["rank"] == r["node"] % 5 and (r["near"] < 0 or r["near"] // 5 == r["node"] // 5) for r in out)
+
+
+def test_candidates_of_many_copies(spark, monkeypatch):
+    """Candidates grow with the sets of a group of near copies, not with their pairs."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        copy[int(rng.integers(200))] = f"e{i}"
+        rows.append((i, " ".join(copy)))
+    seen, inner = {}, near_copies.table
+
+    def noted(df, name):
+        seen[name] = inner(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(near_copies, "scratch", lambda spark: contextlib.nullcontext([None]))
+    monkeypatch.setattr(near_copies, "table", noted)
+    assert [r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()] == [0]
+    assert 299 <= seen["near-pairs"].count() <= 600
+
+
 def test_near_copies_of_given_texts(spark):
     full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert Counter(r["doc_id"] for r in near_copies.keep_one(full).collect()) == plain_kept(pairs(full))
