@@ -6,6 +6,8 @@ may be null. Only sentences with a trigger get as far as the tree rules.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +25,24 @@ def entity_filter(ents: Column) -> Column:
     return F.filter(bare, lambda e: (F.length(e["text"]) <= 80) & ~e["text"].rlike(JUNK_SPAN))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once, however often use() names it: expressions with lambdas aren't shared otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_of(candidates: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.get(F.filter(candidates, lambda c: c.isNotNull() & (c != "")), F.lit(0))
 
 
+def _first_made(*candidates: Column) -> Column:
+    """first_of(), which makes no candidate after the one that it takes."""
+    return F.coalesce(*[first_of(F.array(c)) for c in candidates])
+
+
 def _preferred(found: Column, last: bool) -> Column:
-    named = F.filter(found, lambda e: e["label"].isin("ORG", "PRODUCT"))
-    chosen = F.when(F.size(named) > 0, named).otherwise(found)
-    return F.get(chosen, F.size(chosen) - 1 if last else F.lit(0))["text"]
+    at = F.lit(-1 if last else 1)
+    return once(found, lambda f: F.coalesce(F.try_element_at(F.filter(f, lambda e: e["label"].isin("ORG", "PRODUCT")), at), F.try_element_at(f, at))["text"])
 
 
 def nearest_before(ents: Column, at: Column, window: int = 300) -> Column:
@@ -45,9 +56,11 @@ def nearest_after(ents: Column, at: Column, window: int = 300) -> Column:
 
 def is_entity(text: Column, ents: Column, filer: Column) -> Column:
     """Is text an entity's text, part of one, or around one, or the filer?"""
-    low = F.lower(text)
-    among = F.exists(ents, lambda e: F.lower(e["text"]).contains(low) | low.contains(F.lower(e["text"])))
-    return F.coalesce((text != "") & ~low.isin(*SKIP_WORDS) & ((F.coalesce(filer, F.lit("")) != "") & (low == F.lower(filer)) | among), F.lit(False))
+
+    def among(low: Column) -> Column:
+        return F.exists(F.transform(ents, lambda e: F.lower(e["text"])), lambda e: e.contains(low) | low.contains(e))
+
+    return F.coalesce(once(F.lower(text), lambda low: (low != "") & ~low.isin(*SKIP_WORDS) & ((F.coalesce(filer, F.lit("")) != "") & (low == F.lower(filer)) | among(low))), F.lit(False))
 
 
 def own_word(text: Column, filer: Column) -> Column:
@@ -85,18 +98,21 @@ def preposition_entity(tokens: Column, token: Column, ents: Column, filer: Colum
 
 def subject(tokens: Column, token: Column, ents: Column, filer: Column) -> Column:
     """The entity of the first subject on the left, null if that is none; the head's subject only where there is no subject."""
-    own = _children(tokens, token, False, ("nsubj", "nsubjpass", "csubj"))
+    own = F.get(_children(tokens, token, False, ("nsubj", "nsubjpass", "csubj")), F.lit(0))
     above = F.get(F.filter(tokens, lambda t: (t["i"] == token["head"]) & (t["i"] != token["i"])), F.lit(0))
-    theirs = F.when(above.isNotNull(), _children(tokens, above, False, ("nsubj", "nsubjpass")))
-    return F.when(F.size(own) > 0, token_entity(F.get(own, F.lit(0)), ents, filer)).otherwise(token_entity(F.get(theirs, F.lit(0)), ents, filer))
+    theirs = once(above, lambda a: F.when(a.isNotNull(), F.get(_children(tokens, a, False, ("nsubj", "nsubjpass")), F.lit(0))))
+    return once(F.coalesce(own, theirs), lambda t: token_entity(t, ents, filer))
 
 
 def object_(tokens: Column, token: Column, ents: Column, filer: Column, ordered: Column) -> Column:
     """The first direct object that is an entity, else what stands below prepositions in the given order."""
     direct = F.transform(_children(tokens, token, True, ("dobj", "attr")), lambda c: token_entity(c, ents, filer))
-    preps = _children(tokens, token, True, ("prep",))
-    below = F.transform(ordered, lambda p: F.flatten(F.transform(F.filter(preps, lambda c: F.lower(c["lemma"]) == p), lambda c: _under(tokens, c, ents, filer, 250))))
-    return first_of(F.concat(direct, F.flatten(below)))
+
+    def below(preps: Column) -> Column:
+        ranked = F.flatten(F.transform(ordered, lambda p: F.filter(preps, lambda c: F.lower(c["lemma"]) == p)))
+        return F.flatten(F.transform(ranked, lambda c: _under(tokens, c, ents, filer, 250)))
+
+    return F.coalesce(first_of(direct), first_of(once(_children(tokens, token, True, ("prep",)), below)))
 
 
 def trigger_table(spark, triggers=TRIGGERS) -> DataFrame:
@@ -119,16 +135,22 @@ def extract(annotated: DataFrame, triggers=TRIGGERS) -> DataFrame:
     spark = annotated.sparkSession
     verbs, nouns = [v for t in triggers for v in t[1]], [n for t in triggers for n in t[2]]
     ents, filer, tokens = F.col("ents"), F.col("filer"), F.col("tokens")
-    rows = annotated.withColumn("ents", entity_filter(ents)).withColumn("token", F.explode("tokens"))
-    rows = rows.withColumn("trigger", F.lower("token.lemma")).withColumn("kind", trigger_kind(F.col("token.pos"), F.col("trigger"), verbs, nouns)).filter(F.col("kind").isNotNull())
+
+    def kind(t: Column) -> Column:
+        return trigger_kind(t["pos"], F.lower(t["lemma"]), verbs, nouns)
+
+    # Only triggers become rows: each row carries all of its sentence.
+    rows = annotated.withColumn("ents", entity_filter(ents)).withColumn("token", F.explode(F.filter("tokens", lambda t: kind(t).isNotNull())))
+    rows = rows.withColumn("trigger", F.lower("token.lemma")).withColumn("kind", kind(F.col("token")))
     rows = rows.join(trigger_table(spark, triggers), ["trigger", "kind"])
     token, verb = F.col("token"), F.col("kind") == "verb"
     above = F.get(F.filter(tokens, lambda t: t["i"] == token["head"]), F.lit(0))
-    subj = F.when(verb, subject(tokens, token, ents, filer)).when(above["pos"].isin("VERB", "AUX"), subject(tokens, above, ents, filer))
+    doer = F.when(verb, token).otherwise(once(above, lambda a: F.when(a["pos"].isin("VERB", "AUX"), a)))
+    subj = once(doer, lambda d: F.when(d.isNotNull(), subject(tokens, d, ents, filer)))
     end = token["idx"] + F.length(token["text"])
-    obj = F.when(verb, first_of(F.array(object_(tokens, token, ents, filer, F.col("preps")), nearest_after(ents, end)))).otherwise(first_of(F.array(preposition_entity(tokens, token, ents, filer), nearest_after(ents, end, 200))))
+    obj = F.when(verb, _first_made(object_(tokens, token, ents, filer, F.col("preps")), nearest_after(ents, end))).otherwise(_first_made(preposition_entity(tokens, token, ents, filer), nearest_after(ents, end, 200)))
     # inline() of one struct: a filter on its columns can't be pushed below it, where it would make them once for each mention.
-    pair = F.struct(first_of(F.array(subj, nearest_before(ents, token["idx"]), filer)).alias("subj"), obj.alias("obj"))
+    pair = F.struct(_first_made(subj, nearest_before(ents, token["idx"]), filer).alias("subj"), obj.alias("obj"))
     rows = rows.select("*", F.inline(F.array(pair)))
     s, o = F.col("subj"), F.col("obj")
     rows = rows.filter(s.isNotNull() & o.isNotNull() & (s != o) & ~F.lower(s).isin(*SKIP_WORDS) & ~F.lower(o).isin(*SKIP_WORDS) & (is_entity(s, ents, filer) | is_entity(o, ents, filer)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import lexicon, schemas, text
 from graphloom.functions.lexicon import Lexicon
 from graphloom.operators import annotate, asof, evaluate, graph, layout, merge, questions, ranges, reports, resolve, responses, rules, spans
-from graphloom.plans import drivers, pipeline
+from graphloom.plans import catalog, drivers, pipeline
 from graphloom.sources import files, ledger
 from graphloom.sources.store import BucketStore
 from graphloom.streaming import incremental
@@ -608,3 +608,11 @@ def test_copies_and_new_only(spark, tmp_path):
     assert [(r["head"], r["relation"], r["tail"]) for r in found["merged"].collect()] == [("AMD", "supplier_of", "Broadcom")]
     answer, picture = pipeline.ask(spark, found["edges"], "What if a disruption at AMD?", lambda: lambda prompt: "By a model.")
     assert answer.first()["answer"] == "By a model." and picture.startswith("<svg")
+
+
+def test_rules_make_each_value_once(spark):
+    """A value named several times is made once, and only triggers are rows that carry their sentence."""
+    drawn = spark.range(200).select(rules.once(F.rand(3), lambda v: F.struct(v.alias("a"), v.alias("b"))).alias("x"))
+    assert drawn.filter("x.a <> x.b").isEmpty()
+    plan = rules.extract(catalog._parsed_sentences(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(filter(tokens" in plan
